@@ -26,7 +26,7 @@ from letterloom.functions.text import (
     ngrams,
     normalised,
     paragraphs,
-    sentences,
+    sentence_bodies,
     strip,
     tokens,
     word_count,
@@ -99,7 +99,7 @@ def structure_check(
 
 def summary_check(df: DataFrame, text: str = "text") -> DataFrame:
     """Exactly two sentences and no first person."""
-    n = F.size(sentences(F.col(text)))
+    n = F.size(sentence_bodies(F.col(text)))
     first_person = F.col(text).rlike(FIRST_PERSON)
     return df.select(
         *_kept(df, text),

@@ -37,7 +37,7 @@ def labelled(text: Column, label: str) -> Column:
 
 def section_body(text: Column, heading: str) -> Column:
     """The lines after a heading, up to the next line that is no list item."""
-    return F.regexp_extract(text, rf"(?:^|\n){heading}:[ \t]*((?:\n- [^\n]*)*)", 1)
+    return F.regexp_extract(text, rf"(?:^|\n){heading}:[ \t]*((?:\n- [^\n]*+)*+)", 1)
 
 
 def items(text: Column, heading: str) -> Column:
@@ -194,7 +194,7 @@ def salutation(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFr
 
 def posting_sections(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """The labelled parts of a posting: one row per line that opens a part, with its list items."""
-    parts = find_all(F.col(text), r"(?:^|\n)([A-Z][A-Za-z ]*:[^\n]*(?:\n- [^\n]*)*)", 1)
+    parts = find_all(F.col(text), r"(?:^|\n)([A-Z][A-Za-z ]*:[^\n]*+(?:\n- [^\n]*+)*+)", 1)
     return df.select(*keys, F.explode(parts).alias("part")).select(
         *keys,
         F.regexp_extract("part", "^([^:]*):", 1).alias("section"),
@@ -206,7 +206,7 @@ def culture_repeats(
     df: DataFrame, keys: Sequence[str], terms: Sequence[str], text: str = "text"
 ) -> DataFrame:
     """Value words of a posting, how often they occur and in how many of its sections."""
-    parts = find_all(F.col(text), r"(?:^|\n)([A-Z][A-Za-z ]*:[^\n]*(?:\n- [^\n]*)*)", 1)
+    parts = find_all(F.col(text), r"(?:^|\n)([A-Z][A-Za-z ]*:[^\n]*+(?:\n- [^\n]*+)*+)", 1)
 
     def uses(words: Column, term: str) -> Column:
         return F.size(F.filter(words, lambda w: w == term))

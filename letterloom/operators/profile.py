@@ -17,7 +17,8 @@ from letterloom.functions.text import (
     tokens,
 )
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# the look-behind starts a match only at the beginning of a run, so long runs are read once
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
 PROFILE_LINK = r"(?:https?://)?(?:www\.)?linkedin\.com/[A-Za-z0-9_/-]+"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]

@@ -24,14 +24,14 @@ from letterloom.functions.text import (
     ngrams,
     normalised,
     paragraphs,
-    sentences,
+    sentence_bodies,
+    sentence_words,
     strip,
     tokens,
-    word_count,
 )
 
 SHORT_WORDS, LONG_WORDS = 8, 20
-FIRST_TWO = r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)[^\p{L}\p{N}]+([\p{L}\p{N}]+)"
+FIRST_TWO = r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++[^\p{L}\p{N}]++[\p{L}\p{N}]++)"
 
 
 def input_inventory(samples: DataFrame) -> DataFrame:
@@ -80,9 +80,12 @@ def sentence_numbers(text: Column) -> Column:
             F.size(F.filter(lengths, lambda n: n >= LONG_WORDS)).alias("long"),
         )
 
-    lengths = F.transform(sentences(text), word_count)
-    semicolons = F.size(F.filter(sentences(text), lambda s: s.contains(";")))
-    return let(lengths, sums).withField("semicolons", semicolons)
+    def measured(bodies: Column) -> Column:
+        with_semicolon = F.size(F.filter(bodies, lambda s: s.contains(";")))
+        lengths = F.transform(bodies, sentence_words)
+        return let(lengths, sums).withField("semicolons", with_semicolon)
+
+    return let(sentence_bodies(text), measured)
 
 
 def sentence_profile(samples: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def habit_numbers(text: Column, separator: str) -> dict[str, Column]:
         "brackets": F.regexp_count(text, F.lit(r"\(")),
         "bullets": F.regexp_count(text, F.lit(BULLET_LINE)),
         "paragraphs": F.size(paragraphs(text, separator)),
-        "sentences": F.size(sentences(text)),
+        "sentences": F.size(sentence_bodies(text)),
     }
 
 
@@ -146,9 +149,9 @@ def habit_columns() -> list[Column]:
 
 
 def opener(text: Column) -> Column:
-    """The first two words of a text."""
+    """The first two words of a text, "" if it has fewer."""
     return F.lower(
-        F.concat_ws(" ", F.regexp_extract(text, FIRST_TWO, 1), F.regexp_extract(text, FIRST_TWO, 2))
+        F.regexp_replace(F.regexp_extract(text, FIRST_TWO, 1), r"[^\p{L}\p{N}]+", " ")
     )
 
 
@@ -274,17 +277,19 @@ def absent_words(
     )
 
 
+def sentence_openings(text: Column) -> Column:
+    """The distinct first two words of the sentences of a text."""
+    first_two = F.transform(sentence_bodies(text), opener)
+    return F.filter(F.array_distinct(first_two), lambda p: p != "")
+
+
 def top_transitions(
     samples: DataFrame, k: int = MAX_TRANSITIONS, minimum: int = MIN_TRANSITIONS
 ) -> DataFrame:
     """The two-word sentence openings that an author uses in the most documents."""
-    first_two = F.transform(
-        sentences(F.col("text")), lambda s: F.array_join(F.slice(tokens(s), 1, 2), " ")
-    )
-    openings = samples.select("author_id", F.explode(F.array_distinct(first_two)).alias("phrase"))
+    openings = samples.select("author_id", F.explode(sentence_openings(F.col("text"))).alias("phrase"))
     counted = (
-        openings.filter(F.col("phrase").contains(" "))
-        .groupBy("author_id", "phrase")
+        openings.groupBy("author_id", "phrase")
         .agg(F.count(F.lit(1)).alias("n_docs"))
     )
     order = [F.col("n_docs").desc(), F.col("phrase").asc()]
@@ -324,7 +329,7 @@ def section_order(
 
 def sentence_variation(outputs: DataFrame) -> DataFrame:
     """Mean change of length from one sentence to the next; works on each text by itself."""
-    lengths = F.transform(sentences(F.col("text")), word_count)
+    lengths = F.transform(sentence_bodies(F.col("text")), sentence_words)
     with_lengths = outputs.withColumn("lengths", lengths)
     n = F.size("lengths")
     changes = F.transform(

@@ -353,9 +353,19 @@ UNION ALL SELECT DISTINCT {LETTER_KEYS}, 'numbers', number
   FROM (SELECT *, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS number FROM v_letters) l
   JOIN customer ON c_custkey = applicant_id WHERE number <> regexp_extract(c_name, '[0-9]+')"""
 
+CHOICES = " UNION ALL ".join(
+    f"""
+SELECT author_id, '{a}' AS word_a, '{b}' AS word_b, n_a, n_b,
+  CASE WHEN n_a > n_b THEN '{a}' WHEN n_b > n_a THEN '{b}' ELSE '' END AS preferred
+FROM (SELECT author_id, CAST(sum(len(list_filter(t, lambda w: w = '{a}'))) AS BIGINT) AS n_a,
+        CAST(sum(len(list_filter(t, lambda w: w = '{b}'))) AS BIGINT) AS n_b
+      FROM (SELECT author_id, {tokens('text')} AS t FROM v_samples) x GROUP BY author_id) y"""
+    for a, b in WORD_PAIRS
+)
+
 SQL = {
     "read_samples": """
-SELECT author_id, doc_id, 'cover_letter' AS kind, length(text) + 1 AS n_chars,
+SELECT doc_id, 'cover_letter' AS kind, length(text) + 1 AS n_chars,
   sha256(concat(text, chr(10))) AS text_hash FROM v_samples""",
     "read_postings": "SELECT job_id, s_name AS company_name, 8 AS n_required FROM v_jobs",
     "read_profiles": """
@@ -447,7 +457,8 @@ SELECT {LETTER_KEYS}, phrase, n FROM (
 SELECT {LETTER_KEYS}, author_id, phrase, count(*) AS n
 FROM (SELECT {LETTER_KEYS}, concat('src', application_id % 20) AS author_id, unnest({tokens('text')}) AS phrase
       FROM v_outputs) o
-JOIN (SELECT author_id, word AS phrase FROM ({absent([*LEXICON, 'und', 'les'])})) f USING (author_id, phrase)
+JOIN (SELECT author_id, CASE WHEN preferred = word_a THEN word_b ELSE word_a END AS phrase
+      FROM ({CHOICES}) c WHERE preferred <> '') f USING (author_id, phrase)
 GROUP BY {LETTER_KEYS}, author_id, phrase""",
     "untraceable_numbers": """
 WITH known AS (SELECT DISTINCT role_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS number FROM v_bullets)
@@ -492,15 +503,7 @@ GROUP BY author_id, n_docs""",
     "majority_value": most_common(
         "(SELECT source AS author_id, lang AS l FROM documents)", "l", "lang"
     ),
-    "word_choice": " UNION ALL ".join(
-        f"""
-SELECT author_id, '{a}' AS word_a, '{b}' AS word_b, n_a, n_b,
-  CASE WHEN n_a > n_b THEN '{a}' WHEN n_b > n_a THEN '{b}' ELSE '' END AS preferred
-FROM (SELECT author_id, CAST(sum(len(list_filter(t, lambda w: w = '{a}'))) AS BIGINT) AS n_a,
-        CAST(sum(len(list_filter(t, lambda w: w = '{b}'))) AS BIGINT) AS n_b
-      FROM (SELECT author_id, {tokens('text')} AS t FROM v_samples) x GROUP BY author_id) y"""
-        for a, b in WORD_PAIRS
-    ),
+    "word_choice": CHOICES,
     "distinct_skills": "SELECT * FROM v_skills",
     "merge_bullets": "SELECT * FROM v_merged",
     "metric_habits": """

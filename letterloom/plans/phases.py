@@ -12,7 +12,7 @@ from letterloom.constants import (
     STRONG_TIER,
 )
 from letterloom.functions.ranking import in_parts, top_rows
-from letterloom.functions.text import has_number, sentences, tokens
+from letterloom.functions.text import has_number
 from letterloom.operators.completion import Completer, complete, generation_prompt
 from letterloom.operators.extract import job_context
 from letterloom.operators.intake import accept_pages, job_slug, page_text, url_key
@@ -32,6 +32,7 @@ from letterloom.operators.voice import (
     sentence_numbers,
     opener,
     phrases_used,
+    sentence_openings,
     sign_off,
 )
 from letterloom.schemas import GENERATION_OUTPUT
@@ -54,9 +55,6 @@ def calibrate(
     shuffles, none of which carries a text.
     """
     text = F.col("text")
-    openings = F.array_distinct(
-        F.transform(sentences(text), lambda s: F.array_join(F.slice(tokens(s), 1, 2), " "))
-    )
     measured = samples.filter(F.col("kind") == kind).select(
         "author_id",
         "doc_id",
@@ -64,7 +62,7 @@ def calibrate(
         sentence_numbers(text).alias("s"),
         F.struct(*[c.alias(n) for n, c in habit_numbers(text, separator).items()]).alias("h"),
         phrases_used(text, lexicon).alias("used"),
-        F.filter(openings, lambda p: p.contains(" ")).alias("openings"),
+        sentence_openings(text).alias("openings"),
         opener(text).alias("opener"),
         sign_off(text).alias("sign_off"),
     )

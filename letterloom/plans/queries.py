@@ -59,12 +59,9 @@ def _joined(column: str, by: str = ", ") -> Column:
 def read_samples(t: Tables) -> DataFrame:
     """Samples written as one file per document and read back whole."""
     folder = shared_folder(t.spark, "samples")
-    t.samples().select("author_id", "doc_id", "text").repartition("author_id").write.partitionBy(
-        "author_id", "doc_id"
-    ).text(folder)
+    t.samples().select("doc_id", "text").write.partitionBy("doc_id").text(folder)
     read = files.read_samples(t.spark, folder, "cover_letter")
     return read.select(
-        F.col("author_id").cast("string").alias("author_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         "kind",
         F.length("text").alias("n_chars"),
@@ -333,11 +330,13 @@ def forbidden_hits(t: Tables) -> DataFrame:
 
 @query
 def forbidden_by_author(t: Tables) -> DataFrame:
-    """Each author's own list: the words that are absent from their samples."""
+    """Each author's own list: of every word pair the word that they do not prefer."""
     owned = t.outputs().withColumn(
         "author_id", F.concat(F.lit("src"), (F.col("application_id") % 20).cast("string"))
     )
-    lists = voice.absent_words(t.samples(), [*LEXICON, "und", "les"]).withColumnRenamed("word", "phrase")
+    choices = voice.word_choice(t.samples(), WORD_PAIRS).filter(F.col("preferred") != "")
+    other = F.when(F.col("preferred") == F.col("word_a"), F.col("word_b")).otherwise(F.col("word_a"))
+    lists = choices.select("author_id", other.alias("phrase"))
     return checks.forbidden_by_author(owned, lists, max_words=1)
 
 
