@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.ranking import top_rows
+from letterloom.sources.tables import read_table, spread
 
 LEXICON = [
     "the", "der", "que", "thin", "leverage", "delve", "utilize", "innovative", "dynamic", "impactful",
@@ -19,11 +20,17 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+
+    def documents(self) -> DataFrame:
+        return spread(self.read("documents").select("doc_id", "source", "text"), "doc_id")
+
+    def pages(self) -> DataFrame:
+        return spread(self.read("pages"), "page_id")
 
     def samples(self) -> DataFrame:
         kind = F.when(F.col("doc_id") % 3 == 0, "resume").otherwise("cover_letter")
-        return self.read("documents").select(
+        return self.documents().select(
             F.col("source").alias("author_id"), kind.alias("kind"), "doc_id", "text"
         )
 
@@ -37,7 +44,7 @@ class Tables:
 
     def fetched(self) -> DataFrame:
         body = F.when(F.col("page_id") % 23 == 0, "  short  ").otherwise(F.col("html"))
-        return self.read("pages").select(
+        return self.pages().select(
             "page_id",
             "url",
             F.when(F.col("page_id") % 17 == 0, 404).otherwise(200).alias("status"),
@@ -128,7 +135,11 @@ class Tables:
             F.col("l_quantity") >= 25,
             F.concat(F.lit("Delivered "), amount, F.lit(" units of "), "p_name"),
         ).otherwise(F.concat(F.lit("responsible for "), "p_name"))
-        items = self.read("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+        items = spread(
+            self.read("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"),
+            "l_orderkey",
+            "l_partkey",
+        )
         part = self.read("part").select("p_partkey", "p_name")
         return items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("l_orderkey").alias("role_id"),
@@ -146,8 +157,9 @@ class Tables:
         )
 
     def outputs(self) -> DataFrame:
+        turns = self.read("conversations").select("conv_id", "turn", "role", "text")
         return (
-            self.read("conversations")
+            spread(turns, "conv_id", "turn")
             .filter(F.col("role") == "assistant")
             .select(F.col("conv_id").alias("application_id"), "turn", "text")
         )
@@ -348,7 +360,8 @@ class Tables:
             .when(form == 7, F.replace(json, F.lit('"summary":'), F.lit('"linkedin":null,"summary":')))
             .otherwise(json)
         )
-        return self.read("customer").select(F.col("c_custkey").alias("applicant_id"), broken.alias("json"))
+        people = spread(self.read("customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+        return people.select(F.col("c_custkey").alias("applicant_id"), broken.alias("json"))
 
     def resumes(self) -> DataFrame:
         """Short resumes rendered as text, one per past role: name, one role line, one degree line."""
@@ -368,8 +381,11 @@ class Tables:
             F.lit("\nEducation:\n- BSc in "), "c_mktsegment", F.lit(", School of "), "n_name",
             F.lit(", "), year, F.when(o % 9 == 0, ".5").otherwise(""),
         )
-        orders = self.read("orders").select(
-            "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
+        orders = spread(
+            self.read("orders").select(
+                "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
+            ),
+            "o_orderkey",
         )
         customer = self.read("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
         nation = self.read("nation").select("n_nationkey", "n_name")

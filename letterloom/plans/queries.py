@@ -59,7 +59,7 @@ def _joined(column: str, by: str = ", ") -> Column:
 def read_samples(t: Tables) -> DataFrame:
     """Samples written as one file per document and read back whole."""
     folder = shared_folder(t.spark, "samples")
-    t.samples().select("doc_id", "text").write.partitionBy("doc_id").text(folder)
+    t.samples().select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(folder)
     read = files.read_samples(t.spark, folder, "cover_letter")
     return read.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -204,7 +204,7 @@ def accept_pages(t: Tables) -> DataFrame:
 
 @query
 def page_text(t: Tables) -> DataFrame:
-    return t.read("pages").select("page_id", intake.page_text(F.col("html")).alias("text"))
+    return t.pages().select("page_id", intake.page_text(F.col("html")).alias("text"))
 
 
 @query
@@ -636,7 +636,7 @@ def banned_closings(t: Tables) -> DataFrame:
 
 @query
 def bullet_check(t: Tables) -> DataFrame:
-    return checks.bullet_check(t.read("documents").select("doc_id", "text"))
+    return checks.bullet_check(t.samples().select("doc_id", "text"))
 
 
 @query
@@ -647,7 +647,7 @@ def structure_check(t: Tables) -> DataFrame:
 
 @query
 def summary_check(t: Tables) -> DataFrame:
-    return checks.summary_check(t.read("documents").select("doc_id", "text"))
+    return checks.summary_check(t.samples().select("doc_id", "text"))
 
 
 @query
