@@ -5,7 +5,7 @@ Common inputs: `applications(applicant_id, job_id)`, `requirements(job_id, skill
 `bullets(role_id, bullet_no, text)`.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.constants import (
@@ -22,6 +22,7 @@ from letterloom.constants import (
     NO_REFRAME,
 )
 from letterloom.functions.ranking import top_rows
+from letterloom.session import materialise
 from letterloom.functions.text import (
     has_number,
     literal_texts,
@@ -113,34 +114,44 @@ def coverage(applications: DataFrame, requirements: DataFrame, skills: DataFrame
 def transferable(gap: DataFrame, skills: DataFrame, related: DataFrame) -> DataFrame:
     """For every missing skill the related skill held (the first by name) and how many there are.
 
-    `related(skill, covers)` is the caller's. Held skills are turned into what they cover, once per
-    applicant, before the gaps are joined.
+    `related(skill, covers)` is the caller's; only what covers a gap is looked up among the skills
+    held, and the finds are combined before they are shuffled.
     """
-    covered = (
-        skills.join(related, "skill")
-        .groupBy("applicant_id", F.col("covers").alias("skill"))
-        .agg(F.min("skill").alias("via"), F.count(F.lit(1)).alias("n_via"))
+    missing = gap.withColumnRenamed("skill", "covers")
+    held = skills.select("applicant_id", "skill", F.col("skill").alias("held"))
+    found = (
+        missing.join(related, "covers", "left")
+        .join(held, ["applicant_id", "skill"], "left")
+        .groupBy(*PAIR, "covers")
+        .agg(F.min("held").alias("via"), F.count("held").alias("n_via"))
     )
     mitigation = F.when(
         F.col("via").isNotNull(),
-        F.concat(F.lit("transferable from "), "via", F.lit(", covers "), "skill"),
+        F.concat(F.lit("transferable from "), "via", F.lit(", covers "), "covers"),
     ).otherwise(NO_REFRAME)
-    return gap.join(covered, ["applicant_id", "skill"], "left").select(
+    return found.select(
         *PAIR,
-        F.col("skill").alias("missing_skill"),
-        F.coalesce("n_via", F.lit(0)).alias("n_via"),
+        F.col("covers").alias("missing_skill"),
+        "n_via",
         mitigation.alias("mitigation"),
     )
 
 
+def term_table(skills: DataFrame) -> DataFrame:
+    """The distinct skills with their words in normal form, as a written table."""
+    distinct = skills.select("skill").distinct()
+    return materialise(distinct.withColumn("term", normalised(F.col("skill"))), "terms")
+
+
 def link_bullets(bullets: DataFrame, requirements: DataFrame, max_words: int = 3) -> DataFrame:
     """Which required or preferred terms every bullet supports, by naming them word for word.
 
     Word runs of a bullet meet the distinct terms, never the postings, so that the result does not
-    grow with the number of postings that ask for a term. Terms of more than `max_words` words are
-    looked for with a larger `max_words`.
+    grow with the number of postings that ask for a term. The terms are written first: if the table
+    of terms is small it is broadcast and the runs are not shuffled. Terms of more than `max_words`
+    words are looked for with a larger `max_words`.
     """
-    terms = requirements.select("skill").distinct().withColumn("term", normalised(F.col("skill")))
+    terms = term_table(requirements)
     runs = bullets.withColumn(
         "term", F.explode(F.array_distinct(ngrams_up_to(tokens(F.col("text")), max_words)))
     )
@@ -151,12 +162,6 @@ def link_bullets(bullets: DataFrame, requirements: DataFrame, max_words: int = 3
     )
 
 
-def role_skills(links: DataFrame, roles: DataFrame) -> DataFrame:
-    """Distinct (applicant, role, linked skill) with the start of the role."""
-    linked = links.select("role_id", "skill").distinct()
-    return linked.join(roles.select("applicant_id", "role_id", "start_m"), "role_id")
-
-
 def top_roles(
     applications: DataFrame,
     requirements: DataFrame,
@@ -171,11 +176,9 @@ def top_roles(
     `k` latest of each set can be among the best and the rest is left out before postings are
     joined. That keeps the result exact and holds for people with very many roles.
     """
-    by_role = (
-        role_skills(links, roles)
-        .groupBy("applicant_id", "role_id", "start_m")
-        .agg(F.array_sort(F.collect_set("skill")).alias("linked"))
-    )
+    # the distinct terms of one role, at most as many as there are terms
+    linked = links.groupBy("role_id").agg(F.array_sort(F.collect_set("skill")).alias("linked"))
+    by_role = linked.join(roles.select("applicant_id", "role_id", "start_m"), "role_id")
     newest_first = [F.col("start_m").desc(), F.col("role_id").asc()]
     kept = top_rows(by_role, ["applicant_id", "linked"], newest_first, k)
     candidates = kept.select("applicant_id", "role_id", "start_m", F.explode("linked").alias("skill"))
@@ -189,14 +192,9 @@ def top_roles(
         )
     )
     best = top_rows(scored, PAIR, [F.col("score").desc(), *newest_first], k, rank="role_rank")
-    found = best.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_roles"))
-    return best.join(found, PAIR).select(
-        *PAIR,
-        "role_rank",
-        "role_id",
-        "score",
-        "reason",
-        (F.col("n_roles") < minimum).alias("below_minimum"),
+    n_roles = F.count(F.lit(1)).over(Window.partitionBy(*PAIR))  # over `k` rows at most
+    return best.select(
+        *PAIR, "role_rank", "role_id", "score", "reason", (n_roles < minimum).alias("below_minimum")
     )
 
 
@@ -275,7 +273,7 @@ def strategise(
     All parts are short: four roles of four bullets, the skills of one posting and three hooks. They
     are brought together as tagged items in one grouping instead of one join per part.
     """
-    links = link_bullets(bullets, requirements)
+    links = materialise(link_bullets(bullets, requirements), "links")
     texts = (
         top_bullets(bullets)
         .groupBy("role_id")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from letterloom.constants import DEFAULT_SECTIONS, ONE_PAGE_YEARS, SKILL_GROUP_LIMIT
 from letterloom.functions.ranking import top_rows
+from letterloom.operators.matching import term_table
 from letterloom.functions.text import (
     has_number,
     literal_texts,
     ngrams_up_to,
-    normalised,
     or_default,
     strip,
     tokens,
@@ -120,7 +120,7 @@ def skill_mentions(
     df: DataFrame, vocabulary: DataFrame, keys: Sequence[str], max_words: int = 3
 ) -> DataFrame:
     """Terms of the vocabulary that a text names explicitly; nothing is implied."""
-    terms = vocabulary.select("skill").distinct().withColumn("term", normalised(F.col("skill")))
+    terms = term_table(vocabulary)
     runs = df.select(
         *keys, F.explode(F.array_distinct(ngrams_up_to(tokens(F.col("text")), max_words))).alias("term")
     )

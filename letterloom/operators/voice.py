@@ -6,7 +6,7 @@ text is worked out in the scan; only small numbers and short word lists are shuf
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.constants import (
@@ -294,8 +294,8 @@ def top_transitions(
     )
     order = [F.col("n_docs").desc(), F.col("phrase").asc()]
     best = top_rows(counted, ["author_id"], order, k, rank="position")
-    enough = best.groupBy("author_id").agg((F.count(F.lit(1)) >= minimum).alias("enough"))
-    return best.join(enough, "author_id")
+    n_phrases = F.count(F.lit(1)).over(Window.partitionBy("author_id"))  # over `k` rows at most
+    return best.withColumn("enough", n_phrases >= minimum)
 
 
 def section_order(

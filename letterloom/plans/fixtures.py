@@ -13,20 +13,27 @@ WORD_PAIRS = [("le", "la"), ("the", "this"), ("der", "die")]
 
 
 class Tables:
-    """Lazy views of one data folder. Nothing is read before a query runs."""
+    """Lazy views of one data folder. Nothing but table schemas is read before a query runs."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.tables: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.folder}/{name}.parquet")
+        if name not in self.tables:
+            self.tables[name] = read_table(self.spark, f"{self.folder}/{name}.parquet")
+        return self.tables[name]
+
+    def spread_out(self, name: str, keys: list[str], columns: list[str]) -> DataFrame:
+        """A table that is heavy to work on per row."""
+        return spread(self.read(name).select(*columns), *keys)
 
     def documents(self) -> DataFrame:
-        return spread(self.read("documents").select("doc_id", "source", "text"), "doc_id")
+        return self.spread_out("documents", ["doc_id"], ["doc_id", "source", "text"])
 
     def pages(self) -> DataFrame:
-        return spread(self.read("pages"), "page_id")
+        return self.spread_out("pages", ["page_id"], ["page_id", "url", "html"])
 
     def samples(self) -> DataFrame:
         kind = F.when(F.col("doc_id") % 3 == 0, "resume").otherwise("cover_letter")
@@ -135,10 +142,10 @@ class Tables:
             F.col("l_quantity") >= 25,
             F.concat(F.lit("Delivered "), amount, F.lit(" units of "), "p_name"),
         ).otherwise(F.concat(F.lit("responsible for "), "p_name"))
-        items = spread(
-            self.read("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey"),
-            "l_orderkey",
-            "l_partkey",
+        items = self.spread_out(
+            "lineitem",
+            ["l_orderkey", "l_partkey"],
+            ["l_orderkey", "l_linenumber", "l_quantity", "l_partkey"],
         )
         part = self.read("part").select("p_partkey", "p_name")
         return items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
@@ -157,10 +164,11 @@ class Tables:
         )
 
     def outputs(self) -> DataFrame:
-        turns = self.read("conversations").select("conv_id", "turn", "role", "text")
+        turns = self.spread_out(
+            "conversations", ["conv_id", "turn"], ["conv_id", "turn", "role", "text"]
+        )
         return (
-            spread(turns, "conv_id", "turn")
-            .filter(F.col("role") == "assistant")
+            turns.filter(F.col("role") == "assistant")
             .select(F.col("conv_id").alias("application_id"), "turn", "text")
         )
 
@@ -360,7 +368,7 @@ class Tables:
             .when(form == 7, F.replace(json, F.lit('"summary":'), F.lit('"linkedin":null,"summary":')))
             .otherwise(json)
         )
-        people = spread(self.read("customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+        people = self.spread_out("customer", ["c_custkey"], ["c_custkey", "c_name", "c_mktsegment"])
         return people.select(F.col("c_custkey").alias("applicant_id"), broken.alias("json"))
 
     def resumes(self) -> DataFrame:
@@ -381,11 +389,10 @@ class Tables:
             F.lit("\nEducation:\n- BSc in "), "c_mktsegment", F.lit(", School of "), "n_name",
             F.lit(", "), year, F.when(o % 9 == 0, ".5").otherwise(""),
         )
-        orders = spread(
-            self.read("orders").select(
-                "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"
-            ),
-            "o_orderkey",
+        orders = self.spread_out(
+            "orders",
+            ["o_orderkey"],
+            ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"],
         )
         customer = self.read("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
         nation = self.read("nation").select("n_nationkey", "n_name")
