@@ -23,12 +23,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under spark.checkpoint.dir; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
