@@ -24,6 +24,7 @@ from letterloom.functions.text import (
     find_all,
     let,
     ngrams,
+    ngrams_up_to,
     normalised,
     paragraphs,
     sentence_bodies,
@@ -151,20 +152,25 @@ def forbidden_by_author(
 ) -> DataFrame:
     """The same with a list per author, `forbidden(author_id, phrase)`.
 
-    Word runs are counted inside their text before they meet the lists.
+    The list of an author is one field of their style record, so it fits in a row. A text meets the
+    list of its author once and is searched where it is; its words are not shuffled.
     """
-    lists = forbidden.select(owner, "phrase", normalised(F.col("phrase")).alias("run")).distinct()
-    words = tokens(F.col("text"))
-    runs = reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            outputs.select(*_kept(outputs, "text"), F.explode(ngrams(words, n)).alias("run"))
-            for n in range(1, max_words + 1)
-        ],
-    )
-    keys = _kept(outputs, "text")
-    counted = runs.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(lists, [owner, "run"]).select(*keys, "phrase", "n")
+    entry = F.struct("phrase", normalised(F.col("phrase")).alias("run"))
+    lists = forbidden.groupBy(owner).agg(F.collect_set(entry).alias("entries"))
+
+    def counts(hits: Column) -> Column:
+        return F.transform(
+            "entries",
+            lambda e: F.struct(
+                e["phrase"].alias("phrase"),
+                F.size(F.filter(hits, lambda run: run == e["run"])).alias("n"),
+            ),
+        )
+
+    runs = ngrams_up_to(tokens(F.col("text")), max_words)
+    hits = F.filter(runs, lambda run: F.array_contains(F.col("entries")["run"], run))
+    used = F.filter(let(hits, counts), lambda c: c["n"] > 0)
+    return outputs.join(lists, owner).select(*_kept(outputs, "text"), F.inline(used))
 
 
 def untraceable_numbers(outputs: DataFrame, evidence: DataFrame, owner: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from letterloom.constants import DEFAULT_SECTIONS, ONE_PAGE_YEARS, SKILL_GROUP_LIMIT
 from letterloom.functions.ranking import top_rows
-from letterloom.operators.matching import term_table
 from letterloom.functions.text import (
     has_number,
     literal_texts,
@@ -16,6 +15,7 @@ from letterloom.functions.text import (
     strip,
     tokens,
 )
+from letterloom.operators.matching import term_table
 
 # the look-behind starts a match only at the beginning of a run, so long runs are read once
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -92,11 +92,11 @@ def page_budget(roles: DataFrame, as_of_m: int, has_template: bool = False) -> D
 
     Months are numbered 12 * year + month and a role holds the months from its start up to, but not
     including, its end; a current role ends at `as_of_m`. Counting the distinct months merges
-    overlapping roles without ordering a person's roles in one task: repeated spans and months are
-    combined before each shuffle.
+    overlapping roles without ordering a person's roles in one task: repeated months are combined
+    before each shuffle.
     """
     ended = F.when(F.col("is_current"), F.greatest(F.col("end_m"), F.lit(as_of_m))).otherwise(F.col("end_m"))
-    spans = roles.select("applicant_id", "start_m", ended.alias("end_m")).distinct()
+    spans = roles.select("applicant_id", "start_m", ended.alias("end_m"))
     held = F.when(
         F.col("end_m") > F.col("start_m"), F.sequence(F.col("start_m"), F.col("end_m") - 1)
     )

@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from letterloom.functions.text import let, literal_texts
 
-PROBLEM = "array<struct<path:string,problem:string,expected:string,found:string>>"
 # JSON type names by the first word of a variant's declared type; all others are numbers
 JSON_TYPES = {
     "VOID": "null",
@@ -20,25 +19,12 @@ JSON_TYPES = {
 
 
 def _problem(path: Column, problem: str, expected: str, found: Column) -> Column:
-    return F.array(
-        F.struct(
-            path.alias("path"),
-            F.lit(problem).alias("problem"),
-            F.lit(expected).alias("expected"),
-            found.alias("found"),
-        )
-    ).cast(PROBLEM)
-
-
-def _none() -> Column:
-    return F.array().cast(PROBLEM)
-
-
-def _kind(value: Column) -> Column:
-    """JSON type name of a variant value."""
-    names = F.map_from_arrays(literal_texts(list(JSON_TYPES)), literal_texts(list(JSON_TYPES.values())))
-    declared = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-    return F.coalesce(F.try_element_at(names, declared), F.lit("number"))
+    return F.struct(
+        path.alias("path"),
+        F.lit(problem).alias("problem"),
+        F.lit(expected).alias("expected"),
+        found.alias("found"),
+    )
 
 
 def _expected(kind: T.DataType) -> str:
@@ -51,45 +37,50 @@ def _expected(kind: T.DataType) -> str:
     return "number"
 
 
+def _is(declared: Column, expected: str) -> Column:
+    if expected == "number":
+        return ~declared.isin(list(JSON_TYPES))
+    return declared == next(word for word, name in JSON_TYPES.items() if name == expected)
+
+
 def _check(value: Column, kind: T.DataType, path: Column, optional: bool) -> Column:
+    """Array of the problems of one value; NULL entries stand for checks that hold."""
     expected = _expected(kind)
-    absent = _none() if optional else _problem(path, "missing", expected, F.lit("undefined"))
-    inner = _none()
+    absent = F.lit(None) if optional else _problem(path, "missing", expected, F.lit("undefined"))
+
+    def judged(declared: Column) -> Column:
+        wrong = F.when(~_is(declared, expected), _problem(path, "wrong type", expected, declared))
+        own = F.array(F.when(declared.isNull(), absent).otherwise(wrong))
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            return F.when(_is(declared, expected), _inner(value, kind, path)).otherwise(own)
+        return own
+
+    word = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return let(F.when(value.isNotNull(), word), judged)
+
+
+def _inner(value: Column, kind: T.DataType, path: Column) -> Column:
     if isinstance(kind, T.StructType):
-        inner = F.concat(*[_field(value, field, path) for field in kind.fields])
-    elif isinstance(kind, T.ArrayType):
-        inner = F.flatten(
-            F.transform(
-                F.try_variant_get(value, "$", "array<variant>"),
-                lambda item, i: _check(
-                    item,
-                    kind.elementType,
-                    F.concat(path, F.lit("["), i.cast("string"), F.lit("]")),
-                    False,
-                ),
-            )
-        )
-    elif isinstance(kind, T.MapType):
-        inner = F.flatten(
+        return F.concat(*[_field(value, field, path) for field in kind.fields])
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+        return F.flatten(
             F.transform(
-                F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-                lambda entry: _check(
-                    entry["value"],
-                    kind.valueType,
-                    F.concat(path, F.lit("."), entry["key"]),
-                    False,
+                entries,
+                lambda e: _check(
+                    e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"]), False
                 ),
             )
         )
-
-    def judged(found: Column) -> Column:
-        return (
-            F.when(found.isNull(), absent)
-            .when(found != expected, _problem(path, "wrong type", expected, found))
-            .otherwise(inner)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return F.flatten(
+        F.transform(
+            items,
+            lambda item, i: _check(
+                item, kind.elementType, F.format_string("%s[%d]", path, i), False
+            ),
         )
-
-    return let(F.when(value.isNotNull(), _kind(value)), judged)
+    )
 
 
 def _field(parent: Column, field: T.StructField, path: Column) -> Column:
@@ -102,13 +93,22 @@ def _field(parent: Column, field: T.StructField, path: Column) -> Column:
 
 def violations(json: Column, schema: T.StructType) -> Column:
     """Array of every way in which a JSON text breaks the schema; unknown keys are no violation."""
-    not_json = _problem(F.lit("$"), "not JSON", "object", F.lit("text"))
-    return let(
+    not_json = F.array(_problem(F.lit("$"), "not JSON", "object", F.lit("text")))
+    checked = let(
         F.try_parse_json(json),
         lambda record: F.when(record.isNull(), not_json).otherwise(
             _check(record, schema, F.lit("$"), False)
         ),
     )
+    words = literal_texts([*JSON_TYPES, "undefined", "text"])
+    names = literal_texts([*JSON_TYPES.values(), "undefined", "text"])
+    json_type = F.map_from_arrays(words, names)
+    return F.transform(
+        F.filter(checked, lambda p: p.isNotNull()),
+        lambda p: p.withField(
+            "found", F.coalesce(F.try_element_at(json_type, p["found"]), F.lit("number"))
+        ),
+    )
 
 
 def validate_records(df: DataFrame, json: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:

@@ -375,6 +375,8 @@ SELECT c_custkey AS applicant_id, ok AS is_valid,
   CASE WHEN ok THEN CAST(1990 + c_custkey % 20 AS DOUBLE) ELSE 0.0 END AS graduation_year,
   CASE WHEN ok THEN 0 ELSE 1 END AS n_violations
 FROM (SELECT *, c_custkey % 10 IN (0, 3, 8, 9) AS ok FROM customer) t""",
+    "read_templates": """
+SELECT job_id, concat('{{NAME}} for ', s_name, ' {{SKILLS}}', chr(10)) AS text, 'NAME, SKILLS' AS keys FROM v_jobs""",
     "read_style_cache": """
 SELECT author_id, count(*) FILTER (kind = 'resume') AS n_resumes,
   count(*) FILTER (kind = 'cover_letter') AS n_cover_letters FROM v_samples GROUP BY author_id""",

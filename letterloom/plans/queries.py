@@ -59,7 +59,7 @@ def _joined(column: str, by: str = ", ") -> Column:
 def read_samples(t: Tables) -> DataFrame:
     """Samples written as one file per document and read back whole."""
     folder = shared_folder(t.spark, "samples")
-    t.samples().select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(folder)
+    t.samples().select("doc_id", "text").write.partitionBy("doc_id").text(folder)
     read = files.read_samples(t.spark, folder, "cover_letter")
     return read.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -104,6 +104,19 @@ def read_profiles(t: Tables) -> DataFrame:
     return good.unionByName(bad)
 
 
+@query
+def read_templates(t: Tables) -> DataFrame:
+    """One template file per posting, read back with its holes."""
+    folder = shared_folder(t.spark, "templates")
+    text = F.concat(F.lit("{{NAME}} for "), extract.labelled(F.col("text"), "Company"), F.lit(" {{SKILLS}}"))
+    t.postings().select("job_id", text.alias("text")).write.partitionBy("job_id").text(folder)
+    return files.read_templates(t.spark, folder).select(
+        F.col("job_id").cast("long").alias("job_id"),
+        "text",
+        F.array_join(templates.placeholders(F.col("text")), ", ").alias("keys"),
+    )
+
+
 @query
 def read_style_cache(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "styles")
@@ -238,11 +251,9 @@ def keep_declared_fields(t: Tables) -> DataFrame:
 
 @query
 def dry_run_report(t: Tables) -> DataFrame:
-    customer = F.col("c_custkey")
-    people = t.read("customer").select(customer.alias("applicant_id"))
+    people = t.read("customer").select(F.col("c_custkey").alias("applicant_id"))
     requests = people.withColumn("posting_found", F.col("applicant_id") % 9 != 0)
-    owner = F.col("doc_id") % 1000
-    documents = t.samples().select(owner.alias("applicant_id"), "kind")
+    documents = t.samples().select((F.col("doc_id") % 1000).alias("applicant_id"), "kind")
     checked = keep_declared(t.profile_json(), "json", USER_PROFILE, "profile")
     saved = checked.filter(F.col("applicant_id") % 2 == 0).select(
         "applicant_id", (F.col("applicant_id") % 10 != 6).alias("is_valid")
@@ -337,7 +348,7 @@ def forbidden_by_author(t: Tables) -> DataFrame:
     choices = voice.word_choice(t.samples(), WORD_PAIRS).filter(F.col("preferred") != "")
     other = F.when(F.col("preferred") == F.col("word_a"), F.col("word_b")).otherwise(F.col("word_a"))
     lists = choices.select("author_id", other.alias("phrase"))
-    return checks.forbidden_by_author(owned, lists, max_words=1)
+    return checks.forbidden_by_author(owned, lists)
 
 
 @query
@@ -450,14 +461,14 @@ def page_budget(t: Tables) -> DataFrame:
     return profile.page_budget(t.roles(), AS_OF_M)
 
 
-def _role_outputs(t: Tables) -> DataFrame:
+def _posted_letters(t: Tables) -> DataFrame:
     """Letters as outputs of a job, with their text."""
     return t.letters().select(*LETTER_KEYS, "job_id", "text")
 
 
 @query
 def ats_coverage(t: Tables) -> DataFrame:
-    return checks.ats_coverage(_role_outputs(t), t.requirements(), LETTER_KEYS)
+    return checks.ats_coverage(_posted_letters(t), t.requirements(), LETTER_KEYS)
 
 
 @query
@@ -683,7 +694,7 @@ def _job_details(t: Tables) -> DataFrame:
 
 @query
 def company_specific(t: Tables) -> DataFrame:
-    return checks.company_specific(_role_outputs(t), _job_details(t), LETTER_KEYS)
+    return checks.company_specific(_posted_letters(t), _job_details(t), LETTER_KEYS)
 
 
 def _names(t: Tables) -> DataFrame:

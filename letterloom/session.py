@@ -22,9 +22,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where the session names none."""
+    """A new folder under spark.checkpoint.dir.
+
+    Only a local session may leave the setting out; it gets a temporary folder.
+    """
     context = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from letterloom.operators.intake import visible_only
 from letterloom.operators.records import split_valid
-from letterloom.schemas import USER_PROFILE
+from letterloom.schemas import AUTHOR_STYLE, USER_PROFILE
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +87,16 @@ def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def read_style_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Saved styles, taken as they are."""
+    """Saved styles, taken as they are; `check_styles` tells the sound ones."""
     return spark.read.parquet(path)
 
 
+def check_styles(df: DataFrame, style: str = "style") -> tuple[DataFrame, DataFrame]:
+    """(styles that hold every required field, the others with their violations)."""
+    as_json = df.withColumn("json", F.to_json(style)).drop(style)
+    return split_valid(as_json, "json", AUTHOR_STYLE, style)
+
+
 def load_fetched(df: DataFrame) -> DataFrame:
     """Pages crawled elsewhere: (url, status, body), any other column kept."""
     return df.withColumn("status", F.col("status").cast("int"))

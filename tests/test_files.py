@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from letterloom.operators.matching import default_style
+from letterloom.schemas import AUTHOR_STYLE
 from letterloom.sources import files, sinks
 
 
@@ -56,6 +58,18 @@ def test_read_profiles(spark, tmp_path):
     assert {r["file_name"]: len(r["violations"]) for r in invalid.collect()} == {"b.json": 6, "c.json": 1}
 
 
+def test_saved_styles_are_checked(spark, tmp_path):
+    styles = spark.createDataFrame([("a",), ("b",)], "author_id string").withColumn("style", default_style())
+    cut = F.col("style").withField("voice_profile", F.col("style.voice_profile").dropFields("tone"))
+    folder = str(tmp_path / "styles")
+    styles.withColumn("style", F.when(F.col("author_id") == "b", F.to_json(cut)).otherwise(F.to_json("style"))).write.parquet(folder)
+    saved = files.read_style_cache(spark, folder)
+    typed = saved.withColumn("style", F.from_json("style", AUTHOR_STYLE))
+    good, bad = files.check_styles(typed)
+    assert [r["author_id"] for r in good.collect()] == ["a"]
+    assert [(r["author_id"], r["violations"][0]["path"]) for r in bad.collect()] == [("b", "$.voice_profile.tone")]
+
+
 def test_state_versions(spark, tmp_path):
     first = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     second = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
