@@ -114,25 +114,28 @@ def coverage(applications: DataFrame, requirements: DataFrame, skills: DataFrame
 def transferable(gap: DataFrame, skills: DataFrame, related: DataFrame) -> DataFrame:
     """For every missing skill the related skill held (the first by name) and how many there are.
 
-    `related(skill, covers)` is the caller's; only what covers a gap is looked up among the skills
-    held, and the finds are combined before they are shuffled.
+    `related(skill, topic)` is the caller's: skills with a common topic cover each other. The skills
+    held are counted by topic before the gaps are joined, so related skills are never paired.
     """
-    missing = gap.withColumnRenamed("skill", "covers")
-    held = skills.select("applicant_id", "skill", F.col("skill").alias("held"))
+    held = (
+        skills.join(related, "skill")
+        .groupBy("applicant_id", "topic")
+        .agg(F.min("skill").alias("held"), F.count(F.lit(1)).alias("n_held"))
+    )
     found = (
-        missing.join(related, "covers", "left")
-        .join(held, ["applicant_id", "skill"], "left")
-        .groupBy(*PAIR, "covers")
-        .agg(F.min("held").alias("via"), F.count("held").alias("n_via"))
+        gap.join(related, "skill", "left")
+        .join(held, ["applicant_id", "topic"], "left")
+        .groupBy(*PAIR, "skill")
+        .agg(F.min("held").alias("via"), F.sum("n_held").alias("n_via"))
     )
     mitigation = F.when(
         F.col("via").isNotNull(),
-        F.concat(F.lit("transferable from "), "via", F.lit(", covers "), "covers"),
+        F.concat(F.lit("transferable from "), "via", F.lit(", covers "), "skill"),
     ).otherwise(NO_REFRAME)
     return found.select(
         *PAIR,
-        F.col("covers").alias("missing_skill"),
-        "n_via",
+        F.col("skill").alias("missing_skill"),
+        F.coalesce("n_via", F.lit(0)).alias("n_via"),
         mitigation.alias("mitigation"),
     )
 

@@ -160,20 +160,22 @@ def role_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFra
 
     The name of the person is the first line. An absent place is "".
     """
-    pattern = r"^(.*?) \| (.*?) \| (?:(.*?) \| )?(.*?) to (.*)$"
-    rows = df.select(
+    lines = df.select(
         *keys,
-        strip(F.regexp_extract(text, r"^([^\n]*)", 1)).alias("name"),
+        strip(F.substring_index(text, "\n", 1)).alias("name"),
         F.explode(_list_lines(F.col(text))).alias("line"),
-    ).filter(F.col("line").rlike(pattern))
-    parts = ["title", "company", "location", "start", "end"]
-    return rows.select(
+    )
+    rows = lines.select(*keys, "name", F.split("line", r" \| ").alias("parts"))
+    dates = F.split(F.element_at("parts", -1), " to ", 2)
+    n_parts = F.size("parts")
+    return rows.filter(n_parts.between(3, 4) & (F.size(dates) == 2)).select(
         *keys,
         "name",
-        *[
-            F.coalesce(strip(F.regexp_extract("line", pattern, i)), F.lit("")).alias(part)
-            for i, part in enumerate(parts, 1)
-        ],
+        strip(F.get("parts", F.lit(0))).alias("title"),
+        strip(F.get("parts", F.lit(1))).alias("company"),
+        F.when(n_parts == 4, strip(F.get("parts", F.lit(2)))).otherwise("").alias("location"),
+        strip(F.get(dates, F.lit(0))).alias("start"),
+        strip(F.get(dates, F.lit(1))).alias("end"),
     )
 
 

@@ -67,7 +67,7 @@ def concat_samples(
     )
 
 
-def sentence_numbers(text: Column) -> Column:
+def sentence_numbers(bodies: Column) -> Column:
     """Whole-number sums over the sentences of a text."""
 
     def sums(lengths: Column) -> Column:
@@ -80,12 +80,8 @@ def sentence_numbers(text: Column) -> Column:
             F.size(F.filter(lengths, lambda n: n >= LONG_WORDS)).alias("long"),
         )
 
-    def measured(bodies: Column) -> Column:
-        with_semicolon = F.size(F.filter(bodies, lambda s: s.contains(";")))
-        lengths = F.transform(bodies, sentence_words)
-        return let(lengths, sums).withField("semicolons", with_semicolon)
-
-    return let(sentence_bodies(text), measured)
+    with_semicolon = F.size(F.filter(bodies, lambda s: s.contains(";")))
+    return let(F.transform(bodies, sentence_words), sums).withField("semicolons", with_semicolon)
 
 
 def sentence_profile(samples: DataFrame) -> DataFrame:
@@ -94,7 +90,8 @@ def sentence_profile(samples: DataFrame) -> DataFrame:
     Means and spreads come from whole-number sums, so the result does not depend on the order in
     which partial results arrive.
     """
-    per_doc = samples.select("author_id", sentence_numbers(F.col("text")).alias("s"))
+    numbers = let(sentence_bodies(F.col("text")), sentence_numbers)
+    per_doc = samples.select("author_id", numbers.alias("s"))
     sums = per_doc.groupBy("author_id").agg(
         *[F.sum(f"s.{c}").alias(c) for c in ("n", "words", "squares", "short", "long", "semicolons")]
     )
@@ -115,20 +112,20 @@ def sentence_columns() -> list[Column]:
     ]
 
 
-def habit_numbers(text: Column, separator: str) -> dict[str, Column]:
+def habit_numbers(text: Column, bodies: Column, separator: str) -> dict[str, Column]:
     return {
         "exclamations": F.regexp_count(text, F.lit("!")),
         "dashes": F.regexp_count(text, F.lit("[—–]| - ")),
         "brackets": F.regexp_count(text, F.lit(r"\(")),
         "bullets": F.regexp_count(text, F.lit(BULLET_LINE)),
         "paragraphs": F.size(paragraphs(text, separator)),
-        "sentences": F.size(sentence_bodies(text)),
+        "sentences": F.size(bodies),
     }
 
 
 def formatting_habits(samples: DataFrame, separator: str = BLANK_LINE) -> DataFrame:
     """What can be seen in the layout of an author's texts."""
-    numbers = habit_numbers(F.col("text"), separator)
+    numbers = habit_numbers(F.col("text"), sentence_bodies(F.col("text")), separator)
     sums = samples.groupBy("author_id").agg(
         F.count(F.lit(1)).alias("n_docs"),
         *[F.sum(c).alias(name) for name, c in numbers.items()],
@@ -277,9 +274,9 @@ def absent_words(
     )
 
 
-def sentence_openings(text: Column) -> Column:
+def sentence_openings(bodies: Column) -> Column:
     """The distinct first two words of the sentences of a text."""
-    first_two = F.transform(sentence_bodies(text), opener)
+    first_two = F.transform(bodies, opener)
     return F.filter(F.array_distinct(first_two), lambda p: p != "")
 
 
@@ -287,7 +284,8 @@ def top_transitions(
     samples: DataFrame, k: int = MAX_TRANSITIONS, minimum: int = MIN_TRANSITIONS
 ) -> DataFrame:
     """The two-word sentence openings that an author uses in the most documents."""
-    openings = samples.select("author_id", F.explode(sentence_openings(F.col("text"))).alias("phrase"))
+    phrases = sentence_openings(sentence_bodies(F.col("text")))
+    openings = samples.select("author_id", F.explode(phrases).alias("phrase"))
     counted = (
         openings.groupBy("author_id", "phrase")
         .agg(F.count(F.lit(1)).alias("n_docs"))

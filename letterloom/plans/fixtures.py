@@ -188,10 +188,8 @@ class Tables:
         return self.read("part").select(F.col("p_name").alias("skill")).distinct()
 
     def related(self) -> DataFrame:
-        """Skills that cover each other: those with the same noun. Pairs are made of distinct names."""
-        names = self.vocabulary().withColumn("noun", F.split_part("skill", F.lit(" "), F.lit(2)))
-        other = names.select(F.col("skill").alias("covers"), "noun")
-        return names.join(other, "noun").filter(F.col("skill") != F.col("covers")).select("skill", "covers")
+        """The topic of every skill is its noun."""
+        return self.vocabulary().withColumn("topic", F.split_part("skill", F.lit(" "), F.lit(2)))
 
     def categories(self) -> DataFrame:
         return (

@@ -12,7 +12,7 @@ from letterloom.constants import (
     STRONG_TIER,
 )
 from letterloom.functions.ranking import in_parts, top_rows
-from letterloom.functions.text import has_number
+from letterloom.functions.text import has_number, sentence_bodies
 from letterloom.operators.completion import Completer, complete, generation_prompt
 from letterloom.operators.extract import job_context
 from letterloom.operators.intake import accept_pages, job_slug, page_text, url_key
@@ -54,20 +54,21 @@ def calibrate(
     tagged rows through one counting step and one ranking step, so there is a single chain of
     shuffles, none of which carries a text.
     """
-    text = F.col("text")
-    measured = samples.filter(F.col("kind") == kind).select(
+    text, bodies = F.col("text"), F.col("bodies")
+    habits = habit_numbers(text, bodies, separator)
+    split = samples.filter(F.col("kind") == kind).withColumn("bodies", sentence_bodies(text))
+    measured = split.select(
         "author_id",
         "doc_id",
         F.sha2(text, 256).alias("text_hash"),
-        sentence_numbers(text).alias("s"),
-        F.struct(*[c.alias(n) for n, c in habit_numbers(text, separator).items()]).alias("h"),
+        sentence_numbers(bodies).alias("s"),
+        F.struct(*[c.alias(n) for n, c in habits.items()]).alias("h"),
         phrases_used(text, lexicon).alias("used"),
-        sentence_openings(text).alias("openings"),
+        sentence_openings(bodies).alias("openings"),
         opener(text).alias("opener"),
         sign_off(text).alias("sign_off"),
     )
     once = top_rows(measured, ["author_id", "text_hash"], [F.col("doc_id").asc()], 1)
-    habits = list(habit_numbers(text, separator))
     numbers = {
         "n_docs": F.lit(1),
         **{c: F.col(f"s.{c}") for c in SENTENCE_SUMS},

@@ -107,14 +107,15 @@ def test_matched_and_missing_make_up_the_required(tables, world):
 def test_transferable(spark, tables):
     gap = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, 1, "x"), (2, 1, "y")], "applicant_id int, job_id int, skill string")
     held = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "applicant_id int, skill string")
-    related = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "z")], "skill string, covers string")
+    topics = [("a", "t"), ("b", "t"), ("x", "t"), ("c", "u"), ("z", "u")]
+    related = spark.createDataFrame(topics, "skill string, topic string")
     got = {(r["applicant_id"], r["job_id"], r["missing_skill"]): (r["n_via"], r["mitigation"]) for r in matching.transferable(gap, held, related).collect()}
     assert got[(1, 1, "x")] == got[(1, 2, "x")] == (2, "transferable from a, covers x")
     assert got[(2, 1, "x")] == got[(2, 1, "y")] == (0, "no credible reframe")
 
 
 def test_strategies_hold_every_application_once(spark, tables, world):
-    related = spark.createDataFrame([("red wire", "wire")], "skill string, covers string")
+    related = spark.createDataFrame([("red wire", "t"), ("wire", "t")], "skill string, topic string")
     made = matching.strategise(
         tables["applications"], tables["requirements"], tables["skills"], related, tables["roles"], tables["bullets"]
     )
