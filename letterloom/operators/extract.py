@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.constants import GENERIC_GREETING, NOT_SPECIFIED
+from letterloom.constants import GENERIC_GREETING, NOT_SPECIFIED, WORK_ARRANGEMENTS
 from letterloom.functions.text import (
     find_all,
     literal_texts,
@@ -63,14 +63,16 @@ def posting_header(df: DataFrame, keys: Sequence[str], text: str = "text") -> Da
 def remote_policy(text: Column) -> Column:
     """The work arrangement, from the location if it tells, else from the whole text."""
 
+    remote, hybrid, on_site, unknown = WORK_ARRANGEMENTS
+
     def told_by(source: Column) -> Column:
         return (
-            F.when(source.rlike("(?i)hybrid"), "Hybrid")
-            .when(source.rlike("(?i)remote"), "Remote")
-            .when(source.rlike("(?i)on-?site|in[- ]office"), "On-site")
+            F.when(source.rlike("(?i)hybrid"), hybrid)
+            .when(source.rlike("(?i)remote"), remote)
+            .when(source.rlike("(?i)on-?site|in[- ]office"), on_site)
         )
 
-    return F.coalesce(told_by(labelled(text, "Location")), told_by(text), F.lit(NOT_SPECIFIED))
+    return F.coalesce(told_by(labelled(text, "Location")), told_by(text), F.lit(unknown))
 
 
 AMOUNT = r"[$€£][ ]?([0-9][0-9.,]*)[ ]?([kK]?)"

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from letterloom.constants import FILLER_WORDS
-from letterloom.functions.text import NUMBER, find_all
 from letterloom.operators import checks, extract, intake, matching, profile, templates, voice
 from letterloom.operators.completion import (
     complete,
