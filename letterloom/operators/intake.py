@@ -82,6 +82,11 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.substring(readable, 1, URL_KEY_CHARS)).otherwise(hashed)
 
 
+def posting_file(url: Column) -> Column:
+    """The name under which a fetched posting is kept."""
+    return F.concat(url_key(url), F.lit(".md"))
+
+
 def job_slug(company: Column, title: Column) -> Column:
     """Slug of one (company, title); texts without a letter or digit share the name `unnamed`."""
     made = slug(F.concat(company, F.lit("_"), title))

@@ -408,7 +408,9 @@ SELECT page_id, status, CASE WHEN status <> 200 THEN 'HTTP 404'
     "page_text": "SELECT page_id, text FROM (%s) t" % VIEWS["v_text_pages"].replace(
         "v_fetched", "(SELECT page_id, url, html AS body, 200 AS status FROM pages) p"
     ),
-    "url_key": f"SELECT page_id, {url_key('source')} AS url_key FROM v_requests WHERE page_id % 7 <> 0",
+    "url_key": f"""
+SELECT *, concat(url_key, '.md') AS file_name
+FROM (SELECT page_id, {url_key('source')} AS url_key FROM v_requests WHERE page_id % 7 <> 0) t""",
     "job_slug": f"""
 SELECT doc_id, {slug("concat(author_id, '_', regexp_extract(text, '^([^' || chr(10) || ']*)', 1))")} AS job_slug
 FROM v_samples""",
@@ -725,6 +727,13 @@ SELECT applicant_id, job_id, coalesce(roles, '') AS roles, coalesce(skills, '')
   coalesce(hooks, '') AS hooks
 FROM v_applications LEFT JOIN chosen USING (applicant_id, job_id) LEFT JOIN matched USING (applicant_id, job_id)
 LEFT JOIN gaps USING (applicant_id, job_id) LEFT JOIN hooked USING (applicant_id, job_id)""",
+    "output_documents": """
+SELECT applicant_id, job_id, slug AS job_slug, file_name, CASE file_name
+    WHEN 'cover_letter.md' THEN concat('Dear ', s_name, ',', chr(10), chr(10), c_name)
+    WHEN 'resume.md' THEN concat('# ', c_name) ELSE concat(c_name, ' at {{PLACE}} by strong') END AS text
+FROM v_applications JOIN v_jobs USING (job_id) JOIN customer ON c_custkey = applicant_id,
+  (SELECT unnest(['cover_letter.md', 'resume.md', 'resume.tex']) AS file_name) f
+WHERE file_name <> 'resume.tex' OR job_id % 2 = 0""",
     "produce": """
 SELECT applicant_id, job_id, slug AS job_slug, concat('Dear ', s_name, ',', chr(10), chr(10), c_name) AS cover_letter,
   concat('# ', c_name) AS resume_content,

@@ -254,3 +254,14 @@ def produce(
     kept = spark.read.parquet(folder).select("*", "answer.*").drop("answer", "answer_json")
     return unfilled(inject(kept, "template", "template_variables"))
 
+
+def output_documents(made: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The documents of `produce` as rows (keys, job_slug, file_name, text), ready to be written."""
+    named = {"cover_letter.md": "cover_letter", "resume.md": "resume_content", "resume.tex": "filled"}
+    files = [
+        F.struct(F.lit(name).alias("file_name"), F.col(text).alias("text"))
+        for name, text in named.items()
+    ]
+    rows = made.select(*keys, "job_slug", F.inline(F.array(*files)))
+    return rows.filter(F.col("text").isNotNull())
+

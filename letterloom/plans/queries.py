@@ -222,7 +222,11 @@ def page_text(t: Tables) -> DataFrame:
 @query
 def url_key(t: Tables) -> DataFrame:
     urls = t.requests().filter(F.lower("source").startswith("http"))
-    return urls.select("page_id", intake.url_key(F.col("source")).alias("url_key"))
+    return urls.select(
+        "page_id",
+        intake.url_key(F.col("source")).alias("url_key"),
+        intake.posting_file(F.col("source")).alias("file_name"),
+    )
 
 
 @query
@@ -952,8 +956,7 @@ def strategise(t: Tables) -> DataFrame:
     )
 
 
-@query
-def produce(t: Tables) -> DataFrame:
+def _made(t: Tables) -> DataFrame:
     """Documents for every application, with a rule in place of the model."""
 
     def fn(prompt: str, schema: str, tier: str) -> str:
@@ -981,8 +984,20 @@ def produce(t: Tables) -> DataFrame:
         F.col("job_context").alias("job"),
         template.alias("text"),
     )
-    made = phases.produce(assembled.withColumn("template", F.col("text")), fn)
-    return made.select(
+    return phases.produce(assembled.withColumn("template", F.col("text")), fn)
+
+
+@query
+def output_documents(t: Tables) -> DataFrame:
+    """All documents written under the slug of their job and read back."""
+    folder = shared_folder(t.spark, "documents")
+    sinks.write_outputs(phases.output_documents(_made(t), ["applicant_id", "job_id"]), folder)
+    return t.spark.read.parquet(folder)
+
+
+@query
+def produce(t: Tables) -> DataFrame:
+    return _made(t).select(
         "applicant_id",
         "job_id",
         "job_slug",

@@ -35,9 +35,14 @@ def write_profile(df: DataFrame, editable: str, debug: str) -> None:
 
 
 def write_outputs(df: DataFrame, path: str) -> None:
-    """Documents by job slug; a slug that is written again replaces its earlier documents."""
+    """Documents by job slug; a slug that is written again replaces its earlier documents.
+
+    The rows are gathered by slug first, so a slug gets few files; the rebalance hint lets Spark
+    split a slug that holds very many documents.
+    """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", "job_slug")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("job_slug")
         .parquet(path)

@@ -89,32 +89,43 @@ def profile(**changes):
     return json.dumps({k: v for k, v in record.items() if v is not ...})
 
 
-@pytest.mark.parametrize(
-    ("text", "problems"),
-    [
-        (profile(), []),
-        (profile(hobby="x"), []),
-        (profile(phone="1"), []),
-        (profile(phone=None), [("$.phone", "wrong type", "null")]),
-        (profile(email=...), [("$.email", "missing", "undefined")]),
-        (profile(skills="x"), [("$.skills", "wrong type", "string")]),
-        (profile(skills=["x", 1, True]), [("$.skills[1]", "wrong type", "number"), ("$.skills[2]", "wrong type", "boolean")]),
-        (profile(experience=[{}])[:-1] + ', "name": 5}', None),
-        (profile(education=[{"degree": "d", "school": "s", "graduation_year": "2000"}]),
-         [("$.education[0].graduation_year", "wrong type", "string")]),
-        ("[1]", [("$", "wrong type", "array")]),
-        ("{", [("$", "not JSON", "text")]),
-    ],
-)
-def test_validation(spark, text, problems):
-    df = spark.createDataFrame([(1, text)], "id int, json string")
-    found = validate_records(df, "json", USER_PROFILE, ["id"]).collect()
-    if problems is None:
-        assert found
-    else:
-        assert [(r["path"], r["problem"], r["found"]) for r in found] == problems
+RECORDS = [
+    (profile(), []),
+    (profile(hobby="x"), []),
+    (profile(phone="1"), []),
+    (profile(phone=None), [("$.phone", "wrong type", "null")]),
+    (profile(email=...), [("$.email", "missing", "undefined")]),
+    (profile(skills="x"), [("$.skills", "wrong type", "string")]),
+    (
+        profile(skills=["x", 1, True]),
+        [("$.skills[1]", "wrong type", "number"), ("$.skills[2]", "wrong type", "boolean")],
+    ),
+    (
+        profile(experience=[{"title": "t", "company": "c", "location": "", "start_date": "", "bullets": {}}]),
+        [
+            ("$.experience[0].end_date", "missing", "undefined"),
+            ("$.experience[0].bullets", "wrong type", "object"),
+        ],
+    ),
+    (
+        profile(education=[{"degree": "d", "school": "s", "graduation_year": "2000"}]),
+        [("$.education[0].graduation_year", "wrong type", "string")],
+    ),
+    ("[1]", [("$", "wrong type", "array")]),
+    ("{", [("$", "not JSON", "text")]),
+]
+
+
+def test_validation(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(RECORDS)]
+    df = spark.createDataFrame(rows, "id int, json string")
+    found = {}
+    for r in validate_records(df, "json", USER_PROFILE, ["id"]).collect():
+        found.setdefault(r["id"], []).append((r["path"], r["problem"], r["found"]))
+    assert found == {i: problems for i, (_, problems) in enumerate(RECORDS) if problems}
     valid, invalid = split_valid(df, "json", USER_PROFILE)
-    assert (valid.count(), invalid.count()) == ((0, 1) if found else (1, 0))
+    assert {r["id"] for r in valid.collect()} == {0, 1, 2}
+    assert {r["id"] for r in invalid.collect()} == set(range(3, len(RECORDS)))
 
 
 def test_unknown_keys_are_dropped(spark):
