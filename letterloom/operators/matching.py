@@ -146,23 +146,25 @@ def term_table(skills: DataFrame) -> DataFrame:
     return materialise(distinct.withColumn("term", normalised(F.col("skill"))), "terms")
 
 
-def link_bullets(bullets: DataFrame, requirements: DataFrame, max_words: int = 3) -> DataFrame:
+def link_bullets(
+    bullets: DataFrame, requirements: DataFrame, max_words: int = 3, distinct: bool = True
+) -> DataFrame:
     """Which required or preferred terms every bullet supports, by naming them word for word.
 
     Word runs of a bullet meet the distinct terms, never the postings, so that the result does not
     grow with the number of postings that ask for a term. The terms are written first: if the table
     of terms is small it is broadcast and the runs are not shuffled. Terms of more than `max_words`
-    words are looked for with a larger `max_words`.
+    words are looked for with a larger `max_words`. A term is linked once per bullet row; `distinct`
+    also makes bullets that are listed twice count once, which callers that count terms do not need.
     """
     terms = term_table(requirements)
     runs = bullets.withColumn(
         "term", F.explode(F.array_distinct(ngrams_up_to(tokens(F.col("text")), max_words)))
     )
-    return (
-        runs.join(terms, "term")
-        .select(*bullets.columns, "skill", F.size(F.split("term", " ")).alias("overlap"))
-        .distinct()
+    links = runs.join(terms, "term").select(
+        *bullets.columns, "skill", F.size(F.split("term", " ")).alias("overlap")
     )
+    return links.distinct() if distinct else links
 
 
 def top_roles(

@@ -489,7 +489,7 @@ def latest_wins(t: Tables) -> DataFrame:
 
 @query
 def top_roles(t: Tables) -> DataFrame:
-    links = matching.link_bullets(t.bullets(), t.requirements())
+    links = matching.link_bullets(t.bullets(), t.requirements(), distinct=False)
     return matching.top_roles(t.applications(), t.requirements(), links, t.roles())
 
 
