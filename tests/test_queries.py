@@ -8,7 +8,8 @@ import pytest
 from compare import database, difference, spark_rows, sql_rows
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+QUERIES = registry.catalog.registered()
+ORACLES = registry.oracles.statements()
 
 
 @pytest.fixture(scope="module")
