@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from letterloom.functions.ranking import top_rows
 from letterloom.session import materialise
 
-PIVOTS = 128
-ORDER = 24
+PIVOTS = 512
+ORDER = 64
 INDEX_BLOCK = 16_384
 QUERY_BLOCK = 1_024
-SHARE = 0.12
+SHARE = 0.08
 LEAST = 1_000
 
 
@@ -75,18 +75,18 @@ class InvertedFiles:
         n, depth = orders.shape
         flat = orders.ravel()
         by = np.argsort(flat, kind="stable")
-        self.rows, self.places = by // depth, by % depth
+        self.rows, self.places = by // depth, (by % depth).astype(np.int32)
         self.ends = np.cumsum(np.bincount(flat, minlength=pivots))
         self.n, self.depth = n, depth
 
     def footrule(self, order: np.ndarray) -> np.ndarray:
         """Footrule distance of every posted vector to a query's order."""
-        gain = np.zeros(self.n, np.int64)
+        gain = np.zeros(self.n, np.int32)
         for place, pivot in enumerate(order):
             part = slice(self.ends[pivot - 1] if pivot else 0, self.ends[pivot])
             # |a - b| instead of (depth - a) + (depth - b)
             gain[self.rows[part]] += 2 * (self.depth - np.maximum(self.places[part], place))
-        return self.depth * (self.depth + 1) - gain
+        return self.depth * (self.depth + 1) - gain.astype(np.int64)
 
 
 def search(
