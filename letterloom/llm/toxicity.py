@@ -1,16 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from letterloom.llm.common import annotate, free_name, plain_words
+from letterloom.llm.common import annotate, free_name, pieces, plain_words, texts
 from letterloom.session import materialise
 
 BLOCK = 64
+#: Besides whole words, their first so many bytes are terms too, for the forms of one stem.
+STEMS = (4, 5)
 
 SCORED = T.StructType(
     [
@@ -64,56 +69,86 @@ def labelled_examples(
     return found.join(picked, "id").groupBy("id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
 
 
-def build_index(examples: DataFrame, max_terms: int, min_docs: int, z: float) -> Index:
+def terms_of(words: list[bytes]) -> list[list[bytes]]:
+    """The terms of each word: itself, and the stems of longer ones marked with a star."""
+    return [[w, *(w[:n] + b"*" for n in STEMS if len(w) > n)] for w in words]
+
+
+def build_index(examples: DataFrame, max_terms: int, min_contexts: int, z: float) -> Index:
     """The index over the terms that tell the classes apart.
 
-    Terms are the words whose share of toxic examples differs from the overall share by `z` standard
-    errors, at most `max_terms` of them; the rest say nothing about the label, and their TF-IDF
-    weight would drown what does.
+    A term counts once for each different next word in a class, so that a passage that is copied
+    through many examples is one occurrence. Terms are kept if the toxic share of theirs is above
+    that of all by `z` standard errors, at most `max_terms` of them; the rest do not speak for
+    toxicity, and their TF-IDF weight would drown what does.
     """
-    schema = "id long, label int, word binary, n int"
-
-    def counted(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for i, label, t in zip(pdf["id"], pdf["label"], pdf["text"], strict=True):
-                words, counts = np.unique(np.array(plain_words(t.encode()), dtype=object), return_counts=True)
-                rows += [(i, label, w, c) for w, c in zip(words, counts, strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "label", "word", "n"])
-
-    words = materialise(examples.select("id", "label", "text").mapInPandas(counted, schema), "words")
-    base = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = base.get(0, 0), base.get(1, 0)
-    share = n1 / max(1, n0 + n1)
-    d0, d1 = F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)
-    spread = F.sqrt((F.col("d0") + F.col("d1")) * F.lit(max(share * (1 - share), 1e-12)))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            columns: list[list] = [[], [], [], [], []]
+            ids, labels = piece.column("id").to_pylist(), piece.column("label").to_pylist()
+            for i, label, t in zip(ids, labels, texts(piece, "text"), strict=True):
+                words = plain_words(t)
+                pairs = Counter(
+                    (term, after)
+                    for terms, after in zip(terms_of(words), [*words[1:], b""], strict=True)
+                    for term in terms
+                )
+                for column, values in zip(
+                    columns,
+                    ([i] * len(pairs), [label] * len(pairs), [t for t, _ in pairs], [a for _, a in pairs], pairs.values()),
+                    strict=True,
+                ):
+                    column.extend(values)
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                names=["id", "label", "term", "after", "n"],
+            )
+
+    schema = "id long, label int, term binary, after binary, n long"
+    occurring = examples.select("id", "label", "text").mapInArrow(counted, schema)
+    contexts = (
+        occurring.groupBy("term", "after")
+        .agg(F.max(1 - F.col("label")).alias("clean"), F.max("label").alias("toxic"))
+        .groupBy("term")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    )
+    contexts = materialise(contexts, "contexts")
+    all_clean, all_toxic = contexts.agg(
+        F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))
+    ).first()
+    share = all_toxic / max(1, all_clean + all_toxic)
+    n = F.col("clean") + F.col("toxic")
     telling = (
-        words.groupBy("word")
-        .agg(d0.alias("d0"), d1.alias("d1"))
-        .filter(F.col("d0") + F.col("d1") >= min_docs)
-        .withColumn("z", F.abs(F.col("d1") - (F.col("d0") + F.col("d1")) * F.lit(share)) / spread)
+        contexts.filter(n >= min_contexts)
+        .withColumn("z", (F.col("toxic") - n * share) / F.sqrt(n * max(share * (1 - share), 1e-12)))
         .filter(F.col("z") >= z)
-        .orderBy(F.col("z").desc(), "word")
+        .orderBy(F.col("z").desc(), "term")
         .limit(max_terms)
         .collect()
     )
-    terms = {bytes(r["word"]): i for i, r in enumerate(telling)}
-    idf = np.array([np.log((1 + n0 + n1) / (1 + r["d0"] + r["d1"])) + 1 for r in telling])
-    kept = words.join(F.broadcast(_frame(examples, list(terms))), "word").select("id", "word", "n").collect()
+    terms = {bytes(r["term"]): i for i, r in enumerate(telling)}
+    # at most max_terms rows an example
+    kept = (
+        occurring.join(F.broadcast(_frame(examples, list(terms))), "term")
+        .groupBy("id", "term")
+        .agg(F.sum("n").alias("n"))
+        .collect()
+    )
     people = examples.select("id", "label").orderBy("id").collect()
     place = {r["id"]: i for i, r in enumerate(people)}
     weights = np.zeros((len(people), max(1, len(terms))))
     for r in kept:
-        t = terms[bytes(r["word"])]
-        weights[place[r["id"]], t] = (1 + np.log(r["n"])) * idf[t]
+        weights[place[r["id"]], terms[bytes(r["term"])]] = 1 + np.log(r["n"])
+    idf = np.log((1 + len(people)) / (1 + (weights > 0).sum(axis=0))) + 1
+    weights *= idf
     labels = np.array([r["label"] for r in people], dtype=np.int64)
     ids = np.array([r["id"] for r in people], dtype=np.int64)
     norm = np.sqrt((weights**2).sum(axis=1))
     silent = norm == 0
     # add-one share, so that no evidence never gives certainty
-    default = (labels[silent].sum() + share) / (silent.sum() + 1) if len(people) else 0.0
+    default = (labels[silent].sum() + labels.mean()) / (silent.sum() + 1) if len(people) else 0.0
     keep = np.flatnonzero(~silent)
     weights = weights[keep] / norm[keep, None]
     order = np.lexsort((ids[keep], weights.argmax(axis=1) if len(keep) else []))
@@ -126,8 +161,8 @@ def build_index(examples: DataFrame, max_terms: int, min_docs: int, z: float) ->
 
 
 def _frame(df: DataFrame, words: list[bytes]) -> DataFrame:
-    """At most `max_terms` words as a table."""
-    return df.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    """At most `max_terms` terms as a table."""
+    return df.sparkSession.createDataFrame([(bytearray(w),) for w in words], "term binary")
 
 
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,21 +189,22 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int) -> tup
 
 def _scorer(index: Index, k: int, threshold: float):
     names = [w.decode(errors="replace") for w in index.terms]
+    whole = {w: i for w, i in index.terms.items() if not w.endswith(b"*")}
+    by_stem = [
+        (n, {w[:-1]: i for w, i in index.terms.items() if w.endswith(b"*") and len(w) == n + 1}) for n in STEMS
+    ]
 
     def score(texts: list[bytes]):
         scores, predicted, evidence, neighbours = [], [], [], []
-        get, known = index.terms.get, index.terms.keys()
         memo: dict[tuple, tuple] = {}
         for text in texts:
             words = plain_words(text)
-            if known.isdisjoint(words):
-                counts = ()
-            else:
-                tally: dict[int, int] = {}
-                for t in map(get, words):
-                    if t is not None:
-                        tally[t] = tally.get(t, 0) + 1
-                counts = tuple(sorted(tally.items()))
+            found = [] if whole.keys().isdisjoint(words) else [whole[w] for w in words if w in whole]
+            for n, stems in by_stem:
+                starts = [w[:n] for w in words if len(w) > n]
+                if not stems.keys().isdisjoint(starts):
+                    found += [stems[w] for w in starts if w in stems]
+            counts = tuple(sorted(Counter(found).items()))
             if counts not in memo:
                 memo[counts] = vote(counts)
             s, why, near = memo[counts]
@@ -221,14 +257,14 @@ def train(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    per_class: int = 3000,
+    per_class: int = 2000,
     max_chars: int = 20_000,
     max_terms: int = 512,
-    min_docs: int = 5,
+    min_contexts: int = 5,
     z: float = 6.0,
 ) -> Index:
     """The index of a bounded sample of labelled documents; without labelled rows all scores are 0."""
     examples = materialise(
         labelled_examples(docs, labels, key, text, label, per_class, max_chars), "labelled"
     )
-    return build_index(examples, max_terms, min_docs, z)
+    return build_index(examples, max_terms, min_contexts, z)
