@@ -25,7 +25,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Sketches are dealt anew, with other cells, for documents too many of whose cells are nearly empty.
 LEVELS = 64
 SKETCH_WORDS = 8
-BAND_RATIO = 0.6
+#: A band holds sizes up to twice the one below; it has a cell for so many of the largest size.
+SHINGLES_A_CELL = 2.8
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -47,51 +48,46 @@ def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int = SHINGLE) -
     return out
 
 
-def band_tops(upto: int) -> np.ndarray:
-    """Largest sizes of the bands, from 4 (below which only equal sets are similar enough)."""
-    tops = [4]
-    while tops[-1] < upto:
-        tops.append(max(tops[-1] + 1, int(tops[-1] / BAND_RATIO)))
-    return np.array(tops)
-
-
-_TOPS = band_tops(1 << 40)
-
-
-def cells_of(top: int) -> tuple[int, int]:
-    """Most differences between two similar sets of a band, and the number of cells of its sketches."""
-    most = 2 * top * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-    return most, most + (max(2, most // 4) if most else 1)
+def most_differences(size: int, top: int) -> int:
+    """Largest symmetric difference of a set of `size` and a similar one of at most `top` shingles."""
+    other = min(top, size * DENOMINATOR // NUMERATOR)
+    return (size + other) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
 def cell_keys(shingles: np.ndarray) -> np.ndarray:
-    """Join keys of one set: its cells in its own size band and in those a similar larger set can have.
-
-    Cells of fewer than two shingles are left out, as many documents without anything else in common
-    share them. A pair with at most `most` differences has at least cells - most equal cells, so a
-    document with fewer cells left out than that loses no pair. One with more also sketches itself
-    anew with other cells; so does any document it could have missed, for the same reason. After
-    the last level such documents share one key.
+    """Join keys of one set: cells in its own size band, and in the next if a similar set can be there.
+
+    Only cells of two shingles or more give keys, as many documents that have a passage in common
+    share cells of a single one. In the order of the cells a set gives the first `most` + 1 such
+    cells, if it allows `most` differences. Take two similar sets and the one whose keys reach less
+    far: at most `most` of its cells differ in the other, so one is equal there, and within reach. A
+    set with too few such cells gives all it has and deals its shingles anew to other cells. It meets
+    every set that had enough; one that had not is dealt anew like it. After the last level such sets
+    share one key.
     """
     size = len(shingles)
-    first = int(np.searchsorted(_TOPS, size))
-    last = int(np.searchsorted(_TOPS, size * DENOMINATOR // NUMERATOR))
-    out = []
-    for band in range(first, last + 1):
-        most, cells = cells_of(int(_TOPS[band]))
+    own = max(2, (size - 1).bit_length())  # bands up to 4, 8, 16, ... shingles
+    out = [_EMPTY]
+    for band in (own, own + 1):
+        top = 1 << band
+        most = most_differences(size, top)
+        # sets without differences are equal, and one class already
+        if not most or (band > own and size * DENOMINATOR // NUMERATOR <= top // 2):
+            continue
+        cells = max(2, round(top / SHINGLES_A_CELL))
         for level in range(LEVELS + 1):
-            salt = np.uint64((band << 8 | (level + 1)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            salt = mix(np.array([band << 8 | (level + 1)], np.uint64))
             if level == LEVELS:
-                out.append(mix(np.array([salt], np.uint64)))
+                out.append(salt)
                 break
-            dealt = mix(shingles ^ mix(np.array([salt], np.uint64)))
-            cell = ((dealt >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+            dealt = mix(shingles ^ salt)
+            cell = (((dealt >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
             parity = np.zeros(cells, np.uint64)
-            np.bitwise_xor.at(parity, cell.astype(np.int64), dealt)
-            held = np.bincount(cell.astype(np.int64), minlength=cells)
-            full = np.flatnonzero((held >= 2) | (most == 0))
-            out.append(mix(mix(parity[full] + salt) ^ full.astype(np.uint64)))
-            if cells - len(full) < cells - most:
+            np.bitwise_xor.at(parity, cell, dealt)
+            full = np.flatnonzero(np.bincount(cell, minlength=cells) >= 2)
+            given = full[: most + 1]
+            out.append(mix(mix(parity[given] + salt) ^ given.astype(np.uint64)))
+            if len(full) > most:
                 break
     return np.concatenate(out)
 
@@ -122,25 +118,24 @@ def _map(docs: DataFrame, schema: str, rows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _profile(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-    full = [len(s) > 0 for s in sets]
-    return [
-        ids,
-        pa.array([len(s) for s in sets], pa.int64()),
-        pa.array([identity(s) if f else None for s, f in zip(sets, full, strict=True)], pa.int64()),
-        pa.array([sketch(s) if f else None for s, f in zip(sets, full, strict=True)], pa.list_(pa.int64())),
-    ]
+PROFILE = "id long, n long, set long, sketch array<long>, keys array<long>"
 
 
-def _keys(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-    # equal sets of a piece send their keys once
-    own = {identity(s): s for s in sets if len(s)}
-    keys = [cell_keys(s) for s in own.values()]
-    lengths = [len(k) for k in keys]
-    return [
-        pa.array(np.concatenate([_EMPTY, *keys]).view(np.int64)),
-        pa.array(np.repeat(np.array(list(own), np.int64), lengths)),
-    ]
+def _profile(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
+    sent: set[int] = set()
+    rows: list[tuple] = []
+    for i, s in zip(ids.to_pylist(), sets, strict=True):
+        own = identity(s) if len(s) else None
+        # equal sets of a piece give their keys once
+        first = own is not None and i is not None and own not in sent
+        if first:
+            sent.add(own)
+        rows.append(
+            (len(s), own, sketch(s) if len(s) else None, cell_keys(s).view(np.int64) if first else None)
+        )
+    n, own, bits, keys = zip(*rows, strict=True)
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    return [ids, pa.array(n, long), pa.array(own, long), pa.array(bits, longs), pa.array(keys, longs)]
 
 
 def _sets(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
@@ -166,17 +161,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nothing. Rows that repeat a doc_id are one set each. Extra columns are ignored.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    profile = materialise(
-        _map(rows, "id long, n long, set long, sketch array<long>", _profile), "profiles"
-    )
+    profile = materialise(_map(rows, PROFILE, _profile), "profiles")
     classes = materialise(
         profile.filter(F.col("set").isNotNull() & F.col("id").isNotNull())
         .groupBy("set")
         .agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    known = rows.filter(F.col("id").isNotNull())
-    keys = _map(known, "key long, set long", _keys)
+    keys = profile.filter(F.col("keys").isNotNull()).select("set", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     members = materialise(
         keys.withColumn("least", F.min("set").over(bucket))
