@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.llm.common import WordHashes, mix, pieces, spaced_words, texts
@@ -25,6 +25,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Sketches are dealt anew, with other cells, for documents too many of whose cells are nearly empty.
 LEVELS = 64
 SKETCH_WORDS = 8
+#: Buckets of more sets that hold several groups are left by the sets that can do without them.
+LARGE_BUCKET = 12
 #: A band holds sizes up to twice the one below; it has a cell for so many of the largest size.
 SHINGLES_A_CELL = 2.8
 
@@ -54,20 +56,21 @@ def most_differences(size: int, top: int) -> int:
     return (size + other) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
 
 
-def cell_keys(shingles: np.ndarray) -> np.ndarray:
+def cell_keys(shingles: np.ndarray) -> tuple[np.ndarray, list[int | None]]:
     """Join keys of one set: cells in its own size band, and in the next if a similar set can be there.
+    Also, for the even and the odd band, how many of its keys the set can do without.
 
     Only cells of two shingles or more give keys, as many documents that have a passage in common
-    share cells of a single one. In the order of the cells a set gives the first `most` + 1 such
-    cells, if it allows `most` differences. Take two similar sets and the one whose keys reach less
-    far: at most `most` of its cells differ in the other, so one is equal there, and within reach. A
-    set with too few such cells gives all it has and deals its shingles anew to other cells. It meets
-    every set that had enough; one that had not is dealt anew like it. After the last level such sets
-    share one key.
+    share cells of a single one. If the set allows `most` differences to a similar one, at most so
+    many of its cells differ there; so with more keys than that one of them is the other's too, and
+    that holds for any `most` + 1 of them. A set with too few gives all it has and deals its shingles
+    anew to other cells. It meets every set that had enough; one that had not is dealt anew like it.
+    After the last level such sets share one key. The last bit of a key is that of its band.
     """
     size = len(shingles)
     own = max(2, (size - 1).bit_length())  # bands up to 4, 8, 16, ... shingles
-    out = [_EMPTY]
+    out: list[np.ndarray] = [_EMPTY]
+    spare: list[int | None] = [None, None]
     for band in (own, own + 1):
         top = 1 << band
         most = most_differences(size, top)
@@ -77,19 +80,20 @@ def cell_keys(shingles: np.ndarray) -> np.ndarray:
         cells = max(2, round(top / SHINGLES_A_CELL))
         for level in range(LEVELS + 1):
             salt = mix(np.array([band << 8 | (level + 1)], np.uint64))
-            if level == LEVELS:
-                out.append(salt)
+            keys = salt
+            if level < LEVELS:
+                dealt = mix(shingles ^ salt)
+                cell = (((dealt >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+                parity = np.zeros(cells, np.uint64)
+                np.bitwise_xor.at(parity, cell, dealt)
+                full = np.flatnonzero(np.bincount(cell, minlength=cells) >= 2)
+                keys = mix(mix(parity[full] + salt) ^ full.astype(np.uint64))
+                if not level:
+                    spare[band & 1] = len(full) - most - 1
+            out.append(keys & np.uint64(0xFFFFFFFFFFFFFFFE) | np.uint64(band & 1))
+            if len(keys) > most:
                 break
-            dealt = mix(shingles ^ salt)
-            cell = (((dealt >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
-            parity = np.zeros(cells, np.uint64)
-            np.bitwise_xor.at(parity, cell, dealt)
-            full = np.flatnonzero(np.bincount(cell, minlength=cells) >= 2)
-            given = full[: most + 1]
-            out.append(mix(mix(parity[given] + salt) ^ given.astype(np.uint64)))
-            if len(full) > most:
-                break
-    return np.concatenate(out)
+    return np.concatenate(out), spare
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -118,7 +122,7 @@ def _map(docs: DataFrame, schema: str, rows) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-PROFILE = "id long, n long, set long, sketch array<long>, keys array<long>"
+PROFILE = "id long, n long, set long, sketch array<long>, keys array<long>, spare array<int>"
 
 
 def _profile(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
@@ -130,12 +134,14 @@ def _profile(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
         first = own is not None and i is not None and own not in sent
         if first:
             sent.add(own)
-        rows.append(
-            (len(s), own, sketch(s) if len(s) else None, cell_keys(s).view(np.int64) if first else None)
-        )
-    n, own, bits, keys = zip(*rows, strict=True)
+        keys, spare = cell_keys(s) if first else (None, None)
+        rows.append((len(s), own, sketch(s) if len(s) else None, keys if keys is None else keys.view(np.int64), spare))
+    n, own, bits, keys, spare = zip(*rows, strict=True)
     long, longs = pa.int64(), pa.list_(pa.int64())
-    return [ids, pa.array(n, long), pa.array(own, long), pa.array(bits, longs), pa.array(keys, longs)]
+    return [
+        ids, pa.array(n, long), pa.array(own, long), pa.array(bits, longs), pa.array(keys, longs),
+        pa.array(spare, pa.list_(pa.int32())),
+    ]
 
 
 def _sets(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
@@ -165,7 +171,12 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = materialise(
         profile.filter(F.col("set").isNotNull() & F.col("id").isNotNull())
         .groupBy("set")
-        .agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(
+            F.min("id").alias("first"),
+            F.first("n").alias("n"),
+            F.first("sketch").alias("sketch"),
+            F.first("spare", ignorenulls=True).alias("spare"),
+        ),
         "classes",
     )
     keys = profile.filter(F.col("keys").isNotNull()).select("set", F.explode("keys").alias("key"))
@@ -185,28 +196,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = _candidate_sets(rows, members, classes)
     links = materialise(_verified(_possible(stars, classes), sets), "links")
     groups = materialise(components(links), "groups")
-    # buckets that hold several groups still: each pair across groups that shares a bucket, once
     label = groups.select(F.col("node").alias("set"), "component")
-    labelled = members.join(label, "set", "left").withColumn(
-        "component", F.coalesce("component", F.col("set"))
-    )
-    mixed = labelled.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).filter(F.col("low") < F.col("high"))
-    across = labelled.join(mixed.select("key"), "key").select("key", "set", "component")
-    other = across.select("key", F.col("set").alias("b"), F.col("component").alias("other"))
-    pairs = (
-        _possible(
-            across.withColumnRenamed("set", "a")
-            .join(other, "key")
-            .filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")))
-            .select("a", "b")
-            .distinct()
-            .join(stars, ["a", "b"], "left_anti"),
-            classes,
-        )
-    )
-    late = materialise(_verified(pairs, sets), "late")
+    late = materialise(_verified(_across(members, label, classes).join(stars, ["a", "b"], "left_anti"), sets), "late")
     if late.isEmpty():
         every = links
     else:
@@ -238,22 +229,72 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes whose sizes and bit sketches allow the similarity."""
-    a = classes.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b = classes.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+def _similar_enough(a: str, b: str) -> Column:
+    """Sizes and bit sketches of n_a, sketch_a and n_b, sketch_b allow the similarity."""
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
     apart = F.aggregate(
-        F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(f"sketch_{a}", f"sketch_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
         lambda total, bits: total + bits,
     )
-    allowed = (F.col("n_a") + F.col("n_b")) * (DENOMINATOR - NUMERATOR)
+    return (F.least(n_a, n_b) * DENOMINATOR >= F.greatest(n_a, n_b) * NUMERATOR) & (
+        apart * (DENOMINATOR + NUMERATOR) <= (n_a + n_b) * (DENOMINATOR - NUMERATOR)
+    )
+
+
+def _side(classes: DataFrame, side: str) -> DataFrame:
+    return classes.select(
+        F.col("set").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")
+    )
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of classes whose sizes and bit sketches allow the similarity."""
+    sides = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b")
+    return sides.filter(_similar_enough("a", "b")).select("a", "b")
+
+
+def _across(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a bucket but not a group, and could be similar.
+
+    Most buckets hold one group by now. Of the others the large ones come from passages that many
+    documents share. A set leaves those if its remaining keys are still enough to meet every similar
+    set (see cell_keys); the sets that need them meet there among themselves.
+    """
+    labelled = members.join(groups, "set", "left").select(
+        "key", "set", F.coalesce("component", F.col("set")).alias("component")
+    )
+    mixed = (
+        labelled.groupBy("key")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+        .filter(F.col("low") < F.col("high"))
+    )
+    across = materialise(
+        labelled.join(mixed.select("key", "size"), "key").withColumn(
+            "odd", F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int")
+        ),
+        "across",
+    )
+    large = F.col("size") > LARGE_BUCKET
+    leaving = (
+        across.filter(large)
+        .groupBy("set", "odd")
+        .agg(F.count(F.lit(1)).alias("given_up"))
+        .join(classes.select("set", "spare"), "set")
+        .filter(F.col("given_up") <= F.element_at("spare", F.col("odd") + 1))
+        .select("set", "odd")
+    )
+    left = across.filter(large).join(leaving, ["set", "odd"], "left_anti").select("key", "set", "component")
+    sized = classes.select("set", "n", "sketch")
+    rows = across.filter(~large).select("key", "set", "component").unionByName(left).join(sized, "set")
+    a = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("set", "component", "n", "sketch")))
+    b = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("set", "component", "n", "sketch")))
     return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .filter(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR)
-        .filter(apart * (DENOMINATOR + NUMERATOR) <= allowed)
-        .select("a", "b")
+        a.join(b, "key")
+        .filter((F.col("set_a") < F.col("set_b")) & (F.col("component_a") != F.col("component_b")))
+        .filter(_similar_enough("a", "b"))
+        .select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+        .distinct()
     )
 
 
