@@ -196,14 +196,15 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = _candidate_sets(rows, members, classes)
     links = materialise(_verified(_possible(stars, classes), sets), "links")
     groups = materialise(components(links), "groups")
-    label = groups.select(F.col("node").alias("set"), "component")
-    late = materialise(_verified(_across(members, label, classes).join(stars, ["a", "b"], "left_anti"), sets), "late")
-    if late.isEmpty():
-        every = links
-    else:
-        every = materialise(links.unionByName(late), "every")
-        groups = materialise(components(every), "groups")
-    ends = every.select(F.col("a").alias("set")).unionByName(every.select(F.col("b").alias("set")))
+    # what is left: members that are not similar to the smallest of their buckets
+    for pairs_of in (_centres, _across):
+        pairs = materialise(pairs_of(members, groups, classes).join(stars, ["a", "b"], "left_anti"), "pairs")
+        late = materialise(_verified(pairs, sets), "late")
+        if not late.isEmpty():
+            links = materialise(links.unionByName(late), "links")
+            groups = materialise(components(links), "groups")
+        stars = stars.unionByName(pairs)
+    ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set")))
     n_links = ends.groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
     named = (
         classes.select("set", "first")
@@ -254,14 +255,10 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return sides.filter(_similar_enough("a", "b")).select("a", "b")
 
 
-def _across(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket but not a group, and could be similar.
-
-    Most buckets hold one group by now. Of the others the large ones come from passages that many
-    documents share. A set leaves those if its remaining keys are still enough to meet every similar
-    set (see cell_keys); the sets that need them meet there among themselves.
-    """
-    labelled = members.join(groups, "set", "left").select(
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, set, component, size of the bucket) of the buckets that hold several groups."""
+    label = groups.select(F.col("node").alias("set"), "component")
+    labelled = members.join(label, "set", "left").select(
         "key", "set", F.coalesce("component", F.col("set")).alias("component")
     )
     mixed = (
@@ -269,12 +266,36 @@ def _across(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFr
         .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
         .filter(F.col("low") < F.col("high"))
     )
-    across = materialise(
-        labelled.join(mixed.select("key", "size"), "key").withColumn(
-            "odd", F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int")
-        ),
-        "across",
+    return materialise(labelled.join(mixed.select("key", "size"), "key"), "mixed")
+
+
+def _centres(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre and its members outside the centre's group.
+
+    Each bucket draws its centre by a hash, so a set meets as many members of a group as it shares
+    buckets with it; what is similar to many of a large group is joined to it here, and need not be
+    compared with all of it.
+    """
+    mixed = _mixed(members, groups)
+    drawn = F.struct(F.xxhash64("key", "set").alias("h"), F.col("set").alias("set"), F.col("component").alias("component"))
+    centre = mixed.groupBy("key").agg(F.min(drawn).alias("c"))
+    pairs = (
+        mixed.join(centre, "key")
+        .filter(F.col("component") != F.col("c.component"))
+        .select(F.least("set", "c.set").alias("a"), F.greatest("set", "c.set").alias("b"))
+        .distinct()
     )
+    return _possible(pairs, classes)
+
+
+def _across(members: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a bucket but not a group, and could be similar.
+
+    Most buckets hold one group by now. Of the others the large ones come from passages that many
+    documents share. A set leaves those if its remaining keys are still enough to meet every similar
+    set (see cell_keys); the sets that need them meet there among themselves.
+    """
+    across = _mixed(members, groups).withColumn("odd", F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int"))
     large = F.col("size") > LARGE_BUCKET
     leaving = (
         across.filter(large)
