@@ -24,7 +24,6 @@ from letterloom.functions.text import (
     find_all,
     let,
     ngrams,
-    ngrams_up_to,
     normalised,
     paragraphs,
     sentence_bodies,
@@ -121,7 +120,7 @@ def phrase_counts(text: Column, phrases: Sequence[str]) -> Column:
     words = tokens(text)
     by_length: dict[int, list[str]] = {}
     for phrase in phrases:
-        by_length.setdefault(len(re.findall(r"\w+", phrase)), []).append(phrase)
+        by_length.setdefault(len(re.findall(r"[^\W_]+", phrase)), []).append(phrase)
     counted = [_run_counts(ngrams(words, n), group) for n, group in sorted(by_length.items())]
     return F.filter(F.concat(*counted), lambda c: c["n"] > 0)
 
@@ -148,7 +147,7 @@ def forbidden_hits(df: DataFrame, forbidden: Sequence[str], text: str = "text")
 
 
 def forbidden_by_author(
-    outputs: DataFrame, forbidden: DataFrame, owner: str = "author_id", max_words: int = 3
+    outputs: DataFrame, forbidden: DataFrame, owner: str = "author_id"
 ) -> DataFrame:
     """The same with a list per author, `forbidden(author_id, phrase)`.
 
@@ -158,18 +157,19 @@ def forbidden_by_author(
     entry = F.struct("phrase", normalised(F.col("phrase")).alias("run"))
     lists = forbidden.groupBy(owner).agg(F.collect_set(entry).alias("entries"))
 
-    def counts(hits: Column) -> Column:
+    def uses(words: Column, run: Column) -> Column:
+        phrase = F.split(run, " ")
+        starts = F.filter(
+            F.transform(words, lambda w, i: F.when(w == F.get(phrase, F.lit(0)), i + 1)), lambda i: i.isNotNull()
+        )
+        return F.size(F.filter(starts, lambda i: F.slice(words, i, F.size(phrase)) == phrase))
+
+    def counts(words: Column) -> Column:
         return F.transform(
-            "entries",
-            lambda e: F.struct(
-                e["phrase"].alias("phrase"),
-                F.size(F.filter(hits, lambda run: run == e["run"])).alias("n"),
-            ),
+            "entries", lambda e: F.struct(e["phrase"].alias("phrase"), uses(words, e["run"]).alias("n"))
         )
 
-    runs = ngrams_up_to(tokens(F.col("text")), max_words)
-    hits = F.filter(runs, lambda run: F.array_contains(F.col("entries")["run"], run))
-    used = F.filter(let(hits, counts), lambda c: c["n"] > 0)
+    used = F.filter(let(tokens(F.col("text")), counts), lambda c: c["n"] > 0)
     return outputs.join(lists, owner).select(*_kept(outputs, "text"), F.inline(used))
 
 
@@ -188,6 +188,11 @@ def untraceable_entities(claims: DataFrame, known: DataFrame) -> DataFrame:
     return claims.join(known.select(*keys).distinct(), keys, "left_anti")
 
 
+def _framed(text: Column) -> Column:
+    """Words, with the signs that belong to names such as C++ and C#, between single spaces."""
+    return F.concat(F.lit(" "), F.array_join(find_all(text, r"[\p{L}\p{N}+#]+"), " "), F.lit(" "))
+
+
 def ats_coverage(outputs: DataFrame, requirements: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of the required terms that are in an output word for word.
 
@@ -199,9 +204,9 @@ def ats_coverage(outputs: DataFrame, requirements: DataFrame, keys: Sequence[str
         .groupBy("job_id")
         .agg(F.collect_set(F.lower("skill")).alias("terms"))
     )
-    text = F.lower(F.col("text"))
+    text = _framed(F.lower(F.col("text")))
     joined = outputs.join(lists, "job_id")
-    hits = F.size(F.filter("terms", lambda t: text.contains(t)))
+    hits = F.size(F.filter("terms", lambda t: text.contains(_framed(t))))
     return joined.select(
         *keys,
         F.size("terms").alias("n_terms"),

@@ -75,7 +75,7 @@ def remote_policy(text: Column) -> Column:
     return F.coalesce(told_by(labelled(text, "Location")), told_by(text), F.lit(unknown))
 
 
-AMOUNT = r"[$€£][ ]?([0-9][0-9.,]*)[ ]?([kK]?)"
+AMOUNT = r"(?:[$€£][ ]?|(?<=[0-9kK] ?(?:-|–|to) ?))([0-9](?:[0-9.,]*[0-9])?)[ ]?([kK]?)"
 
 
 def salary_range(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -87,7 +87,9 @@ def salary_range(df: DataFrame, keys: Sequence[str], text: str = "text") -> Data
     )
 
     def bound(i: int) -> Column:
-        digits = F.regexp_replace(F.get(find_all(pay, AMOUNT, 1), F.lit(i)), "[,.]", "")
+        # signs before three digits group thousands, the last one before one or two is the decimal point
+        amount = F.get(find_all(pay, AMOUNT, 1), F.lit(i))
+        digits = F.regexp_replace(F.regexp_replace(amount, "[,.](?=[0-9]{3}(?![0-9]))", ""), ",", ".")
         thousands = F.lower(F.get(find_all(pay, AMOUNT, 2), F.lit(i))) == "k"
         return digits.try_cast("double") * F.when(thousands, 1000.0).otherwise(1.0)
 

@@ -78,10 +78,18 @@ def url_key(url: Column) -> Column:
     path = _escaped_path(F.regexp_extract(url, URL_PARTS, 2))
     place = F.regexp_replace(F.regexp_replace(F.concat(host, path), r"^www\.", ""), "/$", "")
     readable = F.regexp_replace(F.regexp_replace(place, "[^a-zA-Z0-9]+", "_"), "^_|_$", "")
-    hashed = F.concat(F.lit("fetched_job_"), F.lower(F.hex(F.xxhash64(url))))
+    hashed = F.when(url.isNotNull(), F.concat(F.lit("fetched_job_"), F.lower(F.hex(F.xxhash64(url)))))
     return F.when(host != "", F.substring(readable, 1, URL_KEY_CHARS)).otherwise(hashed)
 
 
+def posting_identity(url: Column, text: Column) -> Column:
+    """What makes two postings one: the whole URL, or the text where there is no URL.
+
+    `url_key` is only a readable name, which different postings can share.
+    """
+    return F.sha2(F.coalesce(F.concat(F.lit("url "), url), F.concat(F.lit("text "), text), F.lit("")), 256)
+
+
 def posting_file(url: Column) -> Column:
     """The name under which a fetched posting is kept."""
     return F.concat(url_key(url), F.lit(".md"))

@@ -25,7 +25,7 @@ from letterloom.functions.ranking import top_rows
 from letterloom.functions.text import (
     has_number,
     literal_texts,
-    ngrams_up_to,
+    ngrams,
     normalised,
     tokens,
 )
@@ -96,18 +96,21 @@ def skill_gap(applications: DataFrame, requirements: DataFrame, skills: DataFram
 
 
 def coverage(applications: DataFrame, requirements: DataFrame, skills: DataFrame) -> DataFrame:
-    """Matched and missing required skills of every application, counted in one pass."""
-    wanted = applications.join(required(requirements).select("job_id", "skill"), "job_id")
-    held = skills.withColumn("held", F.lit(1))
+    """Matched and missing required skills of every application, counted in one pass.
+
+    Where nothing is required the counts are 0 and the coverage is NULL.
+    """
+    wanted = applications.join(required(requirements).select("job_id", "skill"), "job_id", "left")
+    held = skills.select("applicant_id", "skill").distinct().withColumn("held", F.lit(1))
     return (
         wanted.join(held, ["applicant_id", "skill"], "left")
         .groupBy(*PAIR)
         .agg(
-            F.count(F.lit(1)).alias("n_required"),
+            F.count("skill").alias("n_required"),
             F.count("held").alias("n_matched"),
         )
         .withColumn("n_missing", F.col("n_required") - F.col("n_matched"))
-        .withColumn("coverage", F.round(F.col("n_matched") / F.col("n_required"), 6))
+        .withColumn("coverage", F.round(F.try_divide("n_matched", "n_required"), 6))
     )
 
 
@@ -115,18 +118,21 @@ def transferable(gap: DataFrame, skills: DataFrame, related: DataFrame) -> DataF
     """For every missing skill the related skill held (the first by name) and how many there are.
 
     `related(skill, topic)` is the caller's: skills with a common topic cover each other. The skills
-    held are counted by topic before the gaps are joined, so related skills are never paired.
+    held are gathered by topic before the gaps are joined, so related skills are never paired; one
+    held skill counts once however many topics it shares with the gap.
     """
     held = (
         skills.join(related, "skill")
         .groupBy("applicant_id", "topic")
-        .agg(F.min("skill").alias("held"), F.count(F.lit(1)).alias("n_held"))
+        .agg(F.collect_set("skill").alias("held"))
     )
     found = (
         gap.join(related, "skill", "left")
         .join(held, ["applicant_id", "topic"], "left")
         .groupBy(*PAIR, "skill")
-        .agg(F.min("held").alias("via"), F.sum("n_held").alias("n_via"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+        .withColumn("via", F.array_min("held"))
+        .withColumn("n_via", F.size("held").cast("long"))
     )
     mitigation = F.when(
         F.col("via").isNotNull(),
@@ -135,7 +141,7 @@ def transferable(gap: DataFrame, skills: DataFrame, related: DataFrame) -> DataF
     return found.select(
         *PAIR,
         F.col("skill").alias("missing_skill"),
-        F.coalesce("n_via", F.lit(0)).alias("n_via"),
+        "n_via",
         mitigation.alias("mitigation"),
     )
 
@@ -146,22 +152,41 @@ def term_table(skills: DataFrame) -> DataFrame:
     return materialise(distinct.withColumn("term", normalised(F.col("skill"))), "terms")
 
 
-def link_bullets(
-    bullets: DataFrame, requirements: DataFrame, max_words: int = 3, distinct: bool = True
-) -> DataFrame:
+def term_runs(text: Column, terms: DataFrame) -> Column:
+    """The different word runs of a text that are as long as some term."""
+    lengths = terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()
+    runs = [ngrams(tokens(text), n) for n in sorted(r["n"] for r in lengths)]
+    return F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")
+
+
+def names_term(text: Column, term: Column) -> Column:
+    """Whether a text that holds the words of a term means that term.
+
+    Words leave signs out, so C, C++ and C# look alike. A term with signs must stand in the text as
+    it is; one without must stand somewhere without a sign that would make it another term.
+    """
+    quoted = F.concat(F.lit(r"\Q"), F.lower(term), F.lit(r"\E"))
+    exact = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_+#])"))
+    words = F.regexp_replace(normalised(term), " ", r"[^\\p{L}\\p{N}]+")
+    bare = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), words, F.lit(r"(?![\p{L}\p{N}_+#])"))
+    return (
+        F.when(term.rlike(r"[+#]|^\."), F.rlike(F.lower(text), exact))
+        .when(text.rlike("[+#]"), F.rlike(F.lower(text), bare))
+        .otherwise(True)
+    )
+
+
+def link_bullets(bullets: DataFrame, requirements: DataFrame, distinct: bool = True) -> DataFrame:
     """Which required or preferred terms every bullet supports, by naming them word for word.
 
     Word runs of a bullet meet the distinct terms, never the postings, so that the result does not
     grow with the number of postings that ask for a term. The terms are written first: if the table
-    of terms is small it is broadcast and the runs are not shuffled. Terms of more than `max_words`
-    words are looked for with a larger `max_words`. A term is linked once per bullet row; `distinct`
-    also makes bullets that are listed twice count once, which callers that count terms do not need.
+    of terms is small it is broadcast and the runs are not shuffled. Runs have the word counts that
+    occur in the table. A term is linked once per bullet row; `distinct` also makes bullets that are listed twice count once, which callers that count terms do not need.
     """
     terms = term_table(requirements)
-    runs = bullets.withColumn(
-        "term", F.explode(F.array_distinct(ngrams_up_to(tokens(F.col("text")), max_words)))
-    )
-    links = runs.join(terms, "term").select(
+    runs = bullets.withColumn("term", F.explode(term_runs(F.col("text"), terms)))
+    links = runs.join(terms, "term").filter(names_term(F.col("text"), F.col("skill"))).select(
         *bullets.columns, "skill", F.size(F.split("term", " ")).alias("overlap")
     )
     return links.distinct() if distinct else links

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from letterloom.constants import DEFAULT_SECTIONS, ONE_PAGE_YEARS, SKILL_GROUP_LIMIT
 from letterloom.functions.ranking import top_rows
 from letterloom.functions.text import (
+    find_all,
     has_number,
     literal_texts,
-    ngrams_up_to,
     or_default,
     strip,
     tokens,
 )
-from letterloom.operators.matching import term_table
+from letterloom.operators.matching import names_term, term_runs, term_table
 
 # the look-behind starts a match only at the beginning of a run, so long runs are read once
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
+YEARS = r"^[(]?(?:19|20)[0-9]{2}[ ().-]+(?:19|20)[0-9]{2}$"
+PHONE_DIGITS = (7, 15)
 PROFILE_LINK = r"(?:https?://)?(?:www\.)?linkedin\.com/[A-Za-z0-9_/-]+"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 CURRENT_WORDS = ["present", "current", "now", "today"]
@@ -107,24 +109,30 @@ def page_budget(roles: DataFrame, as_of_m: int, has_template: bool = False) -> D
 
 
 def contacts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Contact facts exactly as written, "" where there is none."""
+    """Contact facts exactly as written, "" where there is none.
+
+    A phone number has 7 to 15 digits and is not a range of years.
+    """
+
+    def is_phone(run: Column) -> Column:
+        n_digits = F.length(F.regexp_replace(run, "[^0-9]", ""))
+        return n_digits.between(*PHONE_DIGITS) & ~run.rlike(YEARS)
+
+    phone = F.get(F.filter(find_all(F.col(text), PHONE), is_phone), F.lit(0))
     return df.select(
         *[c for c in df.columns if c != text],
         F.regexp_extract(text, EMAIL, 0).alias("email"),
-        strip(F.regexp_extract(text, PHONE, 0)).alias("phone"),
+        F.coalesce(strip(phone), F.when(F.col(text).isNotNull(), "")).alias("phone"),
         F.regexp_extract(text, PROFILE_LINK, 0).alias("linkedin"),
     )
 
 
-def skill_mentions(
-    df: DataFrame, vocabulary: DataFrame, keys: Sequence[str], max_words: int = 3
-) -> DataFrame:
+def skill_mentions(df: DataFrame, vocabulary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Terms of the vocabulary that a text names explicitly; nothing is implied."""
     terms = term_table(vocabulary)
-    runs = df.select(
-        *keys, F.explode(F.array_distinct(ngrams_up_to(tokens(F.col("text")), max_words))).alias("term")
-    )
-    return runs.join(terms, "term").select(*keys, "skill").distinct()
+    runs = df.select(*keys, "text", F.explode(term_runs(F.col("text"), terms)).alias("term"))
+    named = runs.join(terms, "term").filter(names_term(F.col("text"), F.col("skill")))
+    return named.select(*keys, "skill").distinct()
 
 
 def _list_lines(text: Column) -> Column:

@@ -18,8 +18,25 @@ def placeholders(text: Column) -> Column:
 
 
 def _variables(variables: Column) -> Column:
-    """The variables with braces and outer spaces taken off their keys."""
-    return F.transform_keys(variables, lambda k, _: hole_key(k))
+    """The variables with braces and outer spaces taken off their keys.
+
+    Of keys that come out equal the first by its spelling fills the hole.
+    """
+
+    def first_each(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        values = F.transform(
+            keys, lambda k: F.get(F.filter(entries, lambda e: e["key"] == k), F.lit(0))["value"]
+        )
+        return F.map_from_arrays(keys, values)
+
+    spelled = F.transform(
+        F.map_entries(variables),
+        lambda e: F.struct(
+            hole_key(e["key"]).alias("key"), e["key"].alias("spelling"), e["value"].alias("value")
+        ),
+    )
+    return let(F.array_sort(spelled), first_each)
 
 
 def template_contract(df: DataFrame, text: str = "text", variables: str = "variables") -> DataFrame:

@@ -99,16 +99,18 @@ def sentence_profile(samples: DataFrame) -> DataFrame:
 
 
 def sentence_columns() -> list[Column]:
+    # an author without a finished sentence has no means
     n = F.col("n")
-    mean = F.col("words") / n
-    spread = F.greatest(F.col("squares") / n - mean * mean, F.lit(0.0))
+    some = F.nullif(n, F.lit(0))
+    mean = F.col("words") / some
+    spread = F.greatest(F.col("squares") / some - mean * mean, F.when(n > 0, 0.0))
     return [
         n.alias("n_sentences"),
         F.round(mean, 6).alias("mean_words"),
         F.round(F.sqrt(spread), 6).alias("sd_words"),
-        F.round(F.col("short") / n, 6).alias("short_share"),
-        F.round(F.col("long") / n, 6).alias("long_share"),
-        F.round(F.col("semicolons") / n, 6).alias("semicolon_share"),
+        F.round(F.col("short") / some, 6).alias("short_share"),
+        F.round(F.col("long") / some, 6).alias("long_share"),
+        F.round(F.col("semicolons") / some, 6).alias("semicolon_share"),
     ]
 
 

@@ -393,7 +393,7 @@ SELECT {LETTER_KEYS}, concat('company_', job_id, '_planner') AS job_slug,
     "write_posting_cache": f"""
 SELECT url_key, page_id, n_chars FROM (
   SELECT {url_key('url')} AS url_key, page_id, length(text) AS n_chars,
-    row_number() OVER (PARTITION BY {url_key('url')} ORDER BY page_id) AS n
+    row_number() OVER (PARTITION BY url ORDER BY page_id) AS n
   FROM v_text_pages WHERE status = 200 AND length({strip('body')}) >= 50) t WHERE n = 1""",
     "to_pretty_json": """
 SELECT job_id, rnk, concat('{', chr(10), '  "job_id" : ', job_id, ',', chr(10), '  "skill" : "', skill, '",', chr(10),
@@ -571,10 +571,10 @@ WHERE NOT (section = 'Salary' AND job_id % 5 = 0) AND NOT (section = 'Hiring man
     "skills_to_list": "SELECT DISTINCT applicant_id, job_id, skill FROM v_match",
     "all_postings": f"""
 SELECT url_key, origin, page_id, n_chars FROM (
-  SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY origin, page_id) AS n FROM (
-    SELECT {url_key('url')} AS url_key, 'url' AS origin, page_id, length(text) AS n_chars
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY origin, page_id) AS n FROM (
+    SELECT url, {url_key('url')} AS url_key, 'url' AS origin, page_id, length(text) AS n_chars
     FROM v_text_pages WHERE status = 200 AND length({strip('body')}) >= 50
-    UNION ALL SELECT {url_key('url')}, 'file', page_id, length(html) FROM pages WHERE page_id % 5 = 0) a) b
+    UNION ALL SELECT url, {url_key('url')}, 'file', page_id, length(html) FROM pages WHERE page_id % 5 = 0) a) b
 WHERE n = 1""",
     "dedup_documents": """
 SELECT author_id, min(doc_id) AS doc_id, sha256(text) AS text_hash FROM v_samples GROUP BY author_id, text""",
@@ -596,7 +596,7 @@ SELECT job_id, CASE WHEN is_senior OR years >= 6 THEN 'Senior' WHEN years >= 3 T
   concat(CASE WHEN is_senior THEN 'title includes Senior; ' ELSE '' END, 'asks for ', years, '+ years') AS signals FROM v_jobs""",
     "contacts": rf"""
 SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}') AS email,
-  {strip("regexp_extract(text, '[+]?[0-9][0-9 ().-]{7,}[0-9]')")} AS phone,
+  {strip("coalesce([p for p in regexp_extract_all(text, '[+]?[0-9][0-9 ().-]{7,}[0-9]') if length(regexp_replace(p, '[^0-9]', '', 'g')) BETWEEN 7 AND 15 AND NOT regexp_matches(p, '^[(]?(?:19|20)[0-9]{2}[ ().-]+(?:19|20)[0-9]{2}$')][1], '')")} AS phone,
   regexp_extract(text, '(?:https?://)?(?:www\.)?linkedin\.com/[A-Za-z0-9_/-]+') AS linkedin FROM v_samples""",
     "skill_mentions": """
 SELECT DISTINCT role_id, bullet_no, p_name AS skill FROM v_bullets b JOIN (SELECT DISTINCT p_name FROM part) p

@@ -15,7 +15,7 @@ from letterloom.functions.ranking import in_parts, top_rows
 from letterloom.functions.text import has_number, sentence_bodies
 from letterloom.operators.completion import Completer, complete, generation_prompt
 from letterloom.operators.extract import job_context
-from letterloom.operators.intake import accept_pages, job_slug, page_text, url_key
+from letterloom.operators.intake import accept_pages, job_slug, page_text, posting_identity, url_key
 from letterloom.operators.profile import (
     distinct_skills,
     education_rows,
@@ -143,9 +143,9 @@ def ingest(postings: DataFrame) -> DataFrame:
 def postings_from_pages(fetched: DataFrame) -> DataFrame:
     """Accepted pages as postings under their URL key."""
     accepted = accept_pages(fetched).filter(F.col("reject_reason").isNull())
-    return accepted.withColumn("text", page_text(F.col("body"))).withColumn(
-        "url_key", url_key(F.col("url"))
-    ).drop("body", "reject_reason")
+    texts = accepted.withColumn("text", page_text(F.col("body")))
+    named = {"url_key": url_key(F.col("url")), "identity": posting_identity(F.col("url"), F.col("text"))}
+    return texts.withColumns(named).drop("body", "reject_reason")
 
 
 def build_profiles(

@@ -180,7 +180,7 @@ def write_outputs(t: Tables) -> DataFrame:
 def write_posting_cache(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "fetched")
     keyed = phases.postings_from_pages(t.fetched())
-    once = intake.top_rows(keyed, ["url_key"], [F.col("page_id").asc()], 1)
+    once = intake.top_rows(keyed, ["identity"], [F.col("page_id").asc()], 1)
     sinks.write_posting_cache(once, folder)
     return t.spark.read.parquet(folder).select(
         "url_key", "page_id", F.length("text").alias("n_chars")
@@ -544,11 +544,14 @@ def skills_to_list(t: Tables) -> DataFrame:
 
 @query
 def all_postings(t: Tables) -> DataFrame:
-    keyed = phases.postings_from_pages(t.fetched()).select("url_key", "page_id", "text")
+    keyed = phases.postings_from_pages(t.fetched()).select("identity", "url_key", "page_id", "text")
     local = t.read("pages").filter(F.col("page_id") % 5 == 0).select(
-        intake.url_key(F.col("url")).alias("url_key"), "page_id", F.col("html").alias("text")
+        intake.posting_identity(F.col("url"), F.col("html")).alias("identity"),
+        intake.url_key(F.col("url")).alias("url_key"),
+        "page_id",
+        F.col("html").alias("text"),
     )
-    every = intake.all_postings(keyed, local, "url_key", ["page_id"])
+    every = intake.all_postings(keyed, local, "identity", ["page_id"])
     return every.select("url_key", "origin", "page_id", F.length("text").alias("n_chars"))
 
 

@@ -50,8 +50,8 @@ def write_outputs(df: DataFrame, path: str) -> None:
 
 
 def write_posting_cache(df: DataFrame, path: str, previous: str | None = None) -> None:
-    """Fetched texts under their URL key."""
-    write_state(df, path, ["url_key"], previous)
+    """Fetched texts, one for each posting (see `intake.posting_identity`)."""
+    write_state(df, path, ["identity"], previous)
 
 
 def to_pretty_json(df: DataFrame, record: str, json: str = "json") -> DataFrame:

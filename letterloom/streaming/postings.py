@@ -6,14 +6,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import strip
-from letterloom.operators.intake import url_key
+from letterloom.operators.intake import posting_identity, url_key
 from letterloom.plans.phases import ingest
 
 
 def posting_stream(spark: SparkSession, path: str, schema: str = "url string, text string") -> DataFrame:
     """Postings from the Parquet files of a folder that grows, keyed by their URL."""
     read = spark.readStream.schema(schema).parquet(path)
-    return read.filter(strip(F.col("text")) != "").withColumn("url_key", url_key(F.col("url")))
+    return read.filter(strip(F.col("text")) != "").withColumns(
+        {"url_key": url_key(F.col("url")), "identity": posting_identity(F.col("url"), F.col("text"))}
+    )
 
 
 def incremental_postings(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -27,7 +29,7 @@ def incremental_postings(stream: DataFrame, out: str, checkpoint: str) -> Stream
         ingest(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
-        stream.dropDuplicates(["url_key"])
+        stream.dropDuplicates(["identity"])
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

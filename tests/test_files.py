@@ -95,9 +95,9 @@ def test_outputs_replace_only_their_slug(spark, tmp_path):
     assert {(r["job_slug"], r["text"]) for r in spark.read.parquet(path).collect()} == {("a", "new"), ("b", "3")}
 
 
-def test_posting_cache_keeps_one_text_per_key(spark, tmp_path):
+def test_posting_cache_keeps_one_text_per_posting(spark, tmp_path):
     one, two = str(tmp_path / "c1"), str(tmp_path / "c2")
-    schema = "url_key string, text string"
+    schema = "identity string, text string"
     sinks.write_posting_cache(spark.createDataFrame([("k", "old"), ("l", "x")], schema), one)
     sinks.write_posting_cache(spark.createDataFrame([("k", "new")], schema), two, previous=one)
     assert {tuple(r) for r in spark.read.parquet(two).collect()} == {("k", "new"), ("l", "x")}
