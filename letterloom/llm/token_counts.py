@@ -18,7 +18,7 @@ COUNTED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 #: Characters of a pre-token that go into the trie; longer ones are computed alone.
 TRIE_DEPTH = 48
 #: Nodes after which a task starts a new trie.
-TRIE_NODES = 300_000
+TRIE_NODES = 600_000
 
 
 def read_pieces(path: str) -> dict[str, float]:
@@ -51,6 +51,8 @@ class Trie(dict):
         super().__init__()
         self.pieces = pieces
         self.longest = max(map(len, pieces), default=1)
+        #: Every end of a piece; those that are pieces themselves with their score.
+        self.tails = {p[i:]: pieces.get(p[i:]) for p in pieces for i in range(len(p))}
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.reset()
 
@@ -61,13 +63,18 @@ class Trie(dict):
 
     def step(self, path: list[tuple[float, int]], prefix: str) -> tuple[float, int]:
         """Best (score, minus pieces) of `prefix`; `path` has those of its shorter prefixes, '' first."""
-        end, get = len(prefix), self.pieces.get
+        end, tails = len(prefix), self.tails
         best = (-math.inf, 0)
-        for size in range(1, min(self.longest, end) + 1):
-            value = get(prefix[end - size :])
+        for start in range(end - 1, -1, -1):
+            tail = prefix[start:]
+            if tail not in tails:
+                break  # no piece ends in this, so none ends in more
+            value = tails[tail]
             if value is not None:
-                score, minus = path[end - size]
-                best = max(best, (score + value, minus - 1))
+                score, minus = path[start]
+                way = (score + value, minus - 1)
+                if way > best:
+                    best = way
         if prefix[-1] not in self.pieces:
             score, minus = path[end - 1]
             best = max(best, (score + self.unknown, minus - len(prefix[-1].encode())))
