@@ -54,24 +54,3 @@ def most_common(
         (F.sum(weight) if weight else F.count(F.lit(1))).alias("support")
     )
     return top_rows(counted, keys, [F.col("support").desc(), F.col(value).asc()], 1)
-
-
-def in_parts(df: DataFrame, keys: Sequence[str], item: Sequence[str], max_items: int) -> DataFrame:
-    """Add `part_no` and `n_parts` so that a group is collected in parts of about `max_items` rows.
-
-    Groups within the bound keep a single part 0; larger ones are spread over as many parts as they
-    need by the hash of the item, so that the parts together always hold the whole group.
-    """
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > max_items)
-        .withColumn("__parts", F.ceil(F.col("__n") / F.lit(max_items)))
-        .drop("__n")
-    )
-    return (
-        df.join(sizes, list(keys), "left")
-        .withColumn("n_parts", F.coalesce("__parts", F.lit(1)))
-        .withColumn("part_no", F.pmod(F.xxhash64(*item), F.col("n_parts")))
-        .drop("__parts")
-    )

@@ -197,7 +197,8 @@ def ats_coverage(outputs: DataFrame, requirements: DataFrame, keys: Sequence[str
     """Share of the required terms that are in an output word for word.
 
     The required terms of a posting came from one text, so they are one short list per posting; the
-    outputs meet that list once and are not copied for every term.
+    outputs meet that list once and are not copied for every term. Outputs of a posting that requires
+    nothing have 0 terms and a NULL share.
     """
     lists = (
         requirements.filter(F.col("level") == "required")
@@ -205,13 +206,14 @@ def ats_coverage(outputs: DataFrame, requirements: DataFrame, keys: Sequence[str
         .agg(F.collect_set(F.lower("skill")).alias("terms"))
     )
     text = _framed(F.lower(F.col("text")))
-    joined = outputs.join(lists, "job_id")
+    none = F.array().cast("array<string>")
+    joined = outputs.join(lists, "job_id", "left").withColumn("terms", F.coalesce("terms", none))
     hits = F.size(F.filter("terms", lambda t: text.contains(_framed(t))))
     return joined.select(
         *keys,
         F.size("terms").alias("n_terms"),
         hits.alias("n_found"),
-        F.round(hits / F.size("terms"), 6).alias("share"),
+        F.round(F.try_divide(hits, F.size("terms")), 6).alias("share"),
     )
 
 
@@ -234,12 +236,13 @@ def education_unchanged(written: DataFrame, profile: DataFrame, keys: Sequence[s
 def company_specific(outputs: DataFrame, jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Whether a letter names the company and at least one responsibility of the posting.
 
-    `jobs(job_id, company_name, details)` holds the details of a posting as an array.
+    `jobs(job_id, company_name, details)` holds the details of a posting as an array. A letter whose
+    job is unknown names neither.
     """
     text = F.lower(F.col("text"))
-    joined = outputs.join(jobs, "job_id")
-    names = text.contains(F.lower("company_name"))
-    detail = F.exists("details", lambda d: text.contains(F.lower(d)))
+    joined = outputs.join(jobs, "job_id", "left")
+    names = F.coalesce(text.contains(F.lower("company_name")), F.lit(False))
+    detail = F.coalesce(F.exists("details", lambda d: text.contains(F.lower(d))), F.lit(False))
     return joined.select(
         *keys,
         names.alias("names_company"),
@@ -253,13 +256,14 @@ def sign_off_check(
 ) -> DataFrame:
     """Whether the last line is the full name and the line before it the author's closing.
 
-    `profiles(applicant_id, name, sign_off)`; an author without a known closing uses the default.
+    `profiles(applicant_id, name, sign_off)`; an author without a known closing uses the default,
+    and a letter of an unknown author is not signed.
     """
     lines = F.filter(F.split(F.col("text"), "\n"), lambda line: strip(line) != "")
-    joined = outputs.join(profiles, "applicant_id").withColumn("lines", lines)
+    joined = outputs.join(profiles, "applicant_id", "left").withColumn("lines", lines)
     last = strip(F.coalesce(F.try_element_at("lines", F.lit(-1)), F.lit("")))
     before = strip(F.coalesce(F.try_element_at("lines", F.lit(-2)), F.lit("")))
-    signed = last == F.col("name")
+    signed = F.coalesce(last == F.col("name"), F.lit(False))
     closed = before == F.coalesce("sign_off", F.lit(default))
     return joined.select(
         *keys, signed.alias("signed"), closed.alias("closed"), (signed & closed).alias("ok")

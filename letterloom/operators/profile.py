@@ -37,15 +37,23 @@ def distinct_skills(mentions: DataFrame) -> DataFrame:
     return mentions.select("applicant_id", "skill").distinct()
 
 
-def merge_bullets(bullets: DataFrame, role: str = "role_id", prefix_words: int = 4) -> DataFrame:
+def merge_bullets(bullets: DataFrame, role: str = "role_id") -> DataFrame:
     """The unique bullets of every role over all documents, in their own words.
 
-    Bullets that begin with the same words are versions of one bullet; the longest version stays,
-    and the first by text among equally long ones. Versions are reduced before the shuffle.
+    Bullets of the same words are one: the longest text stays, and the first among equally long ones.
+    A bullet whose words begin a longer bullet of the role is a shorter version of it and goes;
+    bullets that only start alike all stay. Bullets meet the beginnings of others by equality, so a
+    role of very many bullets is spread over the tasks.
     """
-    version = F.array_join(F.slice(tokens(F.col("text")), 1, prefix_words), " ")
+    version = F.array_join(tokens(F.col("text")), " ")
     keyed = bullets.select(role, "text", version.alias("version"))
-    return top_rows(keyed, [role, "version"], [F.length("text").desc(), F.col("text").asc()], 1)
+    once = top_rows(keyed, [role, "version"], [F.length("text").desc(), F.col("text").asc()], 1)
+    words = F.split("version", " ")
+    shorter = F.transform(
+        F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+    )
+    beginnings = once.select(role, F.explode(F.when(F.size(words) > 1, shorter)).alias("version"))
+    return once.join(beginnings, [role, "version"], "left_anti")
 
 
 def metric_habits(bullets: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,9 +1,8 @@
 """The engine's input tables as views over the star-schema, document and page tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from letterloom.functions.ranking import top_rows
 from letterloom.sources.tables import read_table, spread
 
 LEXICON = [
@@ -29,6 +28,10 @@ class Tables:
         """A table that is heavy to work on per row."""
         return spread(self.read(name).select(*columns), *keys)
 
+    def size(self, name: str) -> Column:
+        """The number of rows of a table, as a scalar subquery."""
+        return self.read(name).agg(F.count(F.lit(1))).scalar()
+
     def documents(self) -> DataFrame:
         return self.spread_out("documents", ["doc_id"], ["doc_id", "source", "text"])
 
@@ -86,6 +89,7 @@ class Tables:
         return self.skill_mentions().distinct()
 
     def requirements(self) -> DataFrame:
+        """All skills of each posting; the eight asked for most often are required, the rest preferred."""
         items = self.read("lineitem").select("l_suppkey", "l_partkey")
         part = self.read("part").select("p_partkey", "p_name")
         asked = (
@@ -93,8 +97,9 @@ class Tables:
             .groupBy(F.col("l_suppkey").alias("job_id"), F.col("p_name").alias("skill"))
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        order = [F.col("n").desc(), F.col("skill").asc()]
-        return top_rows(asked, ["job_id"], order, 12, rank="rnk").select(
+        # every skill of a posting, at most one row a term of the vocabulary
+        often_first = Window.partitionBy("job_id").orderBy(F.col("n").desc(), F.col("skill").asc())
+        return asked.withColumn("rnk", F.row_number().over(often_first)).select(
             "job_id",
             "skill",
             "rnk",
@@ -174,14 +179,10 @@ class Tables:
 
     def outputs_num(self) -> DataFrame:
         shown = F.col("l_quantity").cast("int") + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0)
-        return (
-            self.read("lineitem")
-            .filter(F.col("l_quantity") >= 25)
-            .select(
-                F.col("l_orderkey").alias("role_id"),
-                F.col("l_linenumber").alias("bullet_no"),
-                F.concat(F.lit("Delivered "), shown.cast("string"), F.lit(" units")).alias("text"),
-            )
+        return self.read("lineitem").select(
+            F.col("l_orderkey").alias("role_id"),
+            F.col("l_linenumber").alias("bullet_no"),
+            F.concat(F.lit("Delivered "), shown.cast("string"), F.lit(" units")).alias("text"),
         )
 
     def vocabulary(self) -> DataFrame:
@@ -235,12 +236,11 @@ class Tables:
             s % 2 == 0, F.concat(F.lit("Hiring manager: Manager "), number, F.lit("\n"))
         ).otherwise("")
 
-        def listed(low: int, high: int) -> Column:
-            chosen = F.filter("asked", lambda a: a["rnk"].between(low, high))
+        def listed(chosen: Column) -> Column:
             lines = F.transform(chosen, lambda a: F.concat(F.lit("- "), a["skill"]))
             return F.array_join(lines, "\n")
 
-        # twelve requirements at most per posting, by construction
+        # at most one entry a term of the vocabulary
         asked = self.requirements().groupBy("job_id").agg(
             F.array_sort(F.collect_list(F.struct("rnk", "skill"))).alias("asked")
         )
@@ -262,9 +262,9 @@ class Tables:
             F.lit("\n- Maintain "),
             F.get("asked", F.lit(1))["skill"],
             F.lit("\nRequired:\n"),
-            listed(1, 8),
+            listed(F.filter("asked", lambda a: a["rnk"] <= 8)),
             F.lit("\nPreferred:\n"),
-            listed(7, 12),
+            listed(F.filter("asked", lambda a: a["rnk"] >= 7)),
             F.lit("\n"),
         )
         nation = self.read("nation").select("n_nationkey", "n_name")
@@ -276,7 +276,8 @@ class Tables:
         )
 
     def letters(self) -> DataFrame:
-        """Finished letters: the outputs with a greeting, a company line and a signature.
+        """Finished letters: the outputs with a greeting, a company line and a signature, dealt to all
+        jobs and people in turn.
 
         Every third letter names its company, every sixth a detail too; one in four opens with a
         stock phrase, one in five closes with one and one in seven is signed by another name.
@@ -297,8 +298,8 @@ class Tables:
         second = self.requirements().filter(F.col("rnk") == 2).select("job_id", F.col("skill").alias("detail"))
         return (
             self.outputs()
-            .withColumn("job_id", a % 10)
-            .withColumn("applicant_id", a % 100)
+            .withColumn("job_id", a % self.size("supplier"))
+            .withColumn("applicant_id", a % self.size("customer"))
             .join(supplier, "job_id")
             .join(second, "job_id")
             .join(customer, "applicant_id")

@@ -87,8 +87,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 SELECT job_id, skill, rnk, CASE WHEN rnk <= 8 THEN 'required' ELSE 'preferred' END AS level
 FROM (SELECT l_suppkey AS job_id, p_name AS skill,
         row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, p_name) AS rnk
-      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_name) t
-WHERE rnk <= 12""",
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_name) t""",
     "v_applications": """
 SELECT DISTINCT o_custkey AS applicant_id, l_suppkey AS job_id
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -109,7 +108,7 @@ SELECT conv_id AS application_id, turn, text FROM conversations WHERE role = 'as
     "v_outputs_num": """
 SELECT l_orderkey AS role_id, l_linenumber AS bullet_no,
   concat('Delivered ', CAST(CAST(l_quantity AS INT) + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR), ' units') AS text
-FROM lineitem WHERE l_quantity >= 25""",
+FROM lineitem""",
     "v_related": """
 SELECT DISTINCT a.p_name AS skill, b.p_name AS covers
 FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b
@@ -157,7 +156,7 @@ SELECT * FROM (SELECT applicant_id, job_id, skill AS posting_detail, text AS app
     USING (applicant_id, skill)) t
 WHERE hook_rank <= 3""",
     "v_letters": """
-SELECT application_id, turn, application_id % 10 AS job_id, application_id % 100 AS applicant_id,
+SELECT application_id, turn, o.job_id, applicant_id,
   concat('Dear Hiring Manager,', chr(10), chr(10),
     CASE WHEN application_id % 4 = 0 THEN 'I am excited about this role. ' ELSE '' END, text, chr(10), chr(10),
     CASE WHEN application_id % 3 = 0 THEN concat('At ', s_name, ' I would help. ') ELSE '' END,
@@ -166,9 +165,10 @@ SELECT application_id, turn, application_id % 10 AS job_id, application_id % 100
     chr(10), chr(10),
     CASE WHEN application_id % 8 = 0 THEN 'Yours,' ELSE 'Best regards,' END, chr(10),
     CASE WHEN application_id % 7 = 0 THEN 'Someone Else' ELSE c_name END) AS text
-FROM v_outputs JOIN supplier ON s_suppkey = application_id % 10
-JOIN customer ON c_custkey = application_id % 100
-JOIN v_requirements r ON r.job_id = application_id % 10 AND rnk = 2""",
+FROM (SELECT *, application_id % (SELECT count(*) FROM supplier) AS job_id,
+        application_id % (SELECT count(*) FROM customer) AS applicant_id FROM v_outputs) o
+JOIN supplier ON s_suppkey = o.job_id JOIN customer ON c_custkey = applicant_id
+JOIN v_requirements r ON r.job_id = o.job_id AND rnk = 2""",
     "v_jobs": """
 SELECT s_suppkey AS job_id, s_name,
   concat(n_name, CASE s_suppkey % 4 WHEN 0 THEN ' (Remote)' WHEN 1 THEN ' (Hybrid, 2 days)'
@@ -180,9 +180,10 @@ SELECT s_suppkey AS job_id, s_name,
   2 + s_suppkey % 7 AS years, s_suppkey % 3 = 0 AS is_senior,
   regexp_replace(regexp_replace(lower(concat(s_name, '_', CASE WHEN s_suppkey % 3 = 0 THEN 'Senior ' ELSE '' END, 'Planner')),
     '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS slug,
-  top1, top2
+  top1, top2, n_skills
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
-JOIN (SELECT job_id, max(CASE WHEN rnk = 1 THEN skill END) AS top1, max(CASE WHEN rnk = 2 THEN skill END) AS top2
+JOIN (SELECT job_id, max(CASE WHEN rnk = 1 THEN skill END) AS top1, max(CASE WHEN rnk = 2 THEN skill END) AS top2,
+        count(*) AS n_skills
       FROM v_requirements GROUP BY job_id) r ON r.job_id = s_suppkey""",
     "v_templates": r"""
 SELECT p_partkey AS template_id, p_partkey % 6 AS form, p_name, p_brand, p_type,
@@ -212,11 +213,14 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 SELECT * FROM (SELECT user_id AS applicant_id, event_type AS field, value, event_id,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) t
 WHERE n = 1""",
-    "v_merged": f"""
+    "v_versions": f"""
 SELECT role_id, version, text FROM (SELECT *, row_number() OVER (PARTITION BY role_id, version
     ORDER BY length(text) DESC, text) AS n
-  FROM (SELECT role_id, text, array_to_string(({tokens('text')})[1:4], ' ') AS version FROM v_bullets) a) b
+  FROM (SELECT role_id, text, {normalised('text')} AS version FROM v_bullets) a) b
 WHERE n = 1""",
+    "v_merged": """
+SELECT role_id, version, text FROM v_versions m WHERE NOT EXISTS (
+  SELECT 1 FROM v_versions o WHERE o.role_id = m.role_id AND starts_with(o.version, concat(m.version, ' ')))""",
     "v_profile_rows": """
 SELECT applicant_id, 'fact' AS section, '' AS ref, field AS item FROM v_latest
 UNION ALL SELECT DISTINCT applicant_id, 'name', '', c_name FROM v_resumes
@@ -423,10 +427,10 @@ SELECT applicant_id, n_resumes, n_cover_letters, reason = '' AS ready, reason,
   NOT has_profile AND n_resumes > 0 AS will_extract
 FROM (SELECT *, CASE WHEN applicant_id % 9 = 0 THEN 'job posting not found'
         WHEN NOT has_profile AND n_resumes = 0 THEN 'no profile and no resumes'
-        WHEN has_profile AND applicant_id % 10 = 6 THEN 'invalid profile' ELSE '' END AS reason
+        WHEN has_profile AND applicant_id % 10 NOT IN (0, 3, 8, 9) THEN 'invalid profile' ELSE '' END AS reason
   FROM (SELECT c_custkey AS applicant_id, c_custkey % 2 = 0 AS has_profile,
           coalesce(r, 0) AS n_resumes, coalesce(l, 0) AS n_cover_letters
-        FROM customer LEFT JOIN (SELECT doc_id % 1000 AS owner, count(*) FILTER (kind = 'resume') AS r,
+        FROM customer LEFT JOIN (SELECT doc_id - doc_id % 3 AS owner, count(*) FILTER (kind = 'resume') AS r,
             count(*) FILTER (kind = 'cover_letter') AS l FROM v_samples GROUP BY 1) s ON owner = c_custkey) a) b""",
     "key_collisions": f"""
 SELECT key, count(DISTINCT doc_id) AS n_sources
@@ -526,7 +530,7 @@ FROM v_roles LEFT JOIN (SELECT role_id, count(*) AS n, sum(length(text)) AS char
     "section_order": f"""
 SELECT author_id, sections, false AS is_default FROM (
   SELECT author_id, sections, row_number() OVER (PARTITION BY author_id ORDER BY count(*) DESC, sections) AS n
-  FROM (SELECT CAST(s_suppkey % 20 AS VARCHAR) AS author_id,
+  FROM (SELECT CAST(s_suppkey // 5 AS VARCHAR) AS author_id,
           concat(CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '{SECTIONS[0]}, ' END,
             CASE WHEN s_suppkey % 2 = 0 THEN '{SECTIONS[1]}, ' ELSE '' END, '{', '.join(SECTIONS[2:])}') AS sections
         FROM supplier JOIN (SELECT DISTINCT job_id FROM v_requirements) r ON job_id = s_suppkey) a
@@ -669,7 +673,7 @@ SELECT applicant_id, job_id, CASE WHEN job_id % 2 = 0 THEN 5 ELSE 4 END AS n_blo
   CASE WHEN job_id % 2 = 0 THEN slug ELSE '' END AS template_slug FROM v_applications JOIN v_jobs USING (job_id)""",
     "complete_prompts": """
 SELECT job_id, concat('Title: ', title) AS title,
-  CAST(24 + CASE WHEN job_id % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN job_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS n_lines,
+  CAST(12 + n_skills + CASE WHEN job_id % 5 = 0 THEN 0 ELSE 1 END + CASE WHEN job_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS n_lines,
   1 AS attempts, 'fast' AS tier FROM v_jobs""",
     "complete_with_retries": """
 SELECT job_id, CASE WHEN job_id % 4 = 1 THEN 1 ELSE 3 END AS attempts, CASE WHEN job_id % 4 = 1 THEN 'ok' ELSE '' END AS title,

@@ -11,7 +11,7 @@ from letterloom.constants import (
     MIN_TRANSITIONS,
     STRONG_TIER,
 )
-from letterloom.functions.ranking import in_parts, top_rows
+from letterloom.functions.ranking import top_rows
 from letterloom.functions.text import has_number, sentence_bodies
 from letterloom.operators.completion import Completer, complete, generation_prompt
 from letterloom.operators.extract import job_context
@@ -194,12 +194,16 @@ def build_profiles(
     )
 
 
-def profile_records(items: DataFrame, max_items: int = 20_000) -> DataFrame:
-    """The rows of a person as one record, or as several parts for people with very many rows."""
-    parted = in_parts(items, ["applicant_id"], ["section", "ref", "item"], max_items)
+def profile_records(items: DataFrame) -> DataFrame:
+    """The rows of a person as records: one header and one record for each role.
+
+    The header has `ref` "" and holds the name, skills, education and facts; the record of a role has
+    its id as `ref` and holds the role and its bullets. The shape is the same for people of any
+    size, and a person of very many roles is many small records.
+    """
     numbers_first = F.when(has_number(F.col("item")), 0).otherwise(1)
     entry = F.struct("section", "ref", numbers_first.alias("rank"), "item", "detail")
-    grouped = parted.groupBy("applicant_id", "part_no", "n_parts").agg(
+    grouped = items.groupBy("applicant_id", "ref").agg(
         F.array_sort(F.collect_list(entry)).alias("items")
     )
 
@@ -211,8 +215,7 @@ def profile_records(items: DataFrame, max_items: int = 20_000) -> DataFrame:
 
     return grouped.select(
         "applicant_id",
-        "part_no",
-        "n_parts",
+        "ref",
         F.struct(
             F.get(texts("name"), F.lit(0)).alias("name"),
             texts("skill").alias("skills"),

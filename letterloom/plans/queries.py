@@ -256,11 +256,13 @@ def keep_declared_fields(t: Tables) -> DataFrame:
 def dry_run_report(t: Tables) -> DataFrame:
     people = t.read("customer").select(F.col("c_custkey").alias("applicant_id"))
     requests = people.withColumn("posting_found", F.col("applicant_id") % 9 != 0)
-    documents = t.samples().select((F.col("doc_id") % 1000).alias("applicant_id"), "kind")
-    checked = keep_declared(t.profile_json(), "json", USER_PROFILE, "profile")
-    saved = checked.filter(F.col("applicant_id") % 2 == 0).select(
-        "applicant_id", (F.col("applicant_id") % 10 != 6).alias("is_valid")
+    owner = F.col("doc_id") - F.col("doc_id") % 3
+    documents = t.samples().select(owner.alias("applicant_id"), "kind")
+    valid, invalid = split_valid(t.profile_json(), "json", USER_PROFILE, "profile")
+    judged = valid.select("applicant_id", F.lit(True).alias("is_valid")).unionByName(
+        invalid.select("applicant_id", F.lit(False).alias("is_valid"))
     )
+    saved = judged.filter(F.col("applicant_id") % 2 == 0)
     return intake.dry_run_report(documents, requests, saved)
 
 
@@ -455,7 +457,7 @@ def density(t: Tables) -> DataFrame:
 
 @query
 def section_order(t: Tables) -> DataFrame:
-    owned = t.postings().select((F.col("job_id") % 20).cast("string").alias("author_id"), "text")
+    owned = t.postings().select(F.expr("job_id div 5").cast("string").alias("author_id"), "text")
     return voice.section_order(owned, SECTIONS)
 
 
@@ -909,8 +911,8 @@ def build_profiles(t: Tables) -> DataFrame:
 
 @query
 def profile_records(t: Tables) -> DataFrame:
-    """Records in parts of a few items, so that the splitting of large people is exercised."""
-    records = phases.profile_records(_profile_rows(t), max_items=50)
+    """What the header and the roles of every person hold together."""
+    records = phases.profile_records(_profile_rows(t))
     return records.groupBy("applicant_id").agg(
         F.sum(F.size("profile.skills")).alias("n_skills"),
         F.sum(F.size("profile.experience")).alias("n_roles"),

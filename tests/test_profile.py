@@ -45,6 +45,13 @@ def test_page_budget_turns_at_seven_years(spark, months, pages):
     assert profile.page_budget(df, 0, has_template=True).first()["max_pages"] == 1
 
 
+def test_bullets_that_only_start_alike_all_stay(spark):
+    rows = [(1, "Reduced cost of the cloud"), (1, "Reduced cost of the call centre"), (1, "reduced, cost"), (1, "!"), (1, None)]
+    df = spark.createDataFrame(rows, "role_id int, text string")
+    got = {r["text"] for r in profile.merge_bullets(df).collect()}
+    assert got == {"Reduced cost of the cloud", "Reduced cost of the call centre", "!", None}
+
+
 def test_the_longest_version_of_a_bullet_stays(spark):
     rows = [(1, "Led a team of 5"), (1, "Led a team of 5 engineers"), (1, "Led a team of 5"), (1, "Other"), (2, "Other")]
     df = spark.createDataFrame(rows, "role_id int, text string")

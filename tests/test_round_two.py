@@ -90,3 +90,22 @@ def test_coverage_without_requirements(spark):
     held = spark.createDataFrame([(1, "s"), (1, "s")], "applicant_id long, skill string")
     found = {r["job_id"]: (r["n_required"], r["n_matched"], r["coverage"]) for r in matching.coverage(applications, wanted, held).collect()}
     assert found == {1: (1, 1, 1.0), 2: (0, 0, None)}
+
+
+def test_a_person_is_one_header_and_one_record_a_role(spark):
+    rows = [(1, "name", "", "Ann", ""), *[(1, "skill", "", f"s{i}", "") for i in range(31)]]
+    rows += [(1, "role", "7", "Planner", ""), (1, "bullet", "7", "Did it", ""), (1, "role", "8", "Lead", "")]
+    items = spark.createDataFrame(rows, "applicant_id int, section string, ref string, item string, detail string")
+    got = {r["ref"]: r["profile"] for r in phases.profile_records(items).collect()}
+    assert set(got) == {"", "7", "8"}
+    assert got[""]["name"] == "Ann" and len(got[""]["skills"]) == 31
+    assert [b["text"] for b in got["7"]["bullets"]] == ["Did it"] and got["8"]["bullets"] == []
+
+
+def test_letters_of_unknown_jobs_are_kept_and_break_the_rule(spark):
+    letters = spark.sql("SELECT 1 AS id, 9 AS job_id, 'we like java' AS text")
+    asked = spark.sql("SELECT 2 AS job_id, 'java' AS skill, 'required' AS level")
+    found = checks.ats_coverage(letters, asked, ["id"]).first()
+    assert (found["n_terms"], found["n_found"], found["share"]) == (0, 0, None)
+    jobs = spark.sql("SELECT 2 AS job_id, 'Acme' AS company_name, array('java') AS details")
+    assert checks.company_specific(letters, jobs, ["id"]).first()["ok"] is False
