@@ -21,6 +21,8 @@ from letterloom.llm.common import annotate, free_name
 from letterloom.session import materialise
 
 ORDER = 4
+#: Parts of a language that are ranked on their own before the whole is.
+PARTS = 64
 MASK = (1 << (8 * (ORDER + 1))) - 1
 
 PREDICTED = T.StructType(
@@ -104,10 +106,11 @@ def learn(
     usable = docs.filter(F.col(lang).isNotNull() & F.length(text).between(1, max_chars)).select(
         F.col(lang).alias("lang"), F.col(key).cast("string").alias("id"), F.col(text).alias("text")
     )
-    ranked = top_rows(
-        usable.select("lang", "id").withColumn("h", F.xxhash64("id")),
-        ["lang"], [F.col("h"), F.col("id")], docs_per_lang,
-    )
+    # the first of each of many parts of a language, then the first of those: no task ranks a language
+    order = [F.col("h"), F.col("id")]
+    hashed = usable.select("lang", "id", F.xxhash64("id").alias("h"))
+    parted = hashed.withColumn("part", F.pmod(F.xxhash64("h", F.lit("part")), F.lit(PARTS)))
+    ranked = top_rows(top_rows(parted, ["lang", "part"], order, docs_per_lang), ["lang"], order, docs_per_lang)
     chosen = materialise(ranked.select("lang", "id").distinct(), "sample")
     sample = usable.join(chosen, ["lang", "id"])
 
