@@ -1,7 +1,7 @@
 """Facts of a posting, taken from its text by rules.
 
-A posting is a text of labelled lines ("Title: ...") and of sections: a heading that ends in a colon
-on a line of its own, then one item per line after a dash.
+A posting is a text of labelled lines ("Title: ...") and of sections: a heading on a line of its own,
+then one item per line after a dash, star or dot; blank lines between them do not count.
 """
 
 from collections.abc import Sequence
@@ -19,10 +19,11 @@ from letterloom.functions.text import (
     tokens,
 )
 
+#: Wordings of the headings, as patterns; case does not count.
 HEADINGS = {
-    "responsibility": "Responsibilities",
-    "required": "Required",
-    "preferred": "Preferred",
+    "responsibility": "(?:Key |Main )?Responsibilities|What you(?:'|’| wi)ll do|Your tasks",
+    "required": "(?:Required|Essential|Mandatory|Must[- ]have)(?: skills| qualifications)?|(?:Minimum )?Requirements",
+    "preferred": "(?:Preferred|Desired|Nice[- ]to[- ]have)(?: skills| qualifications)?|Bonus|(?:A )?Plus",
 }
 COMPANY_SENTENCES = 3
 LEVEL_WORDS = ["Principal", "Staff", "Lead", "Senior", "Junior", "Intern"]
@@ -36,13 +37,14 @@ def labelled(text: Column, label: str) -> Column:
 
 
 def section_body(text: Column, heading: str) -> Column:
-    """The lines after a heading, up to the next line that is no list item."""
-    return F.regexp_extract(text, rf"(?:^|\n){heading}:[ \t]*((?:\n- [^\n]*+)*+)", 1)
+    """The lines after a heading, up to the next line that is neither blank nor a list item."""
+    line = r"\n[ \t]*+(?:[-*•][ \t]++[^\n]*+)?(?=\n|$)"
+    return F.regexp_extract(text, rf"(?i)(?:^|\n)[ \t]*(?:{heading})[ \t]*:?[ \t]*((?:{line})++)", 1)
 
 
 def items(text: Column, heading: str) -> Column:
     """The items of a section in their order and wording."""
-    return F.transform(find_all(section_body(text, heading), r"\n- ([^\n]*)", 1), strip)
+    return F.transform(find_all(section_body(text, heading), r"\n[ \t]*[-*•][ \t]([^\n]*)", 1), strip)
 
 
 def header_columns(text: Column) -> list[Column]:

@@ -27,6 +27,8 @@ PAGE_NOISE = [
     r"(?is)<nav[^>]*>.*?</nav>",
     r"(?s)<[^>]*>",
 ]
+LIST_ITEM = r"(?i)<li\b[^>]*>"
+LINE_TAGS = r"(?i)</?(?:br|p|div|h[1-6]|ul|ol|li|dl|dt|dd|tr|table|section|article|header|footer|main|title)\b[^>]*>"
 
 
 def visible_only(df: DataFrame, name: str) -> DataFrame:
@@ -60,6 +62,21 @@ def page_text(html: Column) -> Column:
     return strip(F.regexp_replace(text, r"\s+", " "))
 
 
+def page_lines(html: Column) -> Column:
+    """The text of a page with its lines: blocks end a line, list items begin with "- "."""
+    text = html
+    for pattern in PAGE_NOISE[:-1]:
+        text = F.regexp_replace(text, pattern, " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), LIST_ITEM, "\n- ")
+    text = F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n"), PAGE_NOISE[-1], "")
+    for reference, char in ENTITIES:
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
+    # a block inside an item belongs to it; items without text go
+    text = F.regexp_replace(text, r"\n-\n(?!-(?:[ \n]|$))", "\n- ")
+    return strip(F.regexp_replace(text, r"\n-(?=\n|$)", ""))
+
+
 def _escaped_path(path: Column) -> Column:
     """Percent-escape the characters that a parsed URL path never holds unescaped."""
 

@@ -1,6 +1,6 @@
 """The phases as whole-table jobs, for users who want more than single operators."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from letterloom.functions.ranking import top_rows
 from letterloom.functions.text import has_number, sentence_bodies
 from letterloom.operators.completion import Completer, complete, generation_prompt
 from letterloom.operators.extract import job_context
-from letterloom.operators.intake import accept_pages, job_slug, page_text, posting_identity, url_key
+from letterloom.operators.intake import accept_pages, job_slug, page_lines, page_text, posting_identity, url_key
 from letterloom.operators.profile import (
     distinct_skills,
     education_rows,
@@ -140,10 +140,15 @@ def ingest(postings: DataFrame) -> DataFrame:
     )
 
 
-def postings_from_pages(fetched: DataFrame) -> DataFrame:
-    """Accepted pages as postings under their URL key."""
+def ingest_pages(fetched: DataFrame) -> DataFrame:
+    """The records of crawled postings, taken from the lines and lists of their pages."""
+    return ingest(postings_from_pages(fetched, page_lines))
+
+
+def postings_from_pages(fetched: DataFrame, read: Callable[[Column], Column] = page_text) -> DataFrame:
+    """Accepted pages as postings under their URL key; `read` makes the text of a page."""
     accepted = accept_pages(fetched).filter(F.col("reject_reason").isNull())
-    texts = accepted.withColumn("text", page_text(F.col("body")))
+    texts = accepted.withColumn("text", read(F.col("body")))
     named = {"url_key": url_key(F.col("url")), "identity": posting_identity(F.col("url"), F.col("text"))}
     return texts.withColumns(named).drop("body", "reject_reason")
 

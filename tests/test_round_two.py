@@ -109,3 +109,38 @@ def test_letters_of_unknown_jobs_are_kept_and_break_the_rule(spark):
     assert (found["n_terms"], found["n_found"], found["share"]) == (0, 0, None)
     jobs = spark.sql("SELECT 2 AS job_id, 'Acme' AS company_name, array('java') AS details")
     assert checks.company_specific(letters, jobs, ["id"]).first()["ok"] is False
+
+
+@pytest.mark.parametrize(
+    ("heading", "kind"),
+    [
+        ("Requirements:", "required"),
+        ("Must have", "required"),
+        ("Required:", "required"),
+        ("Nice to have:", "preferred"),
+        ("Preferred qualifications:", "preferred"),
+        ("Responsibilities:", "responsibility"),
+    ],
+)
+def test_wordings_and_signs_of_lists(spark, heading, kind):
+    text = f"Title: Planner\n{heading}\n\n* Java\n- C++\n\n  • Go\nApply: now\n- later"
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    found = [(r["kind"], r["position"], r["item"]) for r in extract.section_items(df, ["id"]).collect()]
+    assert found == [(kind, 1, "Java"), (kind, 2, "C++"), (kind, 3, "Go")]
+
+
+def test_a_heading_with_a_value_is_no_list(spark):
+    df = spark.createDataFrame([(1, "Required: 3 years\nRequired:\n- Java")], "id long, text string")
+    assert [r["item"] for r in extract.section_items(df, ["id"]).collect()] == ["Java"]
+
+
+def test_a_crawled_posting_gives_a_record(spark):
+    body = (
+        "<html><title>Jobs</title><nav>Menu</nav><script>x</script><p><b>Title</b>: Senior Planner</p>"
+        "<div>Company: Acme &amp; Sons<br>Location: Oslo</div><h2>Requirements</h2><ul><li><p>Java</p></li>\n"
+        "<li></li><li>5 &lt;li&gt; tags</li></ul><h3>Nice to have</h3><ol><li>Go</li></ol></html>"
+    )
+    fetched = spark.createDataFrame([("https://a.example/1", 200, body + f"<!--{'x' * 600}-->")], "url string, status int, body string")
+    record = phases.ingest_pages(fetched).first()["job_context"]
+    assert (record["job_title"], record["company_name"], record["location"]) == ("Senior Planner", "Acme & Sons", "Oslo")
+    assert record["required_skills"] == ["Java", "5 <li> tags"] and record["preferred_skills"] == ["Go"]
