@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies. Rows without id stay."""
-    groups = jaccard.similar_groups(docs)
+    groups = jaccard.similar_groups(docs, counted=False)
     extra = groups.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(materialise(extra, "extra"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -27,6 +27,8 @@ LEVELS = 64
 SKETCH_WORDS = 8
 #: Buckets of more sets that hold several groups are left by the sets that can do without them.
 LARGE_BUCKET = 12
+#: Links inside a group are counted between blocks of sets with about so many shingles.
+BLOCK_SHINGLES = 1 << 19
 #: A band holds sizes up to twice the one below; it has a cell for so many of the largest size.
 SHINGLES_A_CELL = 2.8
 
@@ -151,18 +153,21 @@ def _sets(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
     ]
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", counted: bool = True
+) -> DataFrame:
     """Every document with the group it reaches over links: doc_id, n_shingles, class_id, n_links,
     component_id.
 
     Two documents link when their sets of different 5-word shingles (words between white space, A-Z
     lower-cased; a text of fewer words is one shingle) have a Jaccard similarity of 0.8 or more. Equal
-    sets are one class (class_id, the smallest doc_id among them); n_links counts the links found
-    between a document's class and other classes, which are at least those that connect its group.
-    component_id is the smallest doc_id of the group.
+    sets are one class (class_id, the smallest doc_id among them); n_links is the number of all other
+    classes that a document's class links to (null unless `counted`, for callers that only need the
+    groups). component_id is the smallest doc_id of the group.
 
     No group is held in one task: classes are linked to the smallest member of each bucket, and only
-    members that this leaves in different groups are compared with each other. Texts without words,
+    members that this leaves in different groups are compared with each other. The links inside a group
+    are counted between blocks of its classes. Texts without words,
     null ones too, are alone. A null doc_id gives a group of its own rows (null class) and links
     nothing. Rows that repeat a doc_id are one set each. Extra columns are ignored.
     """
@@ -204,8 +209,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             links = materialise(links.unionByName(late), "links")
             groups = materialise(components(links), "groups")
         stars = stars.unionByName(pairs)
-    ends = links.select(F.col("a").alias("set")).unionByName(links.select(F.col("b").alias("set")))
-    n_links = ends.groupBy("set").agg(F.count(F.lit(1)).alias("n_links"))
+    if counted:
+        n_links = _all_links(links, groups, classes, sets)
+    else:
+        n_links = groups.select(F.col("node").alias("set"), F.lit(None).cast("long").alias("n_links"))
     named = (
         classes.select("set", "first")
         .join(groups.select(F.col("node").alias("set"), "component"), "set", "left")
@@ -214,7 +221,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
     named = named.join(smallest, "component").select(
-        "set", F.col("first").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "smallest"
+        "set", F.col("first").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) if counted else F.col("n_links")).alias("n_links"), "smallest"
     )
     # only sets with copies or links need the join; all others are their own group
     return (
@@ -344,3 +351,90 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .filter(DENOMINATOR * F.col("both") >= NUMERATOR * (F.size("x") + F.size("y") - F.col("both")))
         .select("a", "b")
     )
+
+
+def _all_links(links: DataFrame, groups: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, n_links) of every set in a group: how many other sets it is similar to.
+
+    Similar sets are in one group. In a group whose every pair is among `links`, each set links to
+    all others. The sets of any other group are dealt to blocks by size band and hash, and each block
+    is compared with itself and with those of its own and the next band, in a task's memory, so that
+    pairs are never rows and a large group is spread over many tasks.
+    """
+    nodes = groups.select(F.col("node").alias("set"), "component")
+    found = (
+        links.join(nodes.withColumnRenamed("set", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("found"))
+    )
+    extent = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("members")).join(found, "component")
+    every = F.col("members") * (F.col("members") - 1) / 2
+    extent = materialise(extent.select("component", "members", (F.col("found") == every).alias("complete")), "extent")
+    whole = nodes.join(extent.filter("complete"), "component").select("set", (F.col("members") - 1).alias("n_links"))
+    # the bit length of the size: a similar set has at most one bit more
+    banded = (
+        nodes.join(extent.filter(~F.col("complete")).select("component"), "component")
+        .join(classes.select("set", "n"), "set")
+        .select("set", "component", F.length(F.bin("n")).alias("band"))
+    )
+    parts = banded.groupBy("component", "band").agg(
+        F.ceil(F.count(F.lit(1)) * F.pow(F.lit(2.0), F.col("band")) / BLOCK_SHINGLES).alias("parts")
+    )
+    dealt = materialise(
+        banded.join(parts, ["component", "band"]).select(
+            "set", "component", "band", F.pmod(F.xxhash64("set"), F.col("parts")).alias("part")
+        ),
+        "dealt",
+    )
+    blocks = materialise(dealt.select("component", "band", "part").distinct(), "blocks")
+    a = blocks.select("component", F.col("band").alias("band_a"), F.col("part").alias("part_a"))
+    b = blocks.select("component", F.col("band").alias("band_b"), F.col("part").alias("part_b"))
+    same = F.col("band_a") == F.col("band_b")
+    pairs = a.join(b, "component").filter(
+        (same & (F.col("part_a") <= F.col("part_b"))) | (F.col("band_a") + 1 == F.col("band_b"))
+    )
+    pair = ["component", "band_a", "part_a", "band_b", "part_b"]
+    left = pairs.select(*pair, F.col("band_a").alias("band"), F.col("part_a").alias("part"), F.lit(0).alias("side"))
+    right = pairs.filter(~same | (F.col("part_a") < F.col("part_b"))).select(
+        *pair, F.col("band_b").alias("band"), F.col("part_b").alias("part"), F.lit(1).alias("side")
+    )
+    counts = (
+        dealt.join(left.unionByName(right), ["component", "band", "part"])
+        .join(sets, "set")
+        .select(*pair, "side", "set", "shingles")
+        .groupBy(*pair)
+        .applyInArrow(_count_links, "set long, n long")
+        .groupBy("set")
+        .agg(F.sum("n").alias("n_links"))
+    )
+    return materialise(whole.unionByName(counts), "counts")
+
+
+def _count_links(block: pa.Table) -> pa.Table:
+    """(set, n): how many sets of side 1 each of side 0 is similar to, and the other way round; of one
+    side alone, how many of the others."""
+    own, side = block.column("set").to_numpy(), block.column("side").to_numpy()
+    lists = block.column("shingles").combine_chunks()
+    sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    flat = lists.flatten().to_numpy()
+    ends = np.cumsum(sizes)
+    bits = np.stack([sketch(flat[e - n : e].view(np.uint64)) for e, n in zip(ends, sizes, strict=True)]).view(np.uint64)
+    names, place = np.unique(flat, return_inverse=True)
+    rows = np.split(place, ends[:-1])
+    firsts, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    counts = np.zeros(len(own), np.int64)
+    has = np.zeros(len(names), np.int64)
+    for k, i in enumerate(firsts):
+        near = others if len(others) else firsts[k + 1 :]
+        both = sizes[near] + sizes[i]
+        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = near[apart * (DENOMINATOR + NUMERATOR) <= both * (DENOMINATOR - NUMERATOR)]
+        if not len(near):
+            continue
+        has[rows[i]] = 1
+        starts = np.cumsum(sizes[near]) - sizes[near]
+        shared = np.add.reduceat(has[np.concatenate([rows[j] for j in near])], starts)
+        has[rows[i]] = 0
+        hit = near[DENOMINATOR * shared >= NUMERATOR * (sizes[near] + sizes[i] - shared)]
+        counts[i] += len(hit)
+        counts[hit] += 1
+    linked = counts > 0
+    return pa.table({"set": pa.array(own[linked]), "n": pa.array(counts[linked])})

@@ -89,6 +89,33 @@ def test_large_group_and_empty_table(spark):
     assert jaccard.similar_groups(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def links_of(rows):
+    """(id, number of other sets that are similar)."""
+    sets = {i: shingles(t) for i, t in rows}
+    kinds = set(sets.values()) - {frozenset()}
+    near = {a: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in kinds) for a in kinds}
+    return {(i, near.get(s, 0)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK_SHINGLES, 600])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join([*base, f"end{i}"]) for i in range(40)] + ["", None, "a b", "a b", "same text here and there"]
+    # chains, whose ends do not link, over a boundary of size bands
+    for length in (20, 33, 64, 130):
+        words = [f"v{length}x{i}" for i in range(length)]
+        for k in range(30):
+            words = edited(rnd, words, rnd.choice([0, 1, 2])) + [f"more{k}"] * (k % 2)
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.n_links) for r in got} == links_of(rows)
+    assert {r.n_links for r in got if r.doc_id < 40} == {39}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == groups_of(rows)
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 100)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
