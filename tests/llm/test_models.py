@@ -56,6 +56,47 @@ def test_scores(spark):
     assert all(math.isfinite(r.score) for r in language_model.score_texts(docs, language_model.train(empty)).collect())
 
 
+def brute_backoff(train, text, least=2, discount=0.7):
+    """log10 probability by counts of all n-grams of up to three words seen `least` times."""
+    seen = collections.Counter()
+    for t in train:
+        for i in range(len(t)):
+            seen.update(tuple(t[i - n + 1 : i + 1]) for n in (1, 2, 3) if i - n + 1 >= 0)
+    tokens = sum(c for g, c in seen.items() if len(g) == 1)
+    kinds = sum(len(g) == 1 for g in seen)
+    after = collections.defaultdict(list)
+    for g, c in seen.items():
+        if len(g) > 1 and c >= least:
+            after[g[:-1]].append(g)
+
+    def kept(g):
+        return (seen[g] - discount) / (seen[g[:-1]] if len(g) > 1 else tokens)
+
+    def p(g):
+        if len(g) == 1:
+            return kept(g) if g in seen else discount * kinds / tokens
+        if seen[g] >= least:
+            return kept(g)
+        rest = after.get(g[:-1], [])
+        return (1 - sum(map(kept, rest))) / (1 - sum(kept(h[1:]) for h in rest)) * p(g[1:])
+
+    return sum(math.log10(p(tuple(text[max(0, i - 2) : i + 1]))) for i in range(len(text)))
+
+
+def test_ngrams_seen_twice_count_at_any_size(spark, monkeypatch):
+    # "left right here" is seen twice in 400,000 tokens and more, 5e-6 of which are over two
+    rnd = random.Random(4)
+    filler = [" ".join(f"w{rnd.randrange(300)}" for _ in range(200)) for _ in range(2600)]
+    texts = [*filler, "far left right here", "so left right here too", "left right"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    asked = ["left right here", "w1 left right here too", "right here", "never left", "", filler[0]]
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 300)
+    got = language_model.score_texts(spark.createDataFrame(list(enumerate(asked)), DOCS), language_model.train(docs))
+    read = [[*t.split(), ""] for t in texts]
+    for r in got.collect():
+        assert r.score == pytest.approx(brute_backoff(read, [*asked[r.doc_id].split(), ""])), asked[r.doc_id]
+
+
 def brute_bits(train, text):
     k = langid.ORDER
     seen = collections.defaultdict(collections.Counter)
