@@ -14,9 +14,14 @@ from letterloom.llm.common import annotate, free_name, pieces, plain_words, text
 from letterloom.session import materialise
 
 BLOCK = 64
+#: Blocks that are read before any bound is compared.
+FIRST_BLOCKS = 4
 #: Besides whole words, their first so many bytes are terms too, for the forms of one stem.
 STEMS = (4, 5)
 
+#: Words whose terms a task remembers.
+WORDS_HELD = 1 << 18
+
 SCORED = T.StructType(
     [
         T.StructField("score", T.DoubleType()),
@@ -27,16 +32,38 @@ SCORED = T.StructType(
 )
 
 
+class Postings(NamedTuple):
+    """The examples of each term, cut into entries of one block of examples each."""
+
+    first: np.ndarray  # of each term, its first entry
+    blocks: np.ndarray  # of each entry
+    largest: np.ndarray  # weight of each entry
+    starts: np.ndarray  # of each entry, its first posting
+    rows: np.ndarray
+    values: np.ndarray
+
+
+def postings(terms: np.ndarray, rows: np.ndarray, values: np.ndarray, kinds: int) -> Postings:
+    """Of weights that are not 0, each given by its term below `kinds` and its row."""
+    order = np.lexsort((rows, terms))
+    terms, rows, values = terms[order], rows[order].astype(np.int32), values[order].astype(np.float32)
+    place = terms.astype(np.int64) << 32 | rows // BLOCK
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    largest = np.maximum.reduceat(values, starts) if len(values) else values
+    first = np.searchsorted(terms[starts], np.arange(kinds + 1))
+    return Postings(first, rows[starts] // BLOCK, largest, np.append(starts, len(rows)), rows, values)
+
+
 class Index(NamedTuple):
     """Labelled examples in an inverted index whose postings are cut into blocks of examples."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    weights: np.ndarray  # examples x terms, unit rows, ordered so that like examples share a block
-    block_max: np.ndarray  # blocks x terms
+    weights: Postings | np.ndarray  # unit rows, ordered so that like examples share a block
+    block_max: np.ndarray  # of each entry of the postings, or blocks x terms
     labels: np.ndarray
     ids: np.ndarray
-    default: float  # share of toxic examples among those without any of the terms
+    default: float  # share of toxic examples among those without any telling term
 
 
 def labelled_examples(
@@ -74,13 +101,14 @@ def terms_of(words: list[bytes]) -> list[list[bytes]]:
     return [[w, *(w[:n] + b"*" for n in STEMS if len(w) > n)] for w in words]
 
 
-def build_index(examples: DataFrame, max_terms: int, min_contexts: int, z: float) -> Index:
-    """The index over the terms that tell the classes apart.
+def build_index(examples: DataFrame, max_terms: int, min_contexts: int, z: float, emphasis: float) -> Index:
+    """The index over all terms of the examples.
 
-    A term counts once for each different next word in a class, so that a passage that is copied
-    through many examples is one occurrence. Terms are kept if the toxic share of theirs is above
-    that of all by `z` standard errors, at most `max_terms` of them; the rest do not speak for
-    toxicity, and their TF-IDF weight would drown what does.
+    Terms that tell the classes apart have `emphasis` times their TF-IDF weight, as that of all the
+    rest would drown them. For these, a term counts once for each different next word in a class, so
+    that a passage that is copied through many examples is one occurrence. They are those whose toxic
+    share is above that of all by `z` standard errors, at most `max_terms`. Where none occurs, as in
+    copies of a toxic passage of plain words, the nearest examples are those with the same words.
     """
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,59 +156,78 @@ def build_index(examples: DataFrame, max_terms: int, min_contexts: int, z: float
         .limit(max_terms)
         .collect()
     )
-    terms = {bytes(r["term"]): i for i, r in enumerate(telling)}
-    # at most max_terms rows an example
-    kept = (
-        occurring.join(F.broadcast(_frame(examples, list(terms))), "term")
-        .groupBy("id", "term")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    people = examples.select("id", "label").orderBy("id").collect()
-    place = {r["id"]: i for i, r in enumerate(people)}
-    weights = np.zeros((len(people), max(1, len(terms))))
-    for r in kept:
-        weights[place[r["id"]], terms[bytes(r["term"])]] = 1 + np.log(r["n"])
-    idf = np.log((1 + len(people)) / (1 + (weights > 0).sum(axis=0))) + 1
-    weights *= idf
-    labels = np.array([r["label"] for r in people], dtype=np.int64)
-    ids = np.array([r["id"] for r in people], dtype=np.int64)
-    norm = np.sqrt((weights**2).sum(axis=1))
-    silent = norm == 0
+    # the sample is bounded, and its texts are smaller than its postings
+    people = examples.select("id", "label", "text").orderBy("id").toArrow()
+    labels = people.column("label").to_numpy().astype(np.int64)
+    ids = people.column("id").to_numpy().astype(np.int64)
+    terms: dict[bytes, int] = {}
+    found: list[tuple] = []
+    for text in people.column("text").cast(pa.binary()).to_pylist():
+        counts = Counter(t for of_word in terms_of(plain_words(text)) for t in of_word)
+        places = [terms.setdefault(t, len(terms)) for t in counts]
+        found.append((np.array(places, np.int64), 1 + np.log(np.fromiter(counts.values(), float, len(counts)))))
+    sizes = np.array([len(t) for t, _ in found], np.int64)
+    columns = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)])
+    weights = np.concatenate([np.zeros(0), *(w for _, w in found)])
+    rows = np.repeat(np.arange(len(ids)), sizes)
+    idf = np.log((1 + len(ids)) / (1 + np.bincount(columns, minlength=len(terms)))) + 1
+    tells = np.zeros(len(terms), bool)
+    tells[[terms[bytes(r["term"])] for r in telling]] = True
+    idf[tells] *= emphasis
+    weights *= idf[columns]
+    silent = np.bincount(rows, weights=tells[columns], minlength=len(ids)) == 0
     # add-one share, so that no evidence never gives certainty
-    default = (labels[silent].sum() + labels.mean()) / (silent.sum() + 1) if len(people) else 0.0
-    keep = np.flatnonzero(~silent)
-    weights = weights[keep] / norm[keep, None]
-    order = np.lexsort((ids[keep], weights.argmax(axis=1) if len(keep) else []))
-    keep, weights = keep[order], weights[order]
-    cuts = np.arange(0, len(keep), BLOCK)
-    block_max = np.maximum.reduceat(weights, cuts, axis=0) if len(keep) else weights
-    return Index(
-        terms, idf, weights.astype(np.float32), block_max.astype(np.float32), labels[keep], ids[keep], float(default)
-    )
+    default = (labels[silent].sum() + labels.mean()) / (silent.sum() + 1) if len(ids) else 0.0
+    norm = np.sqrt(np.bincount(rows, weights=weights**2, minlength=len(ids)))
+    weights /= norm[rows]
+    heaviest = np.zeros(len(ids), np.int64)
+    by_weight = np.argsort(weights, kind="stable")
+    heaviest[rows[by_weight]] = columns[by_weight]
+    order = np.lexsort((ids, heaviest))
+    moved = np.empty(len(ids), np.int64)
+    moved[order] = np.arange(len(ids))
+    lists = postings(columns, moved[rows], weights, len(terms))
+    return Index(terms, idf, lists, lists.largest, labels[order], ids[order], float(default))
 
 
-def _frame(df: DataFrame, words: list[bytes]) -> DataFrame:
-    """At most `max_terms` terms as a table."""
-    return df.sparkSession.createDataFrame([(bytearray(w),) for w in words], "term binary")
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start, so many as its size says."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest examples of a unit vector given by its terms and weights, and their cosines.
 
-    Blocks are read by falling upper bound (the sum of query weight times the block's largest weight
-    of each term) until the bound cannot beat the k-th cosine found; so the result is exact. Ties go
-    to the smaller position.
+    The blocks of the largest upper bounds (the sum of query weight times the block's largest weight
+    of each term) are read first, then all whose bound can beat the k-th cosine found; so the result
+    is exact. Ties go to the smaller position.
     """
-    bounds = index.block_max[:, terms] @ weights
-    found, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
-    for block in np.argsort(-bounds, kind="stable"):
-        if bounds[block] <= 0 or (len(found) >= k and bounds[block] < cosines[k - 1] - 1e-6):
-            break
-        start = block * BLOCK
-        scores = index.weights[start : start + BLOCK][:, terms] @ weights
+    lists = index.weights
+    if not isinstance(lists, Postings):
+        rows, columns = np.nonzero(lists)
+        lists = postings(columns, rows, lists[rows, columns], lists.shape[1])
+    sizes = lists.first[terms + 1] - lists.first[terms]
+    entries, by = _ranges(lists.first[terms], sizes), np.repeat(weights, sizes)
+    blocks = lists.blocks[entries]
+    bounds = np.bincount(blocks, weights=lists.largest[entries] * by, minlength=-(-len(index.labels) // BLOCK))
+    unread = bounds > 0
+    found, cosines = np.zeros(0, np.int64), np.zeros(0)
+    for turn in (0, 1):
+        now = unread.copy()
+        if not turn:
+            now[np.argsort(-bounds, kind="stable")[FIRST_BLOCKS:]] = False
+        elif len(found) >= k:
+            now &= bounds >= cosines[k - 1] - 1e-6
+        unread &= ~now
+        use = now[blocks]
+        part = entries[use]
+        sizes = lists.starts[part + 1] - lists.starts[part]
+        at = _ranges(lists.starts[part], sizes)
+        scores = np.bincount(lists.rows[at], weights=lists.values[at] * np.repeat(by[use], sizes))
         hit = np.flatnonzero(scores > 0)
-        found = np.concatenate([found, hit + start])
+        if len(hit) > k:
+            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
+        found = np.concatenate([found, hit])
         cosines = np.concatenate([cosines, scores[hit]])
         order = np.lexsort((found, -cosines))[:k]
         found, cosines = found[order], cosines[order]
@@ -189,25 +236,19 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int) -> tup
 
 def _scorer(index: Index, k: int, threshold: float):
     names = [w.decode(errors="replace") for w in index.terms]
-    whole = {w: i for w, i in index.terms.items() if not w.endswith(b"*")}
-    by_stem = [
-        (n, {w[:-1]: i for w, i in index.terms.items() if w.endswith(b"*") and len(w) == n + 1}) for n in STEMS
-    ]
+    of_word: dict[bytes, list[int]] = {}
+
+    def places(word: bytes) -> list[int]:
+        if word not in of_word:
+            if len(of_word) >= WORDS_HELD:
+                of_word.clear()
+            of_word[word] = [index.terms[t] for t in terms_of([word])[0] if t in index.terms]
+        return of_word[word]
 
     def score(texts: list[bytes]):
         scores, predicted, evidence, neighbours = [], [], [], []
-        memo: dict[tuple, tuple] = {}
         for text in texts:
-            words = plain_words(text)
-            found = [] if whole.keys().isdisjoint(words) else [whole[w] for w in words if w in whole]
-            for n, stems in by_stem:
-                starts = [w[:n] for w in words if len(w) > n]
-                if not stems.keys().isdisjoint(starts):
-                    found += [stems[w] for w in starts if w in stems]
-            counts = tuple(sorted(Counter(found).items()))
-            if counts not in memo:
-                memo[counts] = vote(counts)
-            s, why, near = memo[counts]
+            s, why, near = vote(tuple(sorted(Counter(i for w in plain_words(text) for i in places(w)).items())))
             scores.append(s)
             predicted.append(int(s >= threshold))
             evidence.append(why)
@@ -245,7 +286,7 @@ def score_toxicity(
 
     The score is the share of toxic among the k nearest examples, weighted by squared cosine. A text
     without any of the index's terms, empty and null ones too, gets the share of toxic examples among
-    those without terms. Equal texts get equal scores. Extra columns are kept; `name` gets
+    those without telling terms. Equal texts get equal scores. Extra columns are kept; `name` gets
     underscores if it is taken.
     """
     return annotate(docs, text, SCORED, _scorer(index, k, threshold), free_name(docs, name))
@@ -262,9 +303,10 @@ def train(
     max_terms: int = 512,
     min_contexts: int = 5,
     z: float = 6.0,
+    emphasis: float = 30.0,
 ) -> Index:
     """The index of a bounded sample of labelled documents; without labelled rows all scores are 0."""
     examples = materialise(
         labelled_examples(docs, labels, key, text, label, per_class, max_chars), "labelled"
     )
-    return build_index(examples, max_terms, min_contexts, z)
+    return build_index(examples, max_terms, min_contexts, z, emphasis)

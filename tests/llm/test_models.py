@@ -176,6 +176,18 @@ def test_toxicity(spark):
     assert {r.toxicity.score for r in toxicity.score_toxicity(docs, toxicity.train(docs, marks.limit(0))).collect()} == {0.0}
 
 
+def test_copies_of_a_toxic_passage_meet_their_twins(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(300)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(25)]
+    rows = [(i, " ".join([*words(10), *(passage if i % 4 == 0 else words(25)), *words(10)])) for i in range(240)]
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240) if i % 3 != 1], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, toxicity.train(docs, marks)).collect()
+    assert all(r.toxicity.predicted == (r.doc_id % 4 == 0) for r in got)
+    assert all(len(r.toxicity.neighbours) == 15 for r in got)
+
+
 def brute_pieces(pieces, word):
     unknown, text = min(pieces.values()) - 10, "▁" + word
     best = [(0.0, 0)]
