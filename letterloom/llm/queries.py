@@ -16,6 +16,7 @@ from letterloom.llm import (
     secrets,
     token_counts,
     toxicity,
+    whitening,
 )
 from letterloom.llm.common import remainder
 from letterloom.session import tune
@@ -121,6 +122,11 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(docs).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first eight principal components of all, with unit variance."""
+    return whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -134,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_neighbours,
         op10_jaccard_join,
+        op11_whitening,
     )
 }
