@@ -13,6 +13,7 @@ from letterloom.llm import (
     language_model,
     mixing,
     neighbours,
+    quality,
     secrets,
     token_counts,
     toxicity,
@@ -127,6 +128,22 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by the passages that matter; a fifth is never learned from."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    labels = _table(spark, folder, "labels").select("doc_id", "quality").filter(~held_out)
+    scored = quality.score_quality(docs, quality.train(docs, labels), name="quality")
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("quality.score").alias("score"),
+        F.col("quality.predicted").alias("predicted"),
+        F.col("quality.n_passages").alias("n_passages"),
+        F.col("quality.top_passage").alias("top_passage"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -141,5 +158,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_neighbours,
         op10_jaccard_join,
         op11_whitening,
+        op13_quality,
     )
 }
