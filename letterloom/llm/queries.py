@@ -14,6 +14,7 @@ from letterloom.llm import (
     mixing,
     neighbours,
     quality,
+    ranked_search,
     secrets,
     token_counts,
     toxicity,
@@ -128,6 +129,12 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every item of the benchmark."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, _table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def op13_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by the passages that matter; a fifth is never learned from."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
@@ -158,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_neighbours,
         op10_jaccard_join,
         op11_whitening,
+        op12_ranked_search,
         op13_quality,
     )
 }
