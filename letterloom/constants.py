@@ -65,6 +65,9 @@ DEFAULT_SIGN_OFF = "Best regards,"
 SKILL_GROUP_LIMIT = 8
 ONE_PAGE_YEARS = 7
 
+# Words that say what kind of company it is, not which one
+LEGAL_FORMS = ["ag", "co", "corp", "corporation", "gmbh", "inc", "limited", "llc", "ltd", "plc"]
+
 # Completion
 MAX_ATTEMPTS = 3
 FIRST_WAIT_SECONDS = 1.0

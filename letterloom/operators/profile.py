@@ -37,23 +37,30 @@ def distinct_skills(mentions: DataFrame) -> DataFrame:
     return mentions.select("applicant_id", "skill").distinct()
 
 
-def merge_bullets(bullets: DataFrame, role: str = "role_id") -> DataFrame:
+def merge_bullets(bullets: DataFrame, role: str | Sequence[str] = "role_id") -> DataFrame:
     """The unique bullets of every role over all documents, in their own words.
 
     Bullets of the same words are one: the longest text stays, and the first among equally long ones.
     A bullet whose words begin a longer bullet of the role is a shorter version of it and goes;
-    bullets that only start alike all stay. Bullets meet the beginnings of others by equality, so a
-    role of very many bullets is spread over the tasks.
+    bullets that only start alike all stay. A role of very many bullets is spread over the tasks:
+    bullets and the beginnings of others meet by equality of their length and 128 bits of hashes, so a
+    beginning crosses the shuffle as three numbers.
     """
-    version = F.array_join(tokens(F.col("text")), " ")
-    keyed = bullets.select(role, "text", version.alias("version"))
-    once = top_rows(keyed, [role, "version"], [F.length("text").desc(), F.col("text").asc()], 1)
-    words = F.split("version", " ")
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
-    )
-    beginnings = once.select(role, F.explode(F.when(F.size(words) > 1, shorter)).alias("version"))
-    return once.join(beginnings, [role, "version"], "left_anti")
+    keys = [role] if isinstance(role, str) else list(role)
+    words = tokens(F.col("text"))
+    keyed = bullets.select(*keys, "text", F.array_join(words, " ").alias("version"))
+    once = top_rows(keyed, [*keys, "version"], [F.length("text").desc(), F.col("text").asc()], 1)
+
+    def known(run: Column) -> list[Column]:
+        return [F.size(run).alias("n"), F.xxhash64(run).alias("h1"), F.xxhash64(F.lit(1), run).alias("h2")]
+
+    split = F.split("version", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda n: F.slice(split, F.lit(1), n))
+    shorter = F.transform(runs, lambda run: F.struct(*known(run)))
+    beginnings = once.select(*keys, F.inline(F.when(F.size(split) > 1, shorter)))
+    return once.withColumns(dict(zip(("n", "h1", "h2"), known(split), strict=True))).join(
+        beginnings, [*keys, "n", "h1", "h2"], "left_anti"
+    ).select(*keys, "version", "text")
 
 
 def metric_habits(bullets: DataFrame, keys: Sequence[str]) -> DataFrame:

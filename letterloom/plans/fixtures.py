@@ -159,6 +159,41 @@ class Tables:
             text.alias("text"),
         )
 
+    def role_mentions(self) -> DataFrame:
+        """Every past role as one to three resumes tell it, later ones with another title, another form
+        of the company's name, a start in whole years, or no start at all."""
+        role, version = F.col("role_id"), F.col("version")
+        told = self.roles().withColumn("version", F.explode(F.sequence(F.lit(0), (F.col("role_id") % 3).cast("int"))))
+        company = (
+            F.when(version == 0, F.concat(F.lit("Works "), "company"))
+            .when(version == 1, F.concat(F.lit("works "), "company", F.lit(" GmbH")))
+            .otherwise(F.concat(F.lit("WORKS "), "company", F.lit(", Inc.")))
+        )
+        january = (F.col("start_m") - 1) - (F.col("start_m") - 1) % 12 + 1
+        start = (
+            F.when(version == 0, F.col("start_m"))
+            .when(version == 1, january)
+            .when(role % 5 > 0, F.col("start_m") + 1)
+        )
+        return told.select(
+            "applicant_id",
+            (role * 3 + version).alias("mention_id"),
+            "role_id",
+            "version",
+            F.when(version == 1, F.concat(F.lit("Senior "), "title")).otherwise(F.col("title")).alias("title"),
+            company.alias("company"),
+            F.when(version == 2, "").otherwise(F.concat(F.lit("Hall "), (role % 4).cast("string"))).alias("location"),
+            start.cast("int").alias("start_m"),
+            F.when(~F.col("is_current"), F.col("end_m")).alias("end_m"),
+        )
+
+    def mention_bullets(self) -> DataFrame:
+        """The bullets of a role as its mentions have them: the last one says more."""
+        longer = F.when(F.col("version") == 2, F.concat("text", F.lit(" on time"))).otherwise(F.col("text"))
+        held = (F.col("bullet_no") + F.col("version")) % 3 < 2
+        told = self.role_mentions().select("role_id", "version", "mention_id")
+        return self.bullets().join(told, "role_id").filter(held).select("mention_id", longer.alias("text"))
+
     def facts(self) -> DataFrame:
         return self.read("events").select(
             F.col("user_id").alias("applicant_id"),

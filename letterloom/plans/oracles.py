@@ -213,6 +213,51 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 SELECT * FROM (SELECT user_id AS applicant_id, event_type AS field, value, event_id,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) t
 WHERE n = 1""",
+    "v_role_mentions": """
+SELECT applicant_id, role_id * 3 + version AS mention_id, role_id, version,
+  CASE version WHEN 1 THEN concat('Senior ', title) ELSE title END AS title,
+  CASE version WHEN 0 THEN concat('Works ', company) WHEN 1 THEN concat('works ', company, ' GmbH')
+    ELSE concat('WORKS ', company, ', Inc.') END AS company,
+  CASE version WHEN 2 THEN '' ELSE concat('Hall ', role_id % 4) END AS location,
+  CASE WHEN version = 0 THEN start_m WHEN version = 1 THEN (start_m - 1) // 12 * 12 + 1
+    WHEN role_id % 5 > 0 THEN start_m + 1 END AS start_m,
+  CASE WHEN is_current THEN NULL ELSE end_m END AS end_m
+FROM (SELECT *, unnest(range(0, role_id % 3 + 1)) AS version FROM v_roles) t""",
+    "v_role_keys": f"""
+SELECT *, greatest(least(coalesce(end_m, {AS_OF_M}), {AS_OF_M}), start_m + 1) AS to_m FROM (
+  SELECT *, array_to_string(list_filter({tokens('company')}, lambda w: w NOT IN ('gmbh', 'inc')), ' ') AS company_key,
+    {normalised('title')} AS title_key FROM v_role_mentions) t""",
+    "v_role_runs": """
+WITH marked AS (SELECT *,
+    CASE WHEN start_m < max(to_m) OVER by_company THEN NULL ELSE start_m END AS company_first,
+    CASE WHEN start_m < max(to_m + 6) OVER by_title THEN NULL ELSE start_m END AS title_first
+  FROM v_role_keys WHERE start_m IS NOT NULL
+  WINDOW by_company AS (PARTITION BY applicant_id, company_key ORDER BY start_m, mention_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         by_title AS (PARTITION BY applicant_id, company_key, title_key ORDER BY start_m, mention_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT *, max(company_first) OVER (PARTITION BY applicant_id, company_key ORDER BY start_m, mention_id) AS company_start,
+  max(title_first) OVER (PARTITION BY applicant_id, company_key, title_key ORDER BY start_m, mention_id) AS title_start
+FROM marked""",
+    "v_role_starts": """
+WITH RECURSIVE runs AS (SELECT DISTINCT applicant_id, company_key, company_start, title_key, title_start FROM v_role_runs),
+bridges AS (SELECT DISTINCT a.applicant_id, a.company_key, a.company_start AS one, b.company_start AS other
+  FROM runs a JOIN runs b USING (applicant_id, company_key, title_key, title_start) WHERE a.company_start <> b.company_start),
+reached AS (SELECT DISTINCT applicant_id, company_key, company_start, company_start AS seen FROM runs
+  UNION SELECT r.applicant_id, r.company_key, r.company_start, b.other FROM reached r JOIN bridges b
+    ON b.applicant_id = r.applicant_id AND b.company_key = r.company_key AND b.one = r.seen)
+SELECT applicant_id, company_key, company_start, min(seen) AS role_start FROM reached GROUP BY ALL""",
+    "v_resolved": """
+WITH dated AS (SELECT applicant_id, company_key, title_key, mention_id, role_start
+  FROM v_role_runs JOIN v_role_starts USING (applicant_id, company_key, company_start)),
+newest AS (SELECT applicant_id, company_key, title_key, max(role_start) AS role_start FROM dated GROUP BY ALL)
+SELECT applicant_id, mention_id, concat(company_key, '|', coalesce(CAST(role_start AS VARCHAR), concat('undated ', title_key))) AS role_ref
+FROM (SELECT * FROM dated UNION ALL BY NAME
+  SELECT applicant_id, company_key, title_key, mention_id, role_start FROM v_role_keys
+  LEFT JOIN newest USING (applicant_id, company_key, title_key) WHERE start_m IS NULL) t""",
+    "v_mention_bullets": """
+SELECT mention_id, CASE version WHEN 2 THEN concat(text, ' on time') ELSE text END AS text
+FROM v_bullets JOIN v_role_mentions USING (role_id) WHERE (bullet_no + version) % 3 < 2""",
     "v_versions": f"""
 SELECT role_id, version, text FROM (SELECT *, row_number() OVER (PARTITION BY role_id, version
     ORDER BY length(text) DESC, text) AS n
@@ -514,6 +559,25 @@ GROUP BY author_id, n_docs""",
     "word_choice": CHOICES,
     "distinct_skills": "SELECT * FROM v_skills",
     "merge_bullets": "SELECT * FROM v_merged",
+    "resolve_roles": "SELECT * FROM v_resolved",
+    "merge_roles": f"""
+WITH told AS (SELECT * FROM v_role_mentions JOIN v_resolved USING (applicant_id, mention_id)),
+versions AS (SELECT DISTINCT applicant_id, role_ref, {normalised('text')} AS version, text
+  FROM v_mention_bullets JOIN v_resolved USING (mention_id)),
+once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY applicant_id, role_ref, version ORDER BY length(text) DESC, text) AS n
+  FROM versions) v WHERE n = 1),
+kept AS (SELECT * FROM once o WHERE NOT EXISTS (SELECT 1 FROM once l WHERE l.applicant_id = o.applicant_id
+  AND l.role_ref = o.role_ref AND starts_with(l.version, concat(o.version, ' ')))),
+counts AS (SELECT applicant_id, role_ref, count(*) AS n_bullets, max(text) AS last_bullet FROM kept GROUP BY ALL),
+merged AS (SELECT applicant_id, role_ref, count(*) AS n_mentions,
+    max_by(title, version * 1000000000000 + mention_id) AS title, max_by(company, version * 1000000000000 + mention_id) AS company,
+    coalesce(max_by(location, version * 1000000000000 + mention_id) FILTER (location <> ''), '') AS location
+  FROM told GROUP BY ALL),
+dated AS (SELECT applicant_id, role_ref, start_m, coalesce(end_m, 0) AS end_m FROM (SELECT *, row_number() OVER (
+    PARTITION BY applicant_id, role_ref ORDER BY version DESC, mention_id DESC) AS n FROM told WHERE start_m IS NOT NULL) t WHERE n = 1)
+SELECT applicant_id, role_ref, n_mentions, title, company, location, coalesce(start_m, 0) AS start_m, coalesce(end_m, 0) AS end_m,
+  coalesce(n_bullets, 0) AS n_bullets, coalesce(last_bullet, '') AS last_bullet
+FROM merged LEFT JOIN dated USING (applicant_id, role_ref) LEFT JOIN counts USING (applicant_id, role_ref)""",
     "metric_habits": """
 SELECT role_id, count(*) AS n_bullets,
   round(count(*) FILTER (regexp_matches(text, '[0-9]')) / count(*), 6) AS with_number,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from letterloom.constants import FILLER_WORDS
-from letterloom.operators import checks, extract, intake, matching, profile, templates, voice
+from letterloom.operators import checks, extract, intake, matching, profile, roles, templates, voice
 from letterloom.operators.completion import (
     complete,
     generation_prompt,
@@ -18,7 +18,7 @@ from letterloom.operators.records import keep_declared, split_valid, validate_re
 from letterloom.plans import phases
 from letterloom.plans.fixtures import LEXICON, WORD_PAIRS, Tables
 from letterloom.schemas import USER_PROFILE
-from letterloom.session import shared_folder, tune
+from letterloom.session import materialise, shared_folder, tune
 from letterloom.sources import files, sinks
 from letterloom.streaming.postings import incremental_postings, posting_stream
 
@@ -445,6 +445,29 @@ def merge_bullets(t: Tables) -> DataFrame:
     return profile.merge_bullets(t.bullets())
 
 
+@query
+def resolve_roles(t: Tables) -> DataFrame:
+    """The role of every mention, over all resumes of a person."""
+    return roles.resolve_roles(t.role_mentions(), AS_OF_M)
+
+
+@query
+def merge_roles(t: Tables) -> DataFrame:
+    """Every role once, with its newest values and how many bullets all its mentions have together."""
+    mentions = t.role_mentions()
+    resolved = materialise(roles.resolve_roles(mentions, AS_OF_M), "resolved")
+    merged = roles.merge_roles(mentions, resolved, ["version", "mention_id"])
+    keys = ["applicant_id", "role_ref"]
+    counts = roles.merge_role_bullets(t.mention_bullets(), resolved).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_bullets"), F.max("text").alias("last_bullet")
+    )
+    return merged.join(counts, keys, "left").select(
+        *keys, "n_mentions", "title", "company", F.coalesce("location", F.lit("")).alias("location"),
+        F.coalesce("start_m", F.lit(0)).alias("start_m"), F.coalesce("end_m", F.lit(0)).alias("end_m"),
+        F.coalesce("n_bullets", F.lit(0)).alias("n_bullets"), F.coalesce("last_bullet", F.lit("")).alias("last_bullet"),
+    )
+
+
 @query
 def metric_habits(t: Tables) -> DataFrame:
     return profile.metric_habits(t.bullets(), ["role_id"])
