@@ -1,6 +1,5 @@
 """Rules for finished documents. Each check gives one row per text, or one row per broken rule."""
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -23,7 +22,6 @@ from letterloom.functions.text import (
     NUMBER,
     find_all,
     let,
-    ngrams,
     normalised,
     paragraphs,
     sentence_bodies,
@@ -31,6 +29,7 @@ from letterloom.functions.text import (
     tokens,
     word_count,
 )
+from letterloom.operators.phrases import phrase_hits, phrase_rows
 
 
 def _kept(df: DataFrame, text: str) -> list[str]:
@@ -109,41 +108,22 @@ def summary_check(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def verb_lead(df: DataFrame, verbs: Sequence[str], text: str = "text") -> DataFrame:
-    """Whether a bullet begins with one of the action verbs."""
+def verb_lead(df: DataFrame, verbs: DataFrame | Sequence[str], text: str = "text") -> DataFrame:
+    """Whether a bullet begins with one of the action verbs, a table (verb) of any size or a sequence."""
+    listed = phrase_rows(df.sparkSession, verbs, "verb")
+    known = listed.select(F.lower("verb").alias("__first")).distinct().withColumn("__known", F.lit(True))
     first = F.lower(F.regexp_extract(text, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", 1))
-    return df.withColumn("leads_with_verb", first.isin([v.lower() for v in verbs]))
+    flagged = df.withColumn("__first", first).join(known, "__first", "left")
+    return flagged.withColumn("leads_with_verb", F.coalesce("__known", F.lit(False))).drop("__first", "__known")
 
 
-def phrase_counts(text: Column, phrases: Sequence[str]) -> Column:
-    """(phrase, n) for each phrase in a text: word by word, in any case, overlaps counted."""
-    words = tokens(text)
-    by_length: dict[int, list[str]] = {}
-    for phrase in phrases:
-        by_length.setdefault(len(re.findall(r"[^\W_]+", phrase)), []).append(phrase)
-    counted = [_run_counts(ngrams(words, n), group) for n, group in sorted(by_length.items())]
-    return F.filter(F.concat(*counted), lambda c: c["n"] > 0)
+def forbidden_hits(df: DataFrame, forbidden: DataFrame | Sequence[str], text: str = "text") -> DataFrame:
+    """Every use of a forbidden word or phrase of a common list, with its count.
 
-
-def _run_counts(runs: Column, phrases: list[str]) -> Column:
-    wanted = F.array(*[normalised(F.lit(p)) for p in phrases])
-    hits = F.filter(runs, lambda run: F.array_contains(wanted, run))
-
-    def uses(found: Column, phrase: str) -> Column:
-        run_of = normalised(F.lit(phrase))
-        return F.size(F.filter(found, lambda run: run == run_of))
-
-    def counts(found: Column) -> Column:
-        return F.array(
-            *[F.struct(F.lit(p).alias("phrase"), uses(found, p).alias("n")) for p in phrases]
-        )
-
-    return let(hits, counts)
-
-
-def forbidden_hits(df: DataFrame, forbidden: Sequence[str], text: str = "text") -> DataFrame:
-    """Every use of a forbidden word or phrase of a common list, with its count."""
-    return df.select(*_kept(df, text), F.inline(phrase_counts(F.col(text), forbidden)))
+    The list is a table (phrase) of any size, or a short sequence. Rows are told apart by the columns
+    besides the text. A phrase without a letter or digit is never found (see `phrases.phrase_hits`).
+    """
+    return phrase_hits(df, phrase_rows(df.sparkSession, forbidden), _kept(df, text), text)
 
 
 def forbidden_by_author(

@@ -29,6 +29,8 @@ from letterloom.functions.text import (
     strip,
     tokens,
 )
+from letterloom.operators.phrases import each_with_all, phrase_hits, phrase_rows
+from letterloom.session import materialise
 
 SHORT_WORDS, LONG_WORDS = 8, 20
 FIRST_TWO = r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++[^\p{L}\p{N}]++[\p{L}\p{N}]++)"
@@ -195,38 +197,28 @@ def majority_value(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return most_common(df, keys, value)
 
 
-def word_choice(samples: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Which word of each pair an author prefers. The counts are made inside the scan."""
-    words = tokens(F.col("text"))
+def word_choice(samples: DataFrame, pairs: DataFrame | Sequence[tuple[str, str]]) -> DataFrame:
+    """Which word of each pair an author prefers: (author_id, word_a, word_b, n_a, n_b, preferred).
 
-    def uses(word: str) -> Column:
-        return F.size(F.filter(F.col("words"), lambda t: t == word))
-
-    sums = (
-        samples.select("author_id", words.alias("words"))
-        .groupBy("author_id")
-        .agg(
-            *[F.sum(uses(a)).alias(f"a{i}") for i, (a, _) in enumerate(pairs)],
-            *[F.sum(uses(b)).alias(f"b{i}") for i, (_, b) in enumerate(pairs)],
-        )
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("word_a"),
-                F.lit(b).alias("word_b"),
-                F.col(f"a{i}").alias("n_a"),
-                F.col(f"b{i}").alias("n_b"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
+    `pairs(word_a, word_b)` is a table of any size or a short sequence. Every author has a row for
+    every pair; authors without text count 0.
+    """
+    if not isinstance(pairs, DataFrame):
+        pairs = samples.sparkSession.createDataFrame(list(pairs), "word_a string, word_b string")
+    listed = pairs.select("word_a", "word_b").distinct()
+    words = listed.select(F.explode(F.array("word_a", "word_b")).alias("phrase"))
+    uses = materialise(phrase_hits(samples, words, ["author_id"]), "uses")
+    counted = each_with_all(samples.select("author_id").distinct(), listed)
+    for side in ("a", "b"):
+        of_side = uses.select("author_id", F.col("phrase").alias(f"word_{side}"), F.col("n").alias(f"n_{side}"))
+        counted = counted.join(of_side, ["author_id", f"word_{side}"], "left")
+    counted = counted.withColumns({f"n_{side}": F.coalesce(f"n_{side}", F.lit(0)) for side in ("a", "b")})
     preferred = (
         F.when(F.col("n_a") > F.col("n_b"), F.col("word_a"))
         .when(F.col("n_b") > F.col("n_a"), F.col("word_b"))
         .otherwise("")
     )
-    return sums.select("author_id", F.inline(rows)).withColumn("preferred", preferred)
+    return counted.select("author_id", "word_a", "word_b", "n_a", "n_b", preferred.alias("preferred"))
 
 
 def phrases_used(text: Column, phrases: Sequence[str]) -> Column:
@@ -244,36 +236,28 @@ def phrases_used(text: Column, phrases: Sequence[str]) -> Column:
 
 def absent_words(
     samples: DataFrame,
-    lexicon: Sequence[str],
-    opportunities: dict[str, Sequence[str]] | None = None,
+    lexicon: DataFrame | Sequence[str],
+    opportunities: DataFrame | dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """Lexicon entries that an author never uses.
+    """(author_id, word): lexicon entries that an author never uses.
 
-    `opportunities` maps an entry to words that show there was a chance to use it; an entry that is
-    in the map counts only for authors who use one of them.
+    `lexicon(word)` and `opportunities(word, hint)` are tables of any size, or short lists. A hint is a
+    word that shows there was a chance to use the entry; an entry with hints counts only for authors
+    who use one of them. The texts are read once, for entries and hints together.
     """
-    chances = opportunities or {}
-    hints = sorted({w for words in chances.values() for w in words})
-    used = samples.select(
-        "author_id",
-        phrases_used(F.col("text"), lexicon).alias("used"),
-        phrases_used(F.col("text"), hints).alias("hinted") if hints else literal_texts([]).alias("hinted"),
-    )
-    flags = used.groupBy("author_id").agg(
-        *[F.bool_or(F.array_contains("used", w)).alias(f"u{i}") for i, w in enumerate(lexicon)],
-        *[
-            F.bool_or(F.arrays_overlap("hinted", literal_texts(list(chances[w])))).alias(f"c{i}")
-            for i, w in enumerate(lexicon)
-            if w in chances
-        ],
-    )
-    absent = [
-        F.when(~F.col(f"u{i}") & (F.col(f"c{i}") if w in chances else F.lit(True)), F.lit(w))
-        for i, w in enumerate(lexicon)
-    ]
-    return flags.select(
-        "author_id", F.explode(F.filter(F.array(*absent), lambda w: w.isNotNull())).alias("word")
-    )
+    spark = samples.sparkSession
+    entries = phrase_rows(spark, lexicon, "word").select("word").filter(F.col("word").isNotNull()).distinct()
+    if not isinstance(opportunities, DataFrame):
+        rows = [(word, hint) for word, hints in (opportunities or {}).items() for hint in hints]
+        opportunities = spark.createDataFrame(rows, "word string, hint string")
+    hints = opportunities.select("word", "hint").distinct()
+    wanted = entries.select(F.col("word").alias("phrase")).unionByName(hints.select(F.col("hint").alias("phrase")))
+    used = materialise(phrase_hits(samples, wanted, ["author_id"]).select("author_id", "phrase"), "used")
+    free = entries.join(hints.select("word").distinct(), "word", "left_anti")
+    anyone = each_with_all(samples.select("author_id").distinct(), free)
+    hinted = hints.join(entries, "word", "left_semi").join(used.withColumnRenamed("phrase", "hint"), "hint")
+    candidates = anyone.select("author_id", "word").unionByName(hinted.select("author_id", "word").distinct())
+    return candidates.join(used.withColumnRenamed("phrase", "word"), ["author_id", "word"], "left_anti")
 
 
 def sentence_openings(bodies: Column) -> Column:

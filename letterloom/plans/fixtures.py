@@ -405,6 +405,12 @@ class Tables:
         people = self.spread_out("customer", ["c_custkey"], ["c_custkey", "c_name", "c_mktsegment"])
         return people.select(F.col("c_custkey").alias("applicant_id"), broken.alias("json"))
 
+    def opening_phrases(self) -> DataFrame:
+        """The first words of every document, one to three of them, and twelve of every 50th one."""
+        n = F.when(F.col("doc_id") % 50 == 0, 12).otherwise((F.col("doc_id") % 3 + 1).cast("int"))
+        first = F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1), n)
+        return self.documents().select(F.array_join(first, " ").alias("phrase"))
+
     def resumes(self) -> DataFrame:
         """Short resumes rendered as text, one per past role: name, one role line, one degree line."""
         c, o = F.col("c_custkey"), F.col("o_orderkey")

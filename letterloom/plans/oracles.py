@@ -506,6 +506,15 @@ SELECT {LETTER_KEYS}, phrase, n FROM (
     THEN len(list_filter(range(1, len(t)), lambda i: concat(t[i], ' ', t[i + 1]) = phrase))
     ELSE len(list_filter(t, lambda w: w = phrase)) END AS n
   FROM (SELECT {LETTER_KEYS}, {tokens('text')} AS t FROM v_outputs) o, {values('phrase', FORBIDDEN)} p) c WHERE n > 0""",
+    "phrase_hits": f"""
+WITH phrases AS (SELECT phrase, {normalised('phrase')} AS run, len({tokens('phrase')}) AS n_words FROM (
+    SELECT DISTINCT array_to_string(regexp_split_to_array(trim(text, ' '), '\\s+')[1:CASE WHEN doc_id % 50 = 0 THEN 12
+      ELSE doc_id % 3 + 1 END], ' ') AS phrase FROM documents) p),
+words AS (SELECT doc_id, {tokens('text')} AS w FROM documents),
+runs AS (SELECT doc_id, n_words, array_to_string(w[s : s + n_words - 1], ' ') AS run FROM (
+    SELECT doc_id, n_words, w, unnest(range(1, len(w) - n_words + 2)) AS s
+    FROM words, (SELECT DISTINCT n_words FROM phrases WHERE n_words > 0) z) a)
+SELECT doc_id, phrase, count(*) AS n FROM runs JOIN phrases USING (n_words, run) GROUP BY doc_id, phrase""",
     "forbidden_by_author": f"""
 SELECT {LETTER_KEYS}, author_id, phrase, count(*) AS n
 FROM (SELECT {LETTER_KEYS}, concat('src', application_id % 20) AS author_id, unnest({tokens('text')}) AS phrase

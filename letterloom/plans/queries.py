@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from letterloom.constants import FILLER_WORDS
-from letterloom.operators import checks, extract, intake, matching, profile, roles, templates, voice
+from letterloom.operators import checks, extract, intake, matching, phrases, profile, roles, templates, voice
 from letterloom.operators.completion import (
     complete,
     generation_prompt,
@@ -344,6 +344,13 @@ def forbidden_hits(t: Tables) -> DataFrame:
     return checks.forbidden_hits(t.outputs(), [*LEXICON, "der die", "de la"])
 
 
+@query
+def phrase_hits(t: Tables) -> DataFrame:
+    """Every document's uses of the phrases that documents open with."""
+    texts = t.documents().select("doc_id", "text")
+    return phrases.phrase_hits(texts, t.opening_phrases(), ["doc_id"])
+
+
 @query
 def forbidden_by_author(t: Tables) -> DataFrame:
     """Each author's own list: of every word pair the word that they do not prefer."""

@@ -53,10 +53,9 @@ def test_a_long_list_of_numbers_needs_no_stack(spark):
 
 def test_phrase_counts(spark):
     text = "Leverage the data; we LEVERAGE. results-driven, a testament to it"
-    got = column(
-        spark, [text], lambda x: checks.phrase_counts(x, ["leverage", "testament to", "results-driven", "delve"])
-    )
-    assert {(r["phrase"], r["n"]) for r in got[0]} == {("leverage", 2), ("testament to", 1), ("results-driven", 1)}
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = checks.forbidden_hits(df, ["leverage", "testament to", "results-driven", "delve"]).collect()
+    assert {tuple(r) for r in got} == {(1, "leverage", 2), (1, "testament to", 1), (1, "results-driven", 1)}
 
 
 @pytest.mark.parametrize(
