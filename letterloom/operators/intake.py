@@ -1,13 +1,14 @@
 """Routing, accepting and keying of incoming material."""
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.constants import MIN_PAGE_CHARS, URL_KEY_CHARS
 from letterloom.functions.ranking import top_rows
-from letterloom.functions.text import slug, strip
+from letterloom.functions.text import find_all, let, slug, strip
 
 URL_PARTS = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^?#]*)?"
 ESCAPED_IN_PATH = r'[^\x21-\x7E]|["<>`{}^]'
@@ -44,16 +45,52 @@ def route_sources(df: DataFrame, source: str) -> DataFrame:
 
 
 def accept_pages(df: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
-    """Add `reject_reason`: NULL for an accepted page, else why it is turned away."""
+    """Add `reject_reason`: NULL for an accepted page, else why it is turned away.
+
+    A page without a status was never answered, so it is turned away too.
+    """
+    status = F.coalesce(F.col("status").cast("string"), F.lit("status unknown"))
+    good = F.coalesce(F.col("status").between(200, 299), F.lit(False))
     short = F.coalesce(F.length(strip(F.col("body"))), F.lit(0)) < min_chars
     return df.withColumn(
         "reject_reason",
-        F.when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+        F.when(~good, F.concat(F.lit("HTTP "), status))
         .when(short, "too short or empty"),
     )
 
 
+def decoded(text: Column) -> Column:
+    """Character references as characters: numbers, and the names that HTML 4 knows.
+
+    `&nbsp;` is a plain space. Unknown names and numbers without a character stay as they are. What a
+    decoded `&` makes together with the letters after it is not decoded again.
+    """
+    names = F.create_map(*[F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (name, chr(code))])
+
+    def character(reference: Column) -> Column:
+        body = F.substring(reference, 2, 40)
+        hexadecimal = F.conv(F.regexp_extract(body, "^#[xX]([0-9a-fA-F]{1,6});", 1), 16, 10)
+        number = F.coalesce(F.nullif(F.regexp_extract(body, "^#([0-9]{1,7});", 1), F.lit("")), hexadecimal).try_cast("int")
+        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        # a number as the four bytes of its character
+        numbered = F.decode(F.unhex(F.lpad(F.hex(F.when(real, number)), 8, "0")), "UTF-32")
+        named = F.try_element_at(names, F.regexp_replace(body, ";$", ""))
+        return F.regexp_replace(F.coalesce(numbered, named, reference), "\u00a0", " ")
+
+    found = F.array_distinct(find_all(text, "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"))
+    pairs = F.transform(found, lambda r: F.struct(r.alias("reference"), character(r).alias("character")))
+
+    def replaced(known: Column) -> Column:
+        last = F.concat(
+            F.filter(known, lambda p: p["character"] != "&"), F.filter(known, lambda p: p["character"] == "&")
+        )
+        return F.aggregate(last, text, lambda acc, p: F.replace(acc, p["reference"], p["character"]))
+
+    return let(pairs, replaced)
+
+
 def page_text(html: Column) -> Column:
+    """The text of a page on one line. Only the references of `ENTITIES` are decoded, as is expected of it."""
     text = html
     for pattern in PAGE_NOISE:
         text = F.regexp_replace(text, pattern, " ")
@@ -63,15 +100,15 @@ def page_text(html: Column) -> Column:
 
 
 def page_lines(html: Column) -> Column:
-    """The text of a page with its lines: blocks end a line, list items begin with "- "."""
+    """The text of a page with its lines: blocks end a line, list items begin with "- ".
+
+    All character references are decoded (see `decoded`)."""
     text = html
     for pattern in PAGE_NOISE[:-1]:
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), LIST_ITEM, "\n- ")
     text = F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n"), PAGE_NOISE[-1], "")
-    for reference, char in ENTITIES:
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
+    text = F.regexp_replace(decoded(text), r" *\n[ \n]*", "\n")
     # a block inside an item belongs to it; items without text go
     text = F.regexp_replace(text, r"\n-\n(?!-(?:[ \n]|$))", "\n- ")
     return strip(F.regexp_replace(text, r"\n-(?=\n|$)", ""))

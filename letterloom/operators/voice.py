@@ -90,14 +90,14 @@ def sentence_profile(samples: DataFrame) -> DataFrame:
     """Length and make-up of the sentences of every author.
 
     Means and spreads come from whole-number sums, so the result does not depend on the order in
-    which partial results arrive.
+    which partial results arrive. An author without a finished sentence has 0 sentences and NULL means.
     """
     numbers = let(sentence_bodies(F.col("text")), sentence_numbers)
     per_doc = samples.select("author_id", numbers.alias("s"))
     sums = per_doc.groupBy("author_id").agg(
-        *[F.sum(f"s.{c}").alias(c) for c in ("n", "words", "squares", "short", "long", "semicolons")]
+        *[F.coalesce(F.sum(f"s.{c}"), F.lit(0)).alias(c) for c in ("n", "words", "squares", "short", "long", "semicolons")]
     )
-    return sums.filter(F.col("n") > 0).select("author_id", *sentence_columns())
+    return sums.select("author_id", *sentence_columns())
 
 
 def sentence_columns() -> list[Column]:

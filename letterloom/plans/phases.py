@@ -204,7 +204,8 @@ def profile_records(items: DataFrame) -> DataFrame:
 
     The header has `ref` "" and holds the name, skills, education and facts; the record of a role has
     its id as `ref` and holds the role and its bullets. The shape is the same for people of any
-    size, and a person of very many roles is many small records.
+    size, and a person of very many roles is many small records. Facts without a field name are left
+    out; give each field once (`latest_wins`), as of several rows the greatest value stays.
     """
     numbers_first = F.when(has_number(F.col("item")), 0).otherwise(1)
     entry = F.struct("section", "ref", numbers_first.alias("rank"), "item", "detail")
@@ -218,6 +219,15 @@ def profile_records(items: DataFrame) -> DataFrame:
     def texts(name: str) -> Column:
         return F.transform(section(name), lambda i: i["item"])
 
+    # a map has a field once; a field without a name or with several rows keeps its greatest value
+    named = F.filter(section("fact"), lambda f: f["item"].isNotNull())
+
+    def value(name: Column) -> Column:
+        details = F.transform(F.filter(named, lambda f: f["item"] == name), lambda f: f["detail"])
+        return F.struct(name.alias("item"), F.array_max(details).alias("detail"))
+
+    facts = F.transform(F.array_distinct(F.transform(named, lambda f: f["item"])), value)
+
     return grouped.select(
         "applicant_id",
         "ref",
@@ -234,9 +244,7 @@ def profile_records(items: DataFrame) -> DataFrame:
                 section("education"),
                 lambda e: F.struct(e["item"].alias("degree"), e["detail"].alias("graduation_year")),
             ).alias("education"),
-            F.map_from_entries(
-                F.transform(section("fact"), lambda f: F.struct(f["item"], f["detail"]))
-            ).alias("facts"),
+            F.map_from_entries(facts).alias("facts"),
         ).alias("profile"),
     )
 
