@@ -2,7 +2,7 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # All spaces and line ends that are taken off the ends of a text
@@ -21,6 +21,14 @@ BULLET_LINE = r"(?:^|\n)[ \t]*[-*•] "
 FIRST_PERSON = r"(?:^|[^\p{L}\p{N}])I(?:[^\p{L}\p{N}]|$)"
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """`wanted`, with underscores added until no column of `df` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Work out `value` once for all its uses in `body`, also inside array functions."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))

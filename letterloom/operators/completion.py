@@ -60,12 +60,16 @@ def complete(
     base_delay: float = FIRST_WAIT_SECONDS,
     fail_fast: bool = False,
     parallelism: int | None = None,
+    required: str | None = None,
+    required_in: str = "template_variables",
 ) -> DataFrame:
     """One structured answer per row; adds `answer`, `attempts` and `error`.
 
     Any failure of `fn`, and any answer that breaks the schema, is tried again after 1 s, 2 s and so
     on. The last error is kept in its row, or ends the job with `fail_fast`. A `tier` column in `df`
-    decides over the `tier` argument. The calls are the costly part: `parallelism` bounds how many run
+    decides over the `tier` argument. `required` names a column of keys that a row's answer must hold as
+    texts in its field `required_in`: the schema that `fn` is given asks for these, and an answer without
+    one is tried again; a row without keys has the plain schema. The calls are the costly part: `parallelism` bounds how many run
     at a time, and the result should be written before it is used more than once.
     """
     source = df if parallelism is None else df.repartition(parallelism)
@@ -78,7 +82,7 @@ def complete(
             T.StructField("error", T.StringType()),
         ]
     )
-    run = _runner(fn, schema, prompt, max_attempts, base_delay, fail_fast)
+    run = _runner(fn, schema, prompt, max_attempts, base_delay, fail_fast, required, required_in)
     answered = source.mapInArrow(run, out)
     return answered.withColumn("answer", F.from_json("answer_json", schema))
 
@@ -90,10 +94,19 @@ def _runner(
     max_attempts: int,
     base_delay: float,
     fail_fast: bool,
+    required: str | None,
+    required_in: str,
 ) -> Callable:
     """The function that runs on the executors. It is self-contained, so it needs no package there."""
-    schema_json = schema.json()
-    declared = schema.jsonValue()
+    plain = schema.jsonValue()
+
+    def with_keys(keys: list[str] | None) -> dict:
+        """The schema of a row, whose map of texts has these keys."""
+        if not keys:
+            return plain
+        texts = [{"name": k, "type": "string", "nullable": False, "metadata": {}} for k in keys]
+        wanted = {"type": {"type": "struct", "fields": texts}, "nullable": False}
+        return {**plain, "fields": [{**f, **wanted} if f["name"] == required_in else f for f in plain["fields"]]}
 
     def broken(value: object, kind: object, path: str) -> str | None:
         """The first place where a value breaks its declared type."""
@@ -121,8 +134,9 @@ def _runner(
             return None if number else path
         return next((found for v, t, p in inner if (found := broken(v, t, p))), None)
 
-    def answer(text: str, level: str) -> tuple[str | None, int, str | None]:
-        error = None
+    def answer(text: str, level: str, keys: list[str] | None) -> tuple[str | None, int, str | None]:
+        declared, error = with_keys(keys), None
+        schema_json = json.dumps(declared)
         for attempt in range(1, max_attempts + 1):
             try:
                 reply = fn(text, schema_json, level)
@@ -141,7 +155,8 @@ def _runner(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, tiers = batch.column(prompt).to_pylist(), batch.column("tier").to_pylist()
-            results = [answer(text, level) for text, level in zip(texts, tiers, strict=True)]
+            keys = batch.column(required).to_pylist() if required else [None] * len(texts)
+            results = [answer(*row) for row in zip(texts, tiers, keys, strict=True)]
             added = [
                 pa.array([r[0] for r in results], pa.string()),
                 pa.array([r[1] for r in results], pa.int32()),

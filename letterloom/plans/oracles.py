@@ -752,6 +752,10 @@ SELECT job_id, concat('Title: ', title) AS title,
 SELECT job_id, CASE WHEN job_id % 4 = 1 THEN 1 ELSE 3 END AS attempts, CASE WHEN job_id % 4 = 1 THEN 'ok' ELSE '' END AS title,
   CASE job_id % 4 WHEN 0 THEN 'RuntimeError: no answer' WHEN 1 THEN ''
     ELSE 'ValueError: answer breaks the schema at $.title' END AS error FROM v_jobs""",
+    "answer_log": "SELECT DISTINCT p_name AS skill, 1 AS n_paid FROM part",
+    "produce_contract": """
+SELECT job_id, CASE job_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'name ' ELSE 'name {{ PLACE }} ' END AS filled,
+  CASE job_id % 3 WHEN 0 THEN 1 ELSE 2 END AS attempts, CASE job_id % 3 WHEN 2 THEN 1 ELSE 0 END AS n_unfilled FROM v_jobs""",
     "tiers": """
 SELECT applicant_id, job_id, CASE WHEN job_id % 3 = 0 THEN 'ingestion' ELSE 'strategy' END AS phase,
   CASE WHEN job_id % 3 = 0 THEN 'fast' ELSE 'strong' END AS tier FROM v_applications""",

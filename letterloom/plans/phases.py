@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from letterloom.constants import (
     FILLER_WORDS,
+    FIRST_WAIT_SECONDS,
     MAX_TRANSITIONS,
     MIN_TRANSITIONS,
     STRONG_TIER,
 )
 from letterloom.functions.ranking import top_rows
-from letterloom.functions.text import has_number, sentence_bodies
+from letterloom.functions.text import free_name, has_number, sentence_bodies
+from letterloom.operators.answers import complete_logged
 from letterloom.operators.completion import Completer, complete, generation_prompt
 from letterloom.operators.extract import job_context
 from letterloom.operators.intake import accept_pages, job_slug, page_lines, page_text, posting_identity, url_key
@@ -24,7 +26,7 @@ from letterloom.operators.profile import (
     role_date,
     role_rows,
 )
-from letterloom.operators.templates import inject, unfilled
+from letterloom.operators.templates import inject, placeholders, unfilled
 from letterloom.operators.voice import (
     habit_columns,
     habit_numbers,
@@ -250,12 +252,21 @@ def profile_records(items: DataFrame) -> DataFrame:
 
 
 def produce(
-    assembled: DataFrame, fn: Completer, tier: str = STRONG_TIER, parallelism: int | None = None
+    assembled: DataFrame,
+    fn: Completer,
+    tier: str = STRONG_TIER,
+    parallelism: int | None = None,
+    contract: bool = True,
+    log: str | None = None,
+    base_delay: float = FIRST_WAIT_SECONDS,
 ) -> DataFrame:
     """Documents for rows of (strategy, style, profile, job, template), written once and read back.
 
-    `template` may be NULL; then no filled template is made. The answers are kept as a table in the
-    shared folder, so that no later step calls `fn` again.
+    `template` may be NULL; then no filled template is made. With `contract` an answer must have a text
+    for every hole of its template and is asked for again if it lacks one; without, the holes that
+    stay are only reported. The answers are kept as a table in the shared folder, so that no later
+    step calls `fn` again; with `log`, a folder of answers that outlives the run, a run that was
+    stopped goes on where it was (see `answers.complete_logged`).
     """
     spark = assembled.sparkSession
     prompted = assembled.withColumn(
@@ -264,9 +275,21 @@ def produce(
             F.col("strategy"), F.col("style"), F.col("profile"), F.col("job"), F.col("template")
         ),
     ).drop("strategy", "style", "profile", "job")
-    answered = complete(prompted, "prompt", GENERATION_OUTPUT, fn, tier, parallelism=parallelism)
+    holes = None
+    if contract:
+        holes = free_name(prompted, "holes")
+        prompted = prompted.withColumn(holes, placeholders(F.col("template")))
+    if log is None:
+        answered = complete(
+            prompted, "prompt", GENERATION_OUTPUT, fn, tier, base_delay=base_delay, parallelism=parallelism, required=holes
+        )
+    else:
+        answered = complete_logged(
+            prompted, "prompt", GENERATION_OUTPUT, fn, log, tier, base_delay=base_delay,
+            parallelism=parallelism, required=holes,
+        )
     folder = shared_folder(spark, "answers")
-    answered.drop("prompt").write.parquet(folder)
+    answered.drop("prompt", *([holes] if holes else [])).write.parquet(folder)
     kept = spark.read.parquet(folder).select("*", "answer.*").drop("answer", "answer_json")
     return unfilled(inject(kept, "template", "template_variables"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from letterloom.constants import FILLER_WORDS
 from letterloom.operators import checks, extract, intake, matching, phrases, profile, roles, templates, voice
+from letterloom.operators.answers import complete_logged
 from letterloom.operators.completion import (
     complete,
     generation_prompt,
@@ -907,6 +908,23 @@ def complete_with_retries(t: Tables) -> DataFrame:
     )
 
 
+@query
+def answer_log(t: Tables) -> DataFrame:
+    """Three runs with one log, over half of the skills and then all: how often each answer was paid."""
+    log = shared_folder(t.spark, "answer-log")
+
+    def fn(prompt: str, schema: str, tier: str) -> str:
+        import json
+
+        return json.dumps({"title": prompt, "n_lines": 0})
+
+    asked = t.vocabulary()
+    for chosen in (asked.filter(F.length("skill") % 2 == 0), asked, asked):
+        complete_logged(chosen, "skill", HEADER_ANSWER, fn, log, batch=4).count()
+    paid = t.spark.read.parquet(log).select(F.get_json_object("answer_json", "$.title").alias("skill"))
+    return paid.groupBy("skill").agg(F.count(F.lit(1)).alias("n_paid"))
+
+
 @query
 def tiers(t: Tables) -> DataFrame:
     phase = F.when(F.col("job_id") % 3 == 0, "ingestion").otherwise("strategy")
@@ -1019,7 +1037,7 @@ def _made(t: Tables) -> DataFrame:
         F.col("job_context").alias("job"),
         template.alias("text"),
     )
-    return phases.produce(assembled.withColumn("template", F.col("text")), fn)
+    return phases.produce(assembled.withColumn("template", F.col("text")), fn, contract=False)
 
 
 @query
@@ -1044,6 +1062,32 @@ def produce(t: Tables) -> DataFrame:
     )
 
 
+@query
+def produce_contract(t: Tables) -> DataFrame:
+    """A stand-in that forgets a hole of the template the first time it sees a prompt."""
+    seen: set[str] = set()
+
+    def fn(prompt: str, schema: str, tier: str) -> str:
+        import json
+
+        wanted = [f for f in json.loads(schema)["fields"] if f["name"] == "template_variables"][0]["type"]
+        keys = [f["name"] for f in wanted["fields"]] if wanted["type"] == "struct" else []
+        variables = {k: k.lower() for k in (keys if prompt in seen else keys[:-1])}
+        seen.add(prompt)
+        return json.dumps({"cover_letter": "c", "resume_content": "r", "template_variables": variables})
+
+    record = F.struct(F.col("job_id").cast("string").alias("job"))
+    template = F.when(F.col("job_id") % 3 > 0, F.concat(F.lit("{{NAME}} "), F.repeat(F.lit("{{ PLACE }} "), (F.col("job_id") % 3 - 1).cast("int"))))
+    assembled = t.postings().select(
+        "job_id", *[record.alias(n) for n in ("strategy", "style", "profile", "job")], template.alias("text")
+    )
+    made = phases.produce(assembled.withColumn("template", F.col("text")), fn, base_delay=0.0)
+    return made.select(
+        "job_id", F.coalesce("filled", F.lit("")).alias("filled"), "attempts",
+        F.size(F.coalesce("unfilled_keys", F.array().cast("array<string>"))).alias("n_unfilled"),
+    )
+
+
 @query
 def take_in_new_postings(t: Tables) -> DataFrame:
     """Two runs over a growing folder: the second brings half of the first again, and the rest."""
