@@ -434,6 +434,13 @@ SELECT author_id, count(*) FILTER (kind = 'resume') AS n_resumes,
 SELECT user_id AS applicant_id, event_type AS field, CASE WHEN event_type = 'click' THEN newest ELSE first END AS event_id
 FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type) a
 JOIN (SELECT applicant_id AS user_id, field AS event_type, event_id AS newest FROM v_latest) b USING (user_id, event_type)""",
+    "update_store": """
+SELECT user_id AS applicant_id, event_type AS field,
+  CASE WHEN event_type = 'click' OR user_id = 7 THEN newest ELSE first END AS event_id
+FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY user_id, event_type) a
+JOIN (SELECT applicant_id AS user_id, field AS event_type, event_id AS newest FROM v_latest) b USING (user_id, event_type)""",
+    "read_store_version": """
+SELECT user_id AS applicant_id, event_type AS field, min(event_id) AS event_id FROM events GROUP BY user_id, event_type""",
     "write_profile": """
 SELECT c_custkey AS applicant_id, c_name AS name, true AS same FROM customer WHERE c_custkey % 10 IN (0, 3, 8, 9)""",
     "write_outputs": f"""
@@ -820,6 +827,9 @@ SELECT applicant_id, job_id, slug AS job_slug, concat('Dear ', s_name, ',', chr(
   concat('# ', c_name) AS resume_content,
   CASE WHEN job_id % 2 = 0 THEN concat(c_name, ' at {{PLACE}} by strong') ELSE '' END AS filled,
   CASE WHEN job_id % 2 = 0 THEN 'PLACE' ELSE '' END AS unfilled_keys, 1 AS attempts
+FROM v_applications JOIN v_jobs USING (job_id) JOIN customer ON c_custkey = applicant_id""",
+    "take_in_applications": """
+SELECT applicant_id, job_id, slug AS job_slug, c_name AS name, applicant_id % 4 = 0 AS is_default
 FROM v_applications JOIN v_jobs USING (job_id) JOIN customer ON c_custkey = applicant_id""",
     "take_in_new_postings": """
 SELECT job_id, concat('jobs_example_com_p_', job_id) AS url_key, slug AS job_slug, 8 AS n_required FROM v_jobs""",

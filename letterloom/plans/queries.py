@@ -15,13 +15,14 @@ from letterloom.operators.completion import (
     strategy_prompt,
     with_tier,
 )
+from letterloom.operators.matching import default_style
 from letterloom.operators.records import keep_declared, split_valid, validate_records
 from letterloom.plans import phases
 from letterloom.plans.fixtures import LEXICON, WORD_PAIRS, Tables
 from letterloom.schemas import USER_PROFILE
 from letterloom.session import materialise, shared_folder, tune
-from letterloom.sources import files, sinks
-from letterloom.streaming.postings import incremental_postings, posting_stream
+from letterloom.sources import files, sinks, store
+from letterloom.streaming.postings import incremental_postings, posting_stream, with_saved_records
 
 Query = Callable[[Tables], DataFrame]
 
@@ -150,6 +151,30 @@ def write_state(t: Tables) -> DataFrame:
     return sinks.read_state(t.spark, new)
 
 
+@query
+def update_store(t: Tables) -> DataFrame:
+    """The earliest facts in a keyed store, of which two updates replace some."""
+    keys = ["applicant_id", "field"]
+    folder = shared_folder(t.spark, "fact-store")
+    newest = _latest(t).select(*keys, "event_id")
+    first = t.facts().groupBy(*keys).agg(F.min("event_id").alias("event_id"))
+    store.update_store(first, folder, keys, buckets=16)
+    store.update_store(newest.filter(F.col("field") == "click"), folder, keys)
+    store.update_store(newest.filter(F.col("applicant_id") == 7), folder, keys)
+    return store.read_store(t.spark, folder)
+
+
+@query
+def read_store_version(t: Tables) -> DataFrame:
+    """The same store as it was after its first update."""
+    keys = ["applicant_id", "field"]
+    folder = shared_folder(t.spark, "fact-store")
+    first = t.facts().groupBy(*keys).agg(F.min("event_id").alias("event_id"))
+    number = store.update_store(first, folder, keys, buckets=16)
+    store.update_store(_latest(t).select(*keys, "event_id"), folder, keys)
+    return store.read_store(t.spark, folder, version=number)
+
+
 @query
 def write_profile(t: Tables) -> DataFrame:
     """Both copies of the valid profiles, read back and compared."""
@@ -1101,3 +1126,29 @@ def take_in_new_postings(t: Tables) -> DataFrame:
     incremental_postings(posting_stream(t.spark, source, schema), out, state).awaitTermination()
     taken = t.spark.read.parquet(out)
     return taken.select("job_id", "url_key", "job_slug", F.size("job_context.required_skills").alias("n_required"))
+
+
+@query
+def take_in_applications(t: Tables) -> DataFrame:
+    """Postings asked for by people, with saved profiles and styles; the second run brings copies."""
+    source, out, state, people, styles = (
+        shared_folder(t.spark, n) for n in ("asked", "prepared", "progress", "profiles", "styles")
+    )
+    named = t.read("customer").select(
+        F.col("c_custkey").alias("applicant_id"), F.struct(F.col("c_name").alias("name")).alias("profile")
+    )
+    store.update_store(named, people, ["applicant_id"], buckets=16)
+    measured = named.filter(F.col("applicant_id") % 4 > 0).select("applicant_id", default_style().alias("style"))
+    store.update_store(measured, styles, ["applicant_id"], buckets=16)
+    url = F.concat(F.lit("https://jobs.example.com/p/"), F.col("job_id").cast("string"))
+    asked = t.applications().join(t.postings(), "job_id").select("job_id", "applicant_id", url.alias("url"), "text")
+    schema = "job_id long, applicant_id long, url string, text string"
+    for chosen in (F.col("applicant_id") % 3 > 0, F.col("applicant_id") % 3 < 2):
+        asked.filter(chosen).write.mode("append").parquet(source)
+        incremental_postings(
+            posting_stream(t.spark, source, schema), out, state,
+            enrich=with_saved_records(people, styles), identity=["identity", "applicant_id"],
+        ).awaitTermination()
+    return t.spark.read.parquet(out).select(
+        "applicant_id", "job_id", "job_slug", F.col("profile.name").alias("name"), "is_default"
+    )

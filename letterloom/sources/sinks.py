@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import pretty_json
+from letterloom.session import materialise
 
 
 def write_state(df: DataFrame, path: str, keys: Sequence[str], previous: str | None = None) -> None:
     """Write a version of a record table in which the new rows replace the old rows of their keys.
 
+    The whole table is written again, in one folder; `store.update_store` rewrites what is touched.
+
     `previous` names the folder of the version before. A version is never changed once it is
     written, so a lost job leaves the one before whole.
     """
     table = df
     if previous is not None:
+        # used twice, so worked out before: a completion in it is paid once
+        new = materialise(df, "records")
         old = df.sparkSession.read.parquet(previous)
-        table = df.unionByName(old.join(df.select(*keys).distinct(), list(keys), "left_anti"))
+        table = new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))
     table.write.mode("overwrite").parquet(path)
 
 

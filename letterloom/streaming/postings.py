@@ -1,5 +1,7 @@
 """New postings, each taken in once."""
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -7,7 +9,10 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.text import strip
 from letterloom.operators.intake import posting_identity, url_key
+from letterloom.operators.matching import default_style
 from letterloom.plans.phases import ingest
+from letterloom.session import materialise
+from letterloom.sources.store import touched_rows, update_store
 
 
 def posting_stream(spark: SparkSession, path: str, schema: str = "url string, text string") -> DataFrame:
@@ -18,20 +23,65 @@ def posting_stream(spark: SparkSession, path: str, schema: str = "url string, te
     )
 
 
-def incremental_postings(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def incremental_postings(
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    seen: str | None = None,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+    identity: Sequence[str] = ("identity",),
+) -> StreamingQuery:
     """Take in all postings that are new since the last run, then stop.
 
-    Seen keys are held in the state store. Each batch has a folder of its own that it overwrites, so a
-    batch that is run again after a failure leaves no second copy.
+    What was taken in is known by a keyed store in `seen` (`out` with "-seen" behind it), of which a batch
+    reads and writes only the buckets of its own identities. So the stream itself holds no state,
+    however many postings have ever come, and a late copy is found as well as an early one. Each
+    batch has a folder of its own, and the store knows which batch brought an identity: a batch that
+    is run again after a failure writes the same rows over what it left. `seen`, `out` and
+    `checkpoint` belong together. `enrich` adds saved records to the rows of a batch.
     """
+    store = seen or f"{out.rstrip('/')}-seen"
+    keys = list(identity)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        rows = materialise(batch.dropDuplicates(keys), "batch")
+        known = touched_rows(spark, store, rows, keys)
+        if known is not None:
+            earlier = known.filter(F.col("batch_id") != batch_id).select(*keys)
+            rows = materialise(rows.join(earlier, keys, "left_anti"), "batch")
+        taken_in = ingest(rows)
+        (enrich(taken_in) if enrich else taken_in).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if not rows.isEmpty():
+            update_store(rows.select(*keys, F.lit(batch_id).alias("batch_id")), store, keys)
 
     return (
-        stream.dropDuplicates(["identity"])
-        .writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def with_saved_records(profiles: str, styles: str, key: str = "applicant_id") -> Callable[[DataFrame], DataFrame]:
+    """For `enrich`: the saved profile and style of the person that a posting was asked for.
+
+    `profiles` and `styles` are keyed stores (key, profile) and (key, style), of which only the buckets
+    of the batch's people are read, as they are at that time. Without a saved style the default
+    one is used and flagged; a person without a profile has NULL there.
+    """
+
+    def enrich(batch: DataFrame) -> DataFrame:
+        spark = batch.sparkSession
+        people = batch.select(key).distinct()
+        joined = batch
+        for path in (profiles, styles):
+            saved = touched_rows(spark, path, people, [key])
+            if saved is None:
+                raise ValueError(f"there is no store in {path}")
+            joined = joined.join(saved, key, "left")
+        return joined.withColumns(
+            {"is_default": F.col("style").isNull(), "style": F.coalesce("style", default_style())}
+        )
+
+    return enrich
