@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from letterloom.session import materialise
+
 
 def top_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None
@@ -20,29 +22,25 @@ def top_rows(
     return ranked if rank else ranked.drop(name)
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, total: str, width: int = 65536
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], order: str, value: str, total: str) -> DataFrame:
     """Add `total`: the sum of `value` over the earlier rows of the group, in `order`.
 
-    `order` is a whole number that is unique in its group. A group is cut into ranges of `width`
-    order values, so no task ever holds more than `width` rows of one group; the range totals are
-    then summed along the group and joined back on the partitioning that is already there.
+    `order` is unique in its group and of any type with an order; give narrow rows, and join wide
+    ones to the result. The rows are cut into ranges of (keys, order) of about equal numbers, by a
+    sample, and written with the number of their range. So whatever values `order` has, and whatever
+    share of the rows a group has, no task sums more than a range; the sums of the ranges of a
+    group, one row each, are then summed along it.
     """
-    cut = df.withColumn("__range", F.expr(f"`{order}` div {width}"))
+    ranged = df.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id())
+    cut = materialise(ranged, "ranges")
     inside = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     along = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("__local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    offsets = (
-        cut.groupBy(*keys, "__range")
-        .agg(F.sum(value).alias("__sum"))
-        .withColumn("__offset", F.coalesce(F.sum("__sum").over(along), F.lit(0)))
-        .drop("__sum")
-    )
-    return (
-        local.join(offsets, [*keys, "__range"])
-        .withColumn(total, F.col("__offset") + F.col("__local"))
-        .drop("__range", "__local", "__offset")
+    sums = cut.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum"))
+    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(along), F.lit(0))).drop("__sum")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys] + [F.col("l.__range") == F.col("o.__range")]
+    return local.alias("l").join(offsets.alias("o"), same).select(
+        *[F.col(f"l.{c}").alias(c) for c in df.columns], (F.col("__offset") + F.col("__local")).alias(total)
     )
 
 

@@ -50,13 +50,18 @@ def concat_samples(
 
     The whole is given in parts of about `max_chars` characters (a document is never cut), so that
     an author with any number of documents fits: the parts in order, with a blank line between, are
-    the full text. `n_docs` counts the documents of a part.
+    the full text. `n_docs` counts the documents of a part. `order` is unique for an author and need
+    not be dense: a time will do. Lengths alone are summed along an author; the texts then meet the
+    numbers of their parts once.
     """
     headed = samples.withColumn(
         "entry", F.concat(F.lit("--- Sample: "), F.col(name), F.lit(" ---\n"), F.col("text"))
     ).select("author_id", order, "entry", F.length("entry").alias("n_chars"))
-    placed = running_totals(headed, ["author_id"], order, "n_chars", "before")
-    parted = placed.withColumn("part_no", F.expr(f"before div {max_chars}"))
+    lengths = headed.select("author_id", order, "n_chars")
+    placed = running_totals(lengths, ["author_id"], order, "n_chars", "before")
+    numbered = placed.select("author_id", order, F.expr(f"before div {max_chars}").alias("part_no")).alias("p")
+    same = F.col("h.author_id").eqNullSafe(F.col("p.author_id")) & (F.col(f"h.{order}") == F.col(f"p.{order}"))
+    parted = headed.alias("h").join(numbered, same).select("h.author_id", f"h.{order}", "entry", "part_no")
     return (
         parted.groupBy("author_id", "part_no")
         .agg(F.array_sort(F.collect_list(F.struct(order, "entry"))).alias("entries"))

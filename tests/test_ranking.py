@@ -44,7 +44,7 @@ def test_top_rows_limits_before_the_shuffle(spark):
 
 def test_running_totals(spark):
     rows = skewed()
-    got = running_totals(frame(spark, rows), ["k"], "i", "v", "before", width=64).collect()
+    got = running_totals(frame(spark, rows), ["k"], "i", "v", "before").collect()
     before, wanted = {}, {}
     for k, i, v in sorted(rows, key=lambda r: r[1]):
         wanted[i] = before.get(k, 0)
@@ -52,6 +52,29 @@ def test_running_totals(spark):
     assert {r["i"]: r["before"] for r in got} == wanted
 
 
+def test_running_totals_of_a_hot_group_with_sparse_orders(spark, monkeypatch):
+    from letterloom.functions import ranking
+
+    written = []
+    kept = ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, purpose: written.append(kept(df, purpose)) or written[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 70))
+        time = F.timestamp_seconds(F.col("id") * F.col("id") * 3600)  # far apart, and ever farther
+        df = spark.range(0, 40_000, 1, 8).select(hot.alias("k"), time.alias("t"), F.lit(1).alias("v"), "id")
+        got = running_totals(df, ["k"], "t", "v", "before")
+        assert got.filter("k = 'hot'").agg(F.max("before"), F.count_distinct("before")).first()[:] == (35_999, 36_000)
+        (cut,) = written
+        sizes = [r["count"] for r in cut.groupBy("k", "__range").count().collect()]
+        assert max(sizes) < 2 * 40_000 / 16
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_most_common_prefers_the_smaller_value_on_ties(spark):
     rows = [("a", 1, 5), ("a", 2, 3), ("a", 3, 5), ("a", 4, 3), ("b", 5, 9)]
     got = most_common(frame(spark, rows), ["k"], "v").collect()
