@@ -1,8 +1,4 @@
-"""Facts of a posting, taken from its text by rules.
-
-A posting is a text of labelled lines ("Title: ...") and of sections: a heading on a line of its own,
-then one item per line after a dash, star or dot; blank lines between them do not count.
-"""
+"""Facts of a posting, taken from its text by rules (see `lines` for how its lines are read)."""
 
 from collections.abc import Sequence
 
@@ -12,20 +8,15 @@ from pyspark.sql import functions as F
 from letterloom.constants import GENERIC_GREETING, NOT_SPECIFIED, WORK_ARRANGEMENTS
 from letterloom.functions.text import (
     find_all,
+    let,
     literal_texts,
     or_default,
     sentences,
     strip,
     tokens,
 )
+from letterloom.operators.lines import posting_facts
 
-#: Wordings of the headings, as patterns; case does not count.
-HEADINGS = {
-    "responsibility": "(?:Key |Main )?Responsibilities|What you(?:'|’| wi)ll do|Your tasks",
-    "required": "(?:Required|Essential|Mandatory|Must[- ]have)(?: skills| qualifications)?|(?:Minimum )?Requirements",
-    "preferred": "(?:Preferred|Desired|Nice[- ]to[- ]have)(?: skills| qualifications)?|Bonus|(?:A )?Plus",
-}
-COMPANY_SENTENCES = 3
 LEVEL_WORDS = ["Principal", "Staff", "Lead", "Senior", "Junior", "Intern"]
 SENIOR_YEARS, MID_YEARS = 6, 3
 LEADING = r"(?i)\b(?:lead|leads|leading|mentor|mentoring)\b"
@@ -47,22 +38,15 @@ def items(text: Column, heading: str) -> Column:
     return F.transform(find_all(section_body(text, heading), r"\n[ \t]*[-*•][ \t]([^\n]*)", 1), strip)
 
 
-def header_columns(text: Column) -> list[Column]:
-    about = F.slice(sentences(labelled(text, "About")), 1, COMPANY_SENTENCES)
-    return [
-        labelled(text, "Title").alias("job_title"),
-        labelled(text, "Company").alias("company_name"),
-        strip(F.array_join(about, "")).alias("company_description"),
-        labelled(text, "Location").alias("location"),
-        or_default(labelled(text, "Team"), NOT_SPECIFIED).alias("team_or_department"),
-    ]
+HEADER = ["job_title", "company_name", "company_description", "location", "team_or_department"]
 
 
 def posting_header(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    return df.select(*keys, *header_columns(F.col(text)))
+    facts = df.select(*keys, posting_facts(F.col(text)).alias("__facts"))
+    return facts.select(*keys, *[F.col(f"__facts.{c}").alias(c) for c in HEADER])
 
 
-def remote_policy(text: Column) -> Column:
+def remote_policy(text: Column, location: Column | None = None) -> Column:
     """The work arrangement, from the location if it tells, else from the whole text."""
 
     remote, hybrid, on_site, unknown = WORK_ARRANGEMENTS
@@ -74,7 +58,7 @@ def remote_policy(text: Column) -> Column:
             .when(source.rlike("(?i)on-?site|in[- ]office"), on_site)
         )
 
-    return F.coalesce(told_by(labelled(text, "Location")), told_by(text), F.lit(unknown))
+    return F.coalesce(told_by(labelled(text, "Location") if location is None else location), told_by(text), F.lit(unknown))
 
 
 AMOUNT = r"(?:[$€£][ ]?|(?<=[0-9kK] ?(?:-|–|to) ?))([0-9](?:[0-9.,]*[0-9])?)[ ]?([kK]?)"
@@ -82,7 +66,8 @@ AMOUNT = r"(?:[$€£][ ]?|(?<=[0-9kK] ?(?:-|–|to) ?))([0-9](?:[0-9.,]*[0-9])?
 
 def salary_range(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """The pay text as written, and the bounds and currency read from it (NULL where not stated)."""
-    pay = labelled(F.col(text), "Salary")
+    df = df.select(*keys, posting_facts(F.col(text))["pay"].alias("__pay"))
+    pay = F.col("__pay")
     currency = F.element_at(
         F.map_from_arrays(literal_texts(["$", "€", "£"]), literal_texts(["USD", "EUR", "GBP"])),
         F.nullif(F.regexp_extract(pay, "([$€£])", 1), F.lit("")),
@@ -110,7 +95,6 @@ def section_items(df: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
     A skill listed as both required and preferred is only required; the comparison is made inside
     the row, so nothing is shuffled.
     """
-    t = F.col(text)
 
     def tagged(kind: str, listed: Column) -> Column:
         return F.transform(
@@ -120,28 +104,25 @@ def section_items(df: DataFrame, keys: Sequence[str], text: str = "text") -> Dat
             ),
         )
 
-    every = F.concat(
-        tagged("responsibility", items(t, HEADINGS["responsibility"])),
-        tagged("required", items(t, HEADINGS["required"])),
-        tagged("preferred", preferred_items(t)),
-    )
-    return df.select(*keys, F.inline(every))
-
+    def every(facts: Column) -> Column:
+        return F.concat(
+            tagged("responsibility", facts["responsibilities"]),
+            tagged("required", facts["required"]),
+            tagged("preferred", facts["preferred"]),
+        )
 
-def preferred_items(text: Column) -> Column:
-    return F.array_except(items(text, HEADINGS["preferred"]), items(text, HEADINGS["required"]))
+    return df.select(*keys, F.inline(let(posting_facts(F.col(text)), every)))
 
 
 def requirement_rank(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Responsibilities with their place in the posting."""
-    listed = items(F.col(text), HEADINGS["responsibility"])
+    listed = posting_facts(F.col(text))["responsibilities"]
     return df.select(*keys, F.posexplode(listed).alias("pos", "responsibility")).select(
         *keys, (F.col("pos") + 1).alias("position"), "responsibility"
     )
 
 
-def seniority_columns(text: Column) -> list[Column]:
-    title = labelled(text, "Title")
+def seniority_columns(text: Column, title: Column) -> list[Column]:
     word = F.regexp_extract(title, rf"\b({'|'.join(LEVEL_WORDS)})\b", 1)
     years = F.regexp_extract(text, r"([0-9]+)\+? years", 1)
     n_years = years.try_cast("int")
@@ -165,37 +146,41 @@ def seniority_columns(text: Column) -> list[Column]:
 
 def seniority(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """The level and every signal for it: title word, years asked for, leading others."""
-    return df.select(*keys, *seniority_columns(F.col(text)))
+    titled = df.select(*keys, F.col(text).alias("__text"), posting_facts(F.col(text))["job_title"].alias("__title"))
+    return titled.select(*keys, *seniority_columns(F.col("__text"), F.col("__title")))
 
 
-def culture_quotes(text: Column) -> Column:
+def culture_quotes(about: Column) -> Column:
     """What the posting says about itself in the first person, word for word."""
-    about = F.transform(sentences(labelled(text, "About")), strip)
-    return F.filter(about, lambda s: s.rlike(r"(?i)\b(?:we|our|us)\b"))
+    return F.filter(F.transform(sentences(about), strip), lambda s: s.rlike(r"(?i)\b(?:we|our|us)\b"))
 
 
 def job_context(text: Column) -> Column:
-    """The whole record of a posting, made from its text without any shuffle."""
-    level, signals = seniority_columns(text)
-    header = header_columns(text)
-    return F.struct(
-        *header,
-        items(text, HEADINGS["responsibility"]).alias("key_responsibilities"),
-        items(text, HEADINGS["required"]).alias("required_skills"),
-        preferred_items(text).alias("preferred_skills"),
-        culture_quotes(text).alias("culture_signals"),
-        F.concat_ws(" — ", level, F.nullif(signals, F.lit(""))).alias("seniority_level"),
-        remote_policy(text).alias("remote_policy"),
-        or_default(labelled(text, "Salary"), NOT_SPECIFIED).alias("salary_range"),
-    )
+    """The whole record of a posting, made from its lines without any shuffle."""
+
+    def record(facts: Column) -> Column:
+        level, signals = seniority_columns(text, facts["job_title"])
+        return F.struct(
+            *[facts[c].alias(c) for c in HEADER],
+            facts["responsibilities"].alias("key_responsibilities"),
+            facts["required"].alias("required_skills"),
+            facts["preferred"].alias("preferred_skills"),
+            culture_quotes(facts["about"]).alias("culture_signals"),
+            F.concat_ws(" — ", level, F.nullif(signals, F.lit(""))).alias("seniority_level"),
+            remote_policy(text, facts["location"]).alias("remote_policy"),
+            or_default(facts["pay"], NOT_SPECIFIED).alias("salary_range"),
+        )
+
+    return let(posting_facts(text), record)
 
 
 def salutation(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    manager = labelled(F.col(text), "Hiring manager")
+    named = df.select(*keys, posting_facts(F.col(text))["manager"].alias("__manager"))
+    manager = F.col("__manager")
     greeting = F.when(manager != "", F.concat(F.lit("Dear "), manager, F.lit(","))).otherwise(
         GENERIC_GREETING
     )
-    return df.select(*keys, greeting.alias("greeting"))
+    return named.select(*keys, greeting.alias("greeting"))
 
 
 def posting_sections(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:

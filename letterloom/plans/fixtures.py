@@ -310,6 +310,58 @@ class Tables:
             .select("job_id", text.alias("text"))
         )
 
+    def styled_postings(self) -> DataFrame:
+        """Postings as people write them: Markdown, numbered lists, dashes, lines that end in two signs."""
+        s = F.col("s_suppkey")
+        low, high = (50 + s % 40).cast("string"), (70 + s % 40).cast("string")
+        title = F.concat(F.when(s % 3 == 0, "Senior ").otherwise(""), F.lit("Planner"))
+        asked = self.requirements().groupBy("job_id").agg(
+            F.array_sort(F.collect_list(F.struct("rnk", "skill"))).alias("asked")
+        )
+        required, wished = F.filter("asked", lambda a: a["rnk"] <= 8), F.filter("asked", lambda a: a["rnk"] >= 7)
+        top = [F.get("asked", F.lit(i))["skill"] for i in (0, 1)]
+
+        def listed(chosen: Column, before: str, after: str, numbered: bool = False) -> Column:
+            def line(a: Column, i: Column) -> Column:
+                number = (i + 1).cast("string") if numbered else F.lit("")
+                return F.concat(F.lit(before), number, F.lit(after), a["skill"], F.lit("\n"))
+
+            return F.array_join(F.transform(chosen, line), "")
+
+        markdown = F.concat(
+            F.lit("# "), title, F.lit("\n"), "s_name", F.lit(" - "), "n_name",
+            F.lit("\n\n**About us**\nWe value ownership.\n\n## Responsibilities\n* Take ownership of "), top[0],
+            F.lit("\n* Maintain "), top[1], F.lit("\n\n**Requirements**\n"), listed(required, "*", " "),
+            F.lit("\n## Nice to have\n"), listed(wished, "* ", ""),
+            F.lit("\n**Compensation:** $"), low, F.lit("k-"), high, F.lit("k\nApply soon."),
+        )
+        numbers = F.concat(
+            title, F.lit(" at "), "s_name", F.lit("\nPlace: "), "n_name",
+            F.lit("\nWhat you will do:\n1. Take ownership of "), top[0], F.lit("\n2. Maintain "), top[1],
+            F.lit("\nRequirements (must):\n"), listed(required, "", ") ", True), F.lit("Bonus\n"),
+            listed(wished, "(", ") ", True), F.lit("Benefits:\n- free tea\nWe pay €"), low, F.lit(",000 – €"), high,
+            F.lit(",000 a year"),
+        )
+        dashes = F.concat(
+            F.lit("Position: "), title, F.lit("\nEmployer: "), "s_name", F.lit("\nMust-have skills:\n"),
+            listed(required, "–", " "), F.lit("Preferred qualifications (plus):\n"), listed(wished, "  — ", ""), F.lit("\n\n"),
+        )
+        labels = F.concat(
+            F.lit("Role: "), title, F.lit("\nOrganisation: "), "s_name", F.lit("\nOffice: "), "n_name",
+            F.lit("\nPay range: £"), low, F.lit(",000\nESSENTIAL SKILLS\n"), listed(required, "•", " "),
+        )
+        text = (
+            F.when(s % 4 == 0, markdown).when(s % 4 == 1, numbers).when(s % 4 == 2, dashes)
+            .otherwise(F.replace(labels, F.lit("\n"), F.lit("\r\n")))
+        )
+        nation = self.read("nation").select("n_nationkey", "n_name")
+        return (
+            self.read("supplier")
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(asked, F.col("job_id") == s)
+            .select("job_id", text.alias("text"))
+        )
+
     def letters(self) -> DataFrame:
         """Finished letters: the outputs with a greeting, a company line and a signature, dealt to all
         jobs and people in turn.

@@ -185,6 +185,51 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 JOIN (SELECT job_id, max(CASE WHEN rnk = 1 THEN skill END) AS top1, max(CASE WHEN rnk = 2 THEN skill END) AS top2,
         count(*) AS n_skills
       FROM v_requirements GROUP BY job_id) r ON r.job_id = s_suppkey""",
+    "v_styled": """
+SELECT job_id, CASE job_id % 4
+  WHEN 0 THEN concat('# ', title, chr(10), s_name, ' - ', n_name, chr(10), chr(10), '**About us**', chr(10), 'We value ownership.',
+    chr(10), chr(10), '## Responsibilities', chr(10), '* Take ownership of ', top1, chr(10), '* Maintain ', top2, chr(10), chr(10),
+    '**Requirements**', chr(10), starred, chr(10), '## Nice to have', chr(10), wished_starred, chr(10), '**Compensation:** $', low,
+    'k-', high, 'k', chr(10), 'Apply soon.')
+  WHEN 1 THEN concat(title, ' at ', s_name, chr(10), 'Place: ', n_name, chr(10), 'What you will do:', chr(10), '1. Take ownership of ',
+    top1, chr(10), '2. Maintain ', top2, chr(10), 'Requirements (must):', chr(10), numbered, 'Bonus', chr(10), wished_numbered,
+    'Benefits:', chr(10), '- free tea', chr(10), 'We pay €', low, ',000 – €', high, ',000 a year')
+  WHEN 2 THEN concat('Position: ', title, chr(10), 'Employer: ', s_name, chr(10), 'Must-have skills:', chr(10), dashed,
+    'Preferred qualifications (plus):', chr(10), wished_dashed, chr(10), chr(10))
+  ELSE replace(concat('Role: ', title, chr(10), 'Organisation: ', s_name, chr(10), 'Office: ', n_name, chr(10), 'Pay range: £', low,
+    ',000', chr(10), 'ESSENTIAL SKILLS', chr(10), dotted), chr(10), chr(13) || chr(10)) END AS text
+FROM (SELECT job_id, s_name, title, top1, top2, 50 + job_id % 40 AS low, 70 + job_id % 40 AS high FROM v_jobs) j
+JOIN (SELECT s_suppkey AS job_id, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey) n USING (job_id)
+JOIN (SELECT job_id, string_agg(concat('* ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk <= 8) AS starred,
+    string_agg(concat('* ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk >= 7) AS wished_starred,
+    string_agg(concat(rnk, ') ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk <= 8) AS numbered,
+    string_agg(concat('(', rnk - 6, ') ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk >= 7) AS wished_numbered,
+    string_agg(concat('– ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk <= 8) AS dashed,
+    string_agg(concat('  — ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk >= 7) AS wished_dashed,
+    string_agg(concat('• ', skill, chr(10)), '' ORDER BY rnk) FILTER (rnk <= 8) AS dotted
+  FROM v_requirements GROUP BY job_id) r USING (job_id)""",
+    "v_parsed": r"""
+WITH numbered AS (SELECT job_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS raw,
+    generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS no FROM v_styled),
+told AS (SELECT job_id, no, trim(regexp_replace(raw, '^#+ +|[*][*]', '', 'g')) AS plain, regexp_matches(raw, '^#|^[*][*]') AS marked,
+    regexp_extract(trim(raw), '^(?:[-*•–—]|[(]?[0-9]+[.)]) +(.+)$', 1) AS item FROM numbered WHERE trim(raw) <> ''),
+labelled AS (SELECT *, regexp_extract(plain, '^([A-Z][A-Za-z ]*): +(.+)$', 2) AS said,
+    CASE WHEN item = '' THEN CASE lower(regexp_extract(plain, '^([A-Z][A-Za-z ]*): +(.+)$', 1)) WHEN 'position' THEN 'title' WHEN 'role' THEN 'title'
+      WHEN 'employer' THEN 'company' WHEN 'organisation' THEN 'company' WHEN 'place' THEN 'location' WHEN 'office' THEN 'location'
+      WHEN 'compensation' THEN 'salary' WHEN 'pay range' THEN 'salary' END END AS label,
+    CASE WHEN item = '' THEN CASE lower(regexp_replace(regexp_replace(plain, ':$', ''), ' *[(].*[)]$', ''))
+      WHEN 'responsibilities' THEN 'responsibility' WHEN 'what you will do' THEN 'responsibility' WHEN 'requirements' THEN 'required'
+      WHEN 'must-have skills' THEN 'required' WHEN 'essential skills' THEN 'required' WHEN 'nice to have' THEN 'preferred'
+      WHEN 'bonus' THEN 'preferred' WHEN 'preferred qualifications' THEN 'preferred' WHEN 'about us' THEN 'about'
+      ELSE CASE WHEN marked OR ends_with(plain, ':') THEN 'other' END END END AS heading FROM told),
+kinds AS (SELECT *, CASE WHEN item <> '' THEN 'item' WHEN label IS NOT NULL THEN 'label' WHEN heading IS NOT NULL THEN 'heading'
+    ELSE 'text' END AS kind FROM labelled)
+SELECT job_id, no, kind, coalesce(label, heading, '') AS name,
+  CASE kind WHEN 'item' THEN item WHEN 'label' THEN said ELSE plain END AS value,
+  coalesce(last_value(CASE WHEN kind = 'text' AND before = 'item' THEN '' ELSE coalesce(label, heading) END IGNORE NULLS)
+    OVER (PARTITION BY job_id ORDER BY no), '') AS section,
+  row_number() OVER (PARTITION BY job_id ORDER BY no) AS place
+FROM (SELECT *, lag(kind) OVER (PARTITION BY job_id ORDER BY no) AS before FROM kinds) k""",
     "v_templates": r"""
 SELECT p_partkey AS template_id, p_partkey % 6 AS form, p_name, p_brand, p_type,
   concat('$& \item ', p_brand) AS name_value,
@@ -666,6 +711,23 @@ SELECT author_id, min(doc_id) AS doc_id, sha256(text) AS text_hash FROM v_sample
 SELECT job_id, title AS job_title, s_name AS company_name,
   concat('we value ownership. Asks for ', years, '+ years.') AS company_description, location,
   '{NOT_SPECIFIED}' AS team_or_department FROM v_jobs""",
+    "read_lines": "SELECT job_id, no, kind, name, value, section FROM v_parsed",
+    "unread_lines": """
+SELECT job_id, no, value FROM v_parsed WHERE NOT (kind IN ('heading', 'label') OR (kind = 'item' AND section <> 'other')
+  OR section = 'about' OR (job_id % 4 = 0 AND place <= 2) OR (job_id % 4 = 1 AND (place = 1 OR contains(value, '€'))))""",
+    "posting_facts": """
+SELECT job_id, coalesce(max(value) FILTER (name = 'title'),
+    max(split_part(value, ' at ', 1)) FILTER (place = 1)) AS job_title,
+  coalesce(max(value) FILTER (name = 'company'), max(split_part(value, ' at ', 2)) FILTER (place = 1 AND contains(value, ' at ')),
+    max(split_part(value, ' - ', 1)) FILTER (place = 2)) AS company_name,
+  coalesce(max(value) FILTER (name = 'location'), max(split_part(value, ' - ', 2)) FILTER (place = 2 AND kind = 'text'), '') AS location,
+  coalesce(max(value) FILTER (name = 'salary'), max(value) FILTER (contains(value, '€')), '') AS pay,
+  coalesce(max(value) FILTER (section = 'about' AND kind = 'text'), '') AS about,
+  coalesce(string_agg(value, '|' ORDER BY no) FILTER (section = 'responsibility' AND kind = 'item'), '') AS responsibilities,
+  string_agg(value, '|' ORDER BY no) FILTER (section = 'required' AND kind = 'item') AS required,
+  coalesce(string_agg(value, '|' ORDER BY no) FILTER (section = 'preferred' AND kind = 'item' AND NOT again), '') AS preferred
+FROM (SELECT *, count(*) FILTER (section = 'required' AND kind = 'item') OVER (PARTITION BY job_id, value) > 0 AS again FROM v_parsed) p
+GROUP BY job_id""",
     "remote_policy": "SELECT job_id, policy AS remote_policy FROM v_jobs",
     "salary_range": """
 SELECT job_id, pay AS salary_range, CASE WHEN job_id % 5 = 0 THEN NULL ELSE CAST(50000 + job_id * 10 AS DOUBLE) END AS salary_low,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from letterloom.constants import FILLER_WORDS
-from letterloom.operators import checks, extract, intake, matching, phrases, profile, roles, templates, voice
+from letterloom.operators import checks, extract, intake, lines, matching, phrases, profile, roles, templates, voice
 from letterloom.operators.answers import complete_logged
 from letterloom.operators.completion import (
     complete,
@@ -632,6 +632,26 @@ def remote_policy(t: Tables) -> DataFrame:
     return t.postings().select("job_id", extract.remote_policy(F.col("text")).alias("remote_policy"))
 
 
+@query
+def posting_facts(t: Tables) -> DataFrame:
+    """What postings in several styles say."""
+    facts = t.styled_postings().select("job_id", lines.posting_facts(F.col("text")).alias("f"))
+    listed = [_joined(f"f.{c}", "|").alias(c) for c in ("responsibilities", "required", "preferred")]
+    names = ["job_title", "company_name", "location", "pay", "about"]
+    return facts.select("job_id", *[F.col(f"f.{c}").alias(c) for c in names], *listed)
+
+
+@query
+def read_lines(t: Tables) -> DataFrame:
+    """Every line of these postings with its kind and section."""
+    return lines.read_lines(t.styled_postings(), ["job_id"])
+
+
+@query
+def unread_lines(t: Tables) -> DataFrame:
+    return lines.unread_lines(t.styled_postings(), ["job_id"])
+
+
 @query
 def salary_range(t: Tables) -> DataFrame:
     return extract.salary_range(t.postings(), ["job_id"])
