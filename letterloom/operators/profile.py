@@ -10,11 +10,13 @@ from letterloom.functions.ranking import top_rows
 from letterloom.functions.text import (
     find_all,
     has_number,
+    let,
     literal_texts,
     or_default,
     strip,
     tokens,
 )
+from letterloom.operators.lines import ITEM
 from letterloom.operators.matching import names_term, term_runs, term_table
 
 # the look-behind starts a match only at the beginning of a run, so long runs are read once
@@ -150,56 +152,101 @@ def skill_mentions(df: DataFrame, vocabulary: DataFrame, keys: Sequence[str]) ->
     return named.select(*keys, "skill").distinct()
 
 
-def _list_lines(text: Column) -> Column:
-    """The lines of a text that begin with a dash, without it."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.startswith("- "))
-    return F.transform(lines, lambda line: F.substr(line, F.lit(3)))
+#: A date of a role as people write it, and what stands between two of them.
+DATE = r"(?:\p{L}{3,9}\.? [0-9]{4}|[0-9]{4}-(?:0[1-9]|1[0-2])|(?:0[1-9]|1[0-2])/[0-9]{4}|[0-9]{4})"
+UNTIL = r" ?(?: to | until |-|–|—) ?"
+OPEN_END = "(?i:" + "|".join(CURRENT_WORDS) + ")"
+PERIOD = rf"({DATE}){UNTIL}({DATE}|{OPEN_END}|)"
+#: "Title at Company, Place (period)", "Title, Company, period"
+ROLE = rf"^(.+?)(?: at |, )([^,(]+?)(?:, ([^,(]+?))?,? \(?{PERIOD}\)?$"
+DEGREE = r"^(.*), (.*), ([0-9.]*)$"
+#: "Degree, School (2004)", "Degree, School, 2000 - 2004": the last year counts
+DEGREE_YEARS = r"^(.+), ([^0-9,][^,]*?),? \(?(?:[0-9]{4} ?(?:-|–|—|to) ?)?([0-9]{4})\)?$"
+
+
+def _list_items(text: Column) -> Column:
+    """What the list lines of a text say, behind any sign of a list."""
+    said = F.transform(F.split(text, r"\r?\n|\r"), lambda line: strip(F.regexp_extract(strip(line), ITEM, 1)))
+    return F.filter(said, lambda item: item != "")
+
+
+def _degree(item: Column) -> Column:
+    """(degree, school, year) of a list item, NULL if it names no degree."""
+
+    def read(pattern: str) -> Column:
+        parts = [F.regexp_extract(item, pattern, i) for i in (1, 2, 3)]
+        named = F.struct(*[c.alias(n) for c, n in zip(parts, ("degree", "school", "year"), strict=True)])
+        return F.when(item.rlike(pattern), named)
+
+    whole = rf"^.+ (?:at|,)? ?.*{PERIOD}\)?$"
+    is_role = item.contains(" | ") | item.contains(" · ") | (item.rlike(whole) & item.rlike(r" at \p{Lu}"))
+    return F.when(~is_role, F.coalesce(read(DEGREE), read(DEGREE_YEARS)))
 
 
 def education_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Degree, school and graduation year from lines such as "- BSc, Some School, 2004".
+    """Degree, school and graduation year from list lines such as "- BSc, Some School, 2004", with the
+    year behind a comma or in brackets, or the last of two years.
 
     The year is kept as a number by the record schema; one that is not whole is flagged.
     """
-    line = F.explode(_list_lines(F.col(text))).alias("line")
-    pattern = r"^(.*), (.*), ([0-9.]*)$"
-    rows = df.select(*keys, line).filter(F.col("line").rlike(pattern))
+    rows = df.select(*keys, F.explode(_list_items(F.col(text))).alias("item")).withColumn("found", _degree(F.col("item")))
     year = F.expr("try_cast(year AS double)")
     return (
-        rows.select(
-            *keys,
-            F.regexp_extract("line", pattern, 1).alias("degree"),
-            F.regexp_extract("line", pattern, 2).alias("school"),
-            F.regexp_extract("line", pattern, 3).alias("year"),
-        )
+        rows.filter(F.col("found").isNotNull())
+        .select(*keys, "found.*")
         .withColumn("graduation_year", F.expr("try_cast(try_cast(year AS double) AS int)"))
         .withColumn("year_is_whole", F.coalesce(year == F.floor(year), F.lit(False)))
         .drop("year")
     )
 
 
+def _role(item: Column) -> Column:
+    """(title, company, location, start, end) of a list item, NULL if it is no role."""
+
+    def made(title: Column, company: Column, location: Column, start: Column, end: Column) -> Column:
+        named = {"title": title, "company": company, "location": location, "start": start, "end": end}
+        return F.struct(*[strip(F.coalesce(c, F.lit(""))).alias(n) for n, c in named.items()])
+
+    def in_columns(parts: Column) -> Column:
+        n_parts = F.size(parts)
+        last = F.element_at(parts, -1)
+        dates = F.split(last, " to(?: |$)", 2)
+        place = F.when(n_parts == 4, F.get(parts, F.lit(2)))
+        title, company = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        whole = rf"^{PERIOD}$"
+        return F.when(
+            n_parts.between(3, 4),
+            F.when(F.size(dates) == 2, made(title, company, place, F.get(dates, F.lit(0)), F.get(dates, F.lit(1)))).when(
+                last.rlike(whole),
+                made(title, company, place, F.regexp_extract(last, whole, 1), F.regexp_extract(last, whole, 2)),
+            ),
+        )
+
+    in_words = made(*[F.regexp_extract(item, ROLE, i) for i in range(1, 6)])
+    split = F.split(item, r" \| | · ")
+    return F.when(F.size(split) > 1, let(split, in_columns)).when(item.rlike(ROLE) & _degree(item).isNull(), in_words)
+
+
 def role_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """Roles from lines such as "- Title | Company | Place | 1998-10 to present".
+    """Roles from list lines such as "- Title | Company | Place | 1998-10 to present", "* Title at Company
+    (1998 – 2001)" or "1. Title, Company, Place, May 1998 - today".
 
-    The name of the person is the first line. An absent place is "".
+    The name of the person is the first line. An absent place is "". A list line that could be a degree
+    (two names and a year or years) counts as one unless it has " at " and a company.
     """
     lines = df.select(
         *keys,
         strip(F.substring_index(text, "\n", 1)).alias("name"),
-        F.explode(_list_lines(F.col(text))).alias("line"),
-    )
-    rows = lines.select(*keys, "name", F.split("line", r" \| ").alias("parts"))
-    dates = F.split(F.element_at("parts", -1), " to ", 2)
-    n_parts = F.size("parts")
-    return rows.filter(n_parts.between(3, 4) & (F.size(dates) == 2)).select(
-        *keys,
-        "name",
-        strip(F.get("parts", F.lit(0))).alias("title"),
-        strip(F.get("parts", F.lit(1))).alias("company"),
-        F.when(n_parts == 4, strip(F.get("parts", F.lit(2)))).otherwise("").alias("location"),
-        strip(F.get(dates, F.lit(0))).alias("start"),
-        strip(F.get(dates, F.lit(1))).alias("end"),
+        F.explode(_list_items(F.col(text))).alias("item"),
     )
+    found = lines.withColumn("found", _role(F.col("item"))).filter(F.col("found").isNotNull())
+    return found.select(*keys, "name", "found.*")
+
+
+def unread_items(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """(keys, item): the list lines of a text that name neither a role nor a degree."""
+    lines = df.select(*keys, F.explode(_list_items(F.col(text))).alias("item"))
+    return lines.filter(_role(F.col("item")).isNull() & _degree(F.col("item")).isNull())
 
 
 def role_date(raw: Column) -> Column:

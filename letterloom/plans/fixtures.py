@@ -493,3 +493,36 @@ class Tables:
             .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(o.alias("role_id"), c.alias("applicant_id"), text.alias("text"))
         )
+
+    def styled_resumes(self) -> DataFrame:
+        """Resumes as people write them: roles in words, in columns, with commas; years in several places."""
+        o, c = F.col("o_orderkey"), F.col("c_custkey")
+        title, company = F.col("o_orderpriority"), F.concat(F.lit("Works "), "o_orderstatus")
+        start = F.date_format("o_orderdate", "yyyy-MM")
+        end = F.when(o % 11 == 0, "today").otherwise("2003-05")
+        degree = F.concat(F.lit("BSc in "), "c_mktsegment", F.lit(", School of "), "n_name")
+        year = 1980 + o % 20
+        in_words = F.concat(
+            F.lit("* "), title, F.lit(" at "), company, F.lit(" ("), start, F.lit(" – "), end, F.lit(")\n* "), degree,
+            F.lit(" ("), year.cast("string"), F.lit(")"),
+        )
+        in_columns = F.concat(
+            F.lit("1. "), title, F.lit(" · "), company, F.lit(" · "), "n_name", F.lit(" · "), start, F.lit(" until "), end,
+            F.lit("\n2) "), degree, F.lit(", "), (year - 4).cast("string"), F.lit(" - "), year.cast("string"),
+        )
+        commas = F.concat(
+            F.lit("• "), title, F.lit(", "), company, F.lit(", "), start, F.lit(" - "), end, F.lit("\n• "), degree,
+            F.lit(", "), year.cast("string"),
+        )
+        told = F.when(o % 3 == 0, in_words).when(o % 3 == 1, in_columns).otherwise(commas)
+        text = F.concat("c_name", F.lit("\n"), told, F.lit("\n- Led a team of "), (c % 9).cast("string"))
+        customer = self.read("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+        nation = self.read("nation").select("n_nationkey", "n_name")
+        orders = self.spread_out(
+            "orders", ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus"]
+        )
+        return (
+            orders.join(customer, F.col("o_custkey") == c)
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(o.alias("role_id"), text.alias("text"))
+        )

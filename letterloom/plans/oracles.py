@@ -254,6 +254,17 @@ SELECT o_orderkey AS role_id, o_custkey AS applicant_id, c_name, o_orderpriority
   concat('BSc in ', c_mktsegment) AS degree, concat('School of ', n_name) AS school,
   CAST(1980 + o_orderkey % 20 AS INT) AS graduation_year, o_orderkey % 9 <> 0 AS year_is_whole
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "v_styled_resumes": """
+SELECT o_orderkey AS role_id, concat(c_name, chr(10), CASE o_orderkey % 3
+  WHEN 0 THEN concat('* ', o_orderpriority, ' at Works ', o_orderstatus, ' (', since, ' – ', till, ')', chr(10), '* ', degree,
+    ' (', graduated, ')')
+  WHEN 1 THEN concat('1. ', o_orderpriority, ' · Works ', o_orderstatus, ' · ', n_name, ' · ', since, ' until ', till, chr(10),
+    '2) ', degree, ', ', graduated - 4, ' - ', graduated)
+  ELSE concat('• ', o_orderpriority, ', Works ', o_orderstatus, ', ', since, ' - ', till, chr(10), '• ', degree, ', ', graduated) END,
+  chr(10), '- Led a team of ', c_custkey % 9) AS text
+FROM (SELECT *, strftime(o_orderdate, '%Y-%m') AS since, CASE WHEN o_orderkey % 11 = 0 THEN 'today' ELSE '2003-05' END AS till,
+    concat('BSc in ', c_mktsegment, ', School of ', n_name) AS degree, 1980 + o_orderkey % 20 AS graduated
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) t""",
     "v_latest": """
 SELECT * FROM (SELECT user_id AS applicant_id, event_type AS field, value, event_id,
     row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) t
@@ -750,6 +761,18 @@ SELECT DISTINCT role_id, bullet_no, p_name AS skill FROM v_bullets b JOIN (SELEC
     "education_rows": "SELECT role_id, degree, school, graduation_year, year_is_whole FROM v_resumes",
     "role_rows": """
 SELECT role_id, c_name AS name, title, company, location, start, end_text AS "end" FROM v_resumes""",
+    "resume_rows": """
+WITH told AS (SELECT role_id, lines[1] AS name, regexp_replace(lines[2], '^[^ ]+ ', '') AS role,
+    regexp_replace(lines[3], '^[^ ]+ ', '') AS study, substr(lines[4], 3) AS unread
+  FROM (SELECT role_id, string_split(text, chr(10)) AS lines FROM v_styled_resumes) l),
+split AS (SELECT *, CASE WHEN contains(role, ' · ') THEN string_split(role, ' · ')
+    WHEN contains(role, ' at ') THEN [split_part(role, ' at ', 1), split_part(split_part(role, ' at ', 2), ' (', 1),
+      rtrim(split_part(role, '(', 2), ')')] ELSE string_split(role, ', ') END AS parts FROM told)
+SELECT role_id, name, parts[1] AS title, parts[2] AS company, CASE WHEN len(parts) = 4 THEN parts[3] ELSE '' END AS location,
+  split_part(parts[-1], ' ', 1) AS start, regexp_extract(parts[-1], '([^ ]*)$', 1) AS "end",
+  split_part(study, ', ', 1) AS degree, regexp_replace(split_part(study, ', ', 2), ' [(].*$', '') AS school,
+  CAST(regexp_extract(study, '([0-9]{4})[)]?$', 1) AS INT) AS graduation_year, unread
+FROM split""",
     "role_dates": """
 SELECT role_id, start_date, end_date, end_date = 'present' AS is_current, concat(start_date, '-01') AS start_day FROM v_resumes""",
     "salutation": """

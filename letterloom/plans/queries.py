@@ -687,6 +687,15 @@ def role_rows(t: Tables) -> DataFrame:
     return profile.role_rows(t.resumes(), ["role_id"])
 
 
+@query
+def resume_rows(t: Tables) -> DataFrame:
+    """Roles, degrees and lines left over of resumes in several styles."""
+    resumes, keys = t.styled_resumes(), ["role_id"]
+    degrees = profile.education_rows(resumes, keys).select(*keys, "degree", "school", "graduation_year")
+    left = profile.unread_items(resumes, keys).withColumnRenamed("item", "unread")
+    return profile.role_rows(resumes, keys).join(degrees, "role_id").join(left, "role_id")
+
+
 @query
 def role_dates(t: Tables) -> DataFrame:
     dated = profile.role_dates(profile.role_rows(t.resumes(), ["role_id"]), "start", "end")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from letterloom.operators import extract, lines
+from letterloom.operators import extract, lines, profile
 from letterloom.plans import phases
 
 MARKDOWN = """# Senior Planner
@@ -77,3 +77,26 @@ def test_empty_and_long_texts(spark):
         assert (got.job_title, got.required, got.unread) == ("", [], [])
     got = facts(spark, "Title: x\nRequired:\n" + "- item\n" * 20_000 + "end " * 50_000)
     assert len(got.required) == 20_000 and len(got.unread) == 1
+
+
+@pytest.mark.parametrize(
+    ("line", "role", "degree"),
+    [
+        ("- Planner | Acme | Oslo | 1998-10 to present", ("Planner", "Acme", "Oslo", "1998-10", "present"), None),
+        ("* Planner at Acme (1998 – 2001)", ("Planner", "Acme", "", "1998", "2001"), None),
+        ("1. Planner, Acme, Oslo, May 1998 - today", ("Planner", "Acme", "Oslo", "May 1998", "today"), None),
+        ("• Lead · Acme · 03/1998 until 2001", ("Lead", "Acme", "", "03/1998", "2001"), None),
+        ("– Lead | Acme | 1996 to", ("Lead", "Acme", "", "1996", ""), None),
+        ("- BSc in Maths, School of Oslo, 2004", None, ("BSc in Maths", "School of Oslo", 2004)),
+        ("2) MSc, Some School, 2000 – 2004", None, ("MSc", "Some School", 2004)),
+        ("* BSc, hons, School (2004)", None, ("BSc, hons", "School", 2004)),
+        ("- Led a team of 5 at Acme", None, None),
+        ("- Python, SQL", None, None),
+    ],
+)
+def test_resume_lines(spark, line, role, degree):
+    df = spark.createDataFrame([(1, f"Ann\r\n{line}\nplain, text, 2004"), (2, None)], "id int, text string")
+    roles = [tuple(r)[2:] for r in profile.role_rows(df, ["id"]).collect()]
+    degrees = [tuple(r)[1:4] for r in profile.education_rows(df, ["id"]).collect()]
+    assert (roles, degrees) == ([role] if role else [], [degree] if degree else [])
+    assert profile.unread_items(df, ["id"]).count() == (not role and not degree)
