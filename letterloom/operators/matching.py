@@ -32,6 +32,8 @@ from letterloom.functions.text import (
 from letterloom.session import materialise
 
 PAIR = ["applicant_id", "job_id"]
+#: Tasks that the people of one skill are dealt to.
+COVER_SALTS = 16
 
 
 def assemble(
@@ -146,6 +148,41 @@ def transferable(gap: DataFrame, skills: DataFrame, related: DataFrame) -> DataF
     )
 
 
+def transferable_by_cover(gap: DataFrame, skills: DataFrame, covers: DataFrame, salts: int = COVER_SALTS) -> DataFrame:
+    """As `transferable`, by a directed relation: `covers(skill, covers)` says that who holds the first
+    can stand in for the second, not the other way round.
+
+    Every missing skill of a person is looked up once, whatever number of jobs asks for it. A skill
+    that many people hold or miss is dealt to `salts` tasks by person, beside a copy of its covers
+    in each; what a person can stand in for is combined before it is shuffled.
+    """
+    salt = F.pmod(F.xxhash64("applicant_id"), F.lit(salts)).cast("int")
+    missing = gap.select("applicant_id", "skill").distinct()
+    relation = (
+        covers.filter(F.col("skill") != F.col("covers"))
+        .select("skill", "covers")
+        .distinct()
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    held = skills.select("applicant_id", "skill").distinct().withColumn("salt", salt)
+    reach = (
+        held.join(relation, ["skill", "salt"])
+        .groupBy("applicant_id", "covers")
+        .agg(F.count(F.lit(1)).alias("n_via"), F.min("skill").alias("via"))
+    )
+    found = missing.join(reach.withColumnRenamed("covers", "skill"), ["applicant_id", "skill"])
+    mitigation = F.when(
+        F.col("via").isNotNull(),
+        F.concat(F.lit("transferable from "), "via", F.lit(", covers "), "skill"),
+    ).otherwise(NO_REFRAME)
+    return gap.join(found, ["applicant_id", "skill"], "left").select(
+        *PAIR,
+        F.col("skill").alias("missing_skill"),
+        F.coalesce("n_via", F.lit(0)).alias("n_via"),
+        mitigation.alias("mitigation"),
+    )
+
+
 def term_table(skills: DataFrame) -> DataFrame:
     """The distinct skills with their words in normal form, as a written table."""
     distinct = skills.select("skill").distinct()

@@ -227,6 +227,16 @@ class Tables:
         """The topic of every skill is its noun."""
         return self.vocabulary().withColumn("topic", F.split_part("skill", F.lit(" "), F.lit(2)))
 
+    def covers(self) -> DataFrame:
+        """A skill covers those of its noun that come after it by name, and those of the next noun that
+        begin like it; so no pair is covered both ways."""
+        words = self.vocabulary().select("skill", F.split("skill", " ").alias("w"))
+        first = words.select("skill", F.get("w", F.lit(0)).alias("head"), F.get("w", F.lit(1)).alias("noun"))
+        other = first.select(F.col("skill").alias("covers"), F.col("head").alias("head2"), F.col("noun").alias("noun2"))
+        same_noun = first.join(other, (F.col("noun") == F.col("noun2")) & (F.col("skill") < F.col("covers")))
+        same_head = first.join(other, (F.col("head") == F.col("head2")) & (F.col("noun") < F.col("noun2")))
+        return same_noun.unionByName(same_head).select("skill", "covers").distinct()
+
     def categories(self) -> DataFrame:
         return (
             self.read("part")

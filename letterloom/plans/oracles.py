@@ -562,6 +562,14 @@ SELECT applicant_id, job_id, count(*) AS n_required, count(s.skill) AS n_matched
 FROM v_applications JOIN v_requirements USING (job_id) LEFT JOIN v_skills s USING (applicant_id, skill)
 WHERE level = 'required' GROUP BY applicant_id, job_id""",
     "transferable": "SELECT * FROM v_mitigated",
+    "transferable_by_cover": f"""
+WITH vocabulary AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS head, split_part(p_name, ' ', 2) AS noun FROM part),
+covers AS (SELECT a.p_name AS skill, b.p_name AS covers FROM vocabulary a JOIN vocabulary b
+  ON (a.noun = b.noun AND a.p_name < b.p_name) OR (a.head = b.head AND a.noun < b.noun))
+SELECT g.applicant_id, g.job_id, g.skill AS missing_skill, count(s.skill) AS n_via,
+  CASE WHEN count(s.skill) = 0 THEN '{NO_REFRAME}' ELSE concat('transferable from ', min(s.skill), ', covers ', g.skill) END AS mitigation
+FROM v_gap g LEFT JOIN covers c ON c.covers = g.skill LEFT JOIN v_skills s ON s.applicant_id = g.applicant_id AND s.skill = c.skill
+GROUP BY g.applicant_id, g.job_id, g.skill""",
     "absent_words": absent(LEXICON, CHANCES),
     "forbidden_hits": f"""
 SELECT {LETTER_KEYS}, phrase, n FROM (

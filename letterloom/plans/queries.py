@@ -360,6 +360,12 @@ def transferable(t: Tables) -> DataFrame:
     return matching.transferable(gap, t.skills(), t.related())
 
 
+@query
+def transferable_by_cover(t: Tables) -> DataFrame:
+    gap = matching.skill_gap(t.applications(), t.requirements(), t.skills())
+    return matching.transferable_by_cover(gap, t.skills(), t.covers())
+
+
 @query
 def absent_words(t: Tables) -> DataFrame:
     return voice.absent_words(t.samples(), LEXICON, HINTS)
