@@ -262,7 +262,9 @@ def block_shard(
     asked = [together[t] for t in list_terms if t >= 0]
     if common.any():
         asked.append(_union([together[t] for t in terms[common]]))
-    asked = [None if a is None else np.searchsorted(terms, np.intersect1d(a, terms)) for a in asked]
+    local = np.full(len(queries), -1)
+    local[terms] = np.arange(len(terms))
+    asked = [None if a is None else local[a][local[a] >= 0] for a in asked]
     summary = _summaries(
         docs, block_sizes, np.repeat(np.arange(len(lists)), n_blocks), asked, ends, np.searchsorted(terms, cols), part, len(terms)
     )
