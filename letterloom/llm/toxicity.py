@@ -16,6 +16,12 @@ from letterloom.session import materialise
 BLOCK = 64
 #: Blocks that are read before any bound is compared.
 FIRST_BLOCKS = 4
+#: Lists of more than a part of all examples are rows of a matrix, the most frequent ones at most.
+HOT_SHARE, HOT_LISTS = 32, 4096
+#: Queries whose products with that matrix are worked out at once.
+QUERIES = 256
+#: What sums in single precision may be off by.
+SLACK = 1e-5
 #: Besides whole words, their first so many bytes are terms too, for the forms of one stem.
 STEMS = (4, 5)
 
@@ -54,13 +60,45 @@ def postings(terms: np.ndarray, rows: np.ndarray, values: np.ndarray, kinds: int
     return Postings(first, rows[starts] // BLOCK, largest, np.append(starts, len(rows)), rows, values)
 
 
+class Lists(NamedTuple):
+    """Weights of the examples: by example, and by term in blocks where its list is not a frequent one."""
+
+    hot: np.ndarray  # of each term, its column among the frequent ones or -1
+    rest: Postings  # of all other terms
+    ends: np.ndarray  # of each example, where its own terms end
+    terms: np.ndarray
+    values: np.ndarray
+
+
+def arranged(terms: np.ndarray, rows: np.ndarray, values: np.ndarray, kinds: int, examples: int) -> Lists:
+    """Of weights that are not 0, each given by its term below `kinds` and its example."""
+    df = np.bincount(terms, minlength=kinds)
+    frequent = np.argsort(-df, kind="stable")[:HOT_LISTS]
+    frequent = np.sort(frequent[df[frequent] * HOT_SHARE > examples])
+    hot = np.full(kinds, -1)
+    hot[frequent] = np.arange(len(frequent))
+    rare = hot[terms] < 0
+    order = np.lexsort((terms, rows))
+    ends = np.cumsum(np.bincount(rows, minlength=examples))
+    rest = postings(terms[rare], rows[rare], values[rare], kinds)
+    return Lists(hot, rest, ends, terms[order].astype(np.int32), values[order].astype(np.float32))
+
+
+def frequent_lists(lists: Lists) -> np.ndarray:
+    """The frequent lists as a matrix, examples x columns; made where it is used."""
+    rows = np.repeat(np.arange(len(lists.ends)), np.diff(lists.ends, prepend=0))
+    columns = lists.hot[lists.terms]
+    matrix = np.zeros((len(lists.ends), int(lists.hot.max(initial=-1)) + 1), np.float32)
+    matrix[rows[columns >= 0], columns[columns >= 0]] = lists.values[columns >= 0]
+    return matrix
+
+
 class Index(NamedTuple):
-    """Labelled examples in an inverted index whose postings are cut into blocks of examples."""
+    """Labelled examples, ordered so that like ones share a block."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
-    weights: Postings | np.ndarray  # unit rows, ordered so that like examples share a block
-    block_max: np.ndarray  # of each entry of the postings, or blocks x terms
+    lists: Lists
     labels: np.ndarray
     ids: np.ndarray
     default: float  # share of toxic examples among those without any telling term
@@ -186,8 +224,8 @@ def build_index(examples: DataFrame, max_terms: int, min_contexts: int, z: float
     order = np.lexsort((ids, heaviest))
     moved = np.empty(len(ids), np.int64)
     moved[order] = np.arange(len(ids))
-    lists = postings(columns, moved[rows], weights, len(terms))
-    return Index(terms, idf, lists, lists.largest, labels[order], ids[order], float(default))
+    lists = arranged(columns, moved[rows], weights, len(terms), len(ids))
+    return Index(terms, idf, lists, labels[order], ids[order], float(default))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -195,82 +233,132 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest examples of a unit vector given by its terms and weights, and their cosines.
+def nearest(
+    lists: Lists, matrix: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]], k: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The k nearest examples of unit vectors, each given by its terms and weights, and their cosines.
 
-    The blocks of the largest upper bounds (the sum of query weight times the block's largest weight
-    of each term) are read first, then all whose bound can beat the k-th cosine found; so the result
-    is exact. Ties go to the smaller position.
+    What the frequent terms add is known for all examples by one product of matrices. With it, the
+    largest such sum of a block and the block's largest weights of the other terms bound its cosines.
+    The blocks of the largest bounds are read first, then all whose bound can beat the k-th cosine
+    found; and the cosines of those that can be among the k are summed again in double precision. So
+    the result is exact. Ties go to the smaller position.
     """
-    lists = index.weights
-    if not isinstance(lists, Postings):
-        rows, columns = np.nonzero(lists)
-        lists = postings(columns, rows, lists[rows, columns], lists.shape[1])
-    sizes = lists.first[terms + 1] - lists.first[terms]
-    entries, by = _ranges(lists.first[terms], sizes), np.repeat(weights, sizes)
-    blocks = lists.blocks[entries]
-    bounds = np.bincount(blocks, weights=lists.largest[entries] * by, minlength=-(-len(index.labels) // BLOCK))
-    unread = bounds > 0
-    found, cosines = np.zeros(0, np.int64), np.zeros(0)
-    for turn in (0, 1):
-        now = unread.copy()
-        if not turn:
-            now[np.argsort(-bounds, kind="stable")[FIRST_BLOCKS:]] = False
-        elif len(found) >= k:
-            now &= bounds >= cosines[k - 1] - 1e-6
-        unread &= ~now
-        use = now[blocks]
-        part = entries[use]
-        sizes = lists.starts[part + 1] - lists.starts[part]
-        at = _ranges(lists.starts[part], sizes)
-        scores = np.bincount(lists.rows[at], weights=lists.values[at] * np.repeat(by[use], sizes))
-        hit = np.flatnonzero(scores > 0)
-        if len(hit) > k:
-            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
-        found = np.concatenate([found, hit])
-        cosines = np.concatenate([cosines, scores[hit]])
-        order = np.lexsort((found, -cosines))[:k]
-        found, cosines = found[order], cosines[order]
-    return found, cosines
+    n, rest = len(lists.ends), lists.rest
+    starts = np.arange(0, n, BLOCK)
+    begins = np.append(0, lists.ends[:-1])
+    weight_of = np.zeros(len(lists.hot))
+    for at in range(0, len(asked), QUERIES):
+        some = asked[at : at + QUERIES]
+        columns = [lists.hot[terms] for terms, _ in some]
+        heads = np.zeros((len(some), matrix.shape[1]), np.float32)
+        for head, column, (_, weights) in zip(heads, columns, some, strict=True):
+            head[column[column >= 0]] = weights[column >= 0]
+        for sums, column, (terms, weights) in zip(heads @ matrix.T, columns, some, strict=True):
+            rare, of_rare = terms[column < 0], weights[column < 0]
+            sizes = rest.first[rare + 1] - rest.first[rare]
+            entries, by = _ranges(rest.first[rare], sizes), np.repeat(of_rare, sizes)
+            blocks = rest.blocks[entries]
+            bounds = np.bincount(blocks, weights=rest.largest[entries] * by, minlength=len(starts))
+            bounds = bounds + np.maximum.reduceat(sums, starts)
+            scores = sums.astype(np.float64)
+            read, least = np.zeros(len(starts), bool), 0.0
+            for turn in (0, 1):
+                now = ~read & (bounds > 0)
+                if turn:
+                    now &= bounds >= least - SLACK
+                else:
+                    now[np.argsort(-bounds, kind="stable")[FIRST_BLOCKS:]] = False
+                read |= now
+                use = now[blocks]
+                part = entries[use]
+                sizes = rest.starts[part + 1] - rest.starts[part]
+                hits = _ranges(rest.starts[part], sizes)
+                scores = scores + np.bincount(rest.rows[hits], weights=rest.values[hits] * np.repeat(by[use], sizes), minlength=n)
+                known = np.flatnonzero(np.repeat(read, BLOCK)[:n] & (scores > 0))
+                if len(known) >= k:
+                    least = np.partition(scores[known], -k)[-k]
+            found = known[scores[known] >= least - SLACK]
+            if not len(found):
+                yield found, np.zeros(0)
+                continue
+            weight_of[terms] = weights
+            sizes = lists.ends[found] - begins[found]
+            own = _ranges(begins[found], sizes)
+            cosines = np.add.reduceat(lists.values[own].astype(np.float64) * weight_of[lists.terms[own]], np.cumsum(sizes) - sizes)
+            weight_of[terms] = 0
+            best = np.lexsort((found, -cosines))[:k]
+            yield found[best], cosines[best]
+
+
+class WordTerms(dict):
+    """Numbers of words, and the index terms of each; held up to a bound."""
+
+    def __init__(self, terms: dict[bytes, int]):
+        super().__init__()
+        self.known = terms
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.sizes: list[int] = []
+        self.terms: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        found = [self.known[t] for t in terms_of([word])[0] if t in self.known]
+        self.terms += found
+        self.sizes.append(len(found))
+        self[word] = n = len(self)
+        return n
+
+    def vectors(self, texts: Iterable[bytes], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The terms of each text, in order, and their TF-IDF weights, with length 1."""
+        if len(self) > WORDS_HELD:
+            self.reset()
+        split = [plain_words(t) for t in texts]
+        words = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in split]
+        sizes, flat = np.array(self.sizes, np.int64), np.array(self.terms, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        out = []
+        for ids in words:
+            word, times = np.unique(ids, return_counts=True)
+            terms, place = np.unique(flat[_ranges(starts[word], sizes[word])], return_inverse=True)
+            counts = np.bincount(place, weights=np.repeat(times, sizes[word]), minlength=len(terms))
+            weights = (1 + np.log(counts)) * idf[terms]
+            out.append((terms, weights / max(np.sqrt((weights**2).sum()), 1e-300)))
+        return out
 
 
 def _scorer(index: Index, k: int, threshold: float):
-    names = [w.decode(errors="replace") for w in index.terms]
-    of_word: dict[bytes, list[int]] = {}
-
-    def places(word: bytes) -> list[int]:
-        if word not in of_word:
-            if len(of_word) >= WORDS_HELD:
-                of_word.clear()
-            of_word[word] = [index.terms[t] for t in terms_of([word])[0] if t in index.terms]
-        return of_word[word]
-
-    def score(texts: list[bytes]):
-        scores, predicted, evidence, neighbours = [], [], [], []
-        for text in texts:
-            s, why, near = vote(tuple(sorted(Counter(i for w in plain_words(text) for i in places(w)).items())))
-            scores.append(s)
-            predicted.append(int(s >= threshold))
-            evidence.append(why)
-            neighbours.append(near)
-        return scores, predicted, evidence, neighbours
-
-    def vote(counts: tuple) -> tuple:
-        if not counts or not len(index.labels):
-            return index.default, [], []
-        terms = np.array([t for t, _ in counts])
-        weights = ((1 + np.log([n for _, n in counts])) * index.idf[terms]).astype(np.float32)
-        weights /= np.sqrt((weights**2).sum())
-        found, cosines = nearest(index, terms, weights, k)
+    def make():
+        names = [w.decode(errors="replace") for w in index.terms]
+        words, matrix = WordTerms(index.terms), frequent_lists(index.lists)
+        return lambda texts: score(texts, names, words, matrix)
+
+    def score(texts: list[bytes], names: list[str], words: WordTerms, matrix: np.ndarray):
+        # equal texts of a piece are answered once
+        place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        asked = words.vectors(place, index.idf)
+        if len(index.labels):
+            near = nearest(index.lists, matrix, asked, k)
+            votes = [vote(names, q, *found) for q, found in zip(asked, near, strict=True)]
+        else:
+            votes = [(index.default, [], [])] * len(asked)
+        chosen = [votes[place[t]] for t in texts]
+        scores = [s for s, _, _ in chosen]
+        return scores, [int(s >= threshold) for s in scores], [why for _, why, _ in chosen], [ids for _, _, ids in chosen]
+
+    def vote(names: list[str], query: tuple[np.ndarray, np.ndarray], found: np.ndarray, cosines: np.ndarray) -> tuple:
         if not len(found):
             return index.default, [], []
-        near = cosines.astype(np.float64) ** 2
+        terms, weights = query
+        near = cosines**2
         # the votes of one more neighbour of weight 0.25 that stands for documents without evidence
         s = (near @ index.labels[found] + 0.25 * index.default) / (near.sum() + 0.25)
         top = np.argsort(-weights, kind="stable")[:5]
         return float(min(1.0, max(0.0, s))), [names[t] for t in terms[top]], index.ids[found].tolist()
 
-    return lambda: score
+    return make
 
 
 def score_toxicity(

@@ -139,21 +139,27 @@ def test_languages(spark):
     assert [r.language.lang for r in langid.predict_language(spark.createDataFrame(docs[:1], DOCS), {}).collect()] == ["und"]
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize(("hot", "density"), [(0, 0.2), (8, 0.2), (1024, 0.2), (8, 0.02)])
+def test_nearest_examples_are_exact(monkeypatch, hot, density):
+    monkeypatch.setattr(toxicity, "HOT_LISTS", hot)
     rng = np.random.default_rng(0)
-    weights = rng.random((500, 20)) * (rng.random((500, 20)) < 0.2)
+    weights = rng.random((700, 60)) * (rng.random((700, 60)) < density)
+    weights[:, :4] *= 20  # some heavy terms, so that blocks are left out
     weights = weights[weights.any(axis=1)]
-    weights = (weights / np.linalg.norm(weights, axis=1, keepdims=True)).astype(np.float32)
-    cuts = np.arange(0, len(weights), toxicity.BLOCK)
-    index = toxicity.Index({}, np.ones(20), weights, np.maximum.reduceat(weights, cuts, axis=0), np.zeros(len(weights)), np.arange(len(weights)), 0.0)
-    for _ in range(50):
-        terms = rng.choice(20, 3, replace=False)
-        q = rng.random(3).astype(np.float32)
-        q /= np.linalg.norm(q)
-        found, cosines = toxicity.nearest(index, terms, q, 7)
-        whole = weights[:, terms] @ q
-        assert np.allclose(cosines, np.sort(whole)[::-1][:7], atol=1e-6)
-        assert np.allclose(whole[found], cosines, atol=1e-6)
+    weights = (weights / np.linalg.norm(weights, axis=1, keepdims=True))[np.argsort(weights.argmax(axis=1), kind="stable")]
+    weights[50:60] = weights[50]
+    rows, columns = np.nonzero(weights)
+    lists = toxicity.arranged(columns, rows, weights[rows, columns], 61, len(weights))
+    asked = []
+    for _ in range(300):
+        terms = np.sort(rng.choice(61, 3, replace=False))
+        q = rng.random(3)
+        asked.append((terms, q / np.linalg.norm(q)))
+    for (terms, q), (found, cosines) in zip(asked, toxicity.nearest(lists, toxicity.frequent_lists(lists), asked, 7), strict=True):
+        whole = np.hstack([weights, np.zeros((len(weights), 1))])[:, terms] @ q
+        best = [i for i in np.lexsort((np.arange(len(whole)), -whole.round(12)))[:7] if whole[i] > 0]
+        assert np.allclose(cosines, whole[best], atol=1e-6) and np.allclose(whole[found], cosines, atol=1e-6)
+        assert found.tolist() == best
 
 
 def test_toxicity(spark):
