@@ -75,7 +75,7 @@ def arranged(terms: np.ndarray, rows: np.ndarray, values: np.ndarray, kinds: int
     df = np.bincount(terms, minlength=kinds)
     frequent = np.argsort(-df, kind="stable")[:HOT_LISTS]
     frequent = np.sort(frequent[df[frequent] * HOT_SHARE > examples])
-    hot = np.full(kinds, -1)
+    hot = np.full(kinds, -1, np.int32)
     hot[frequent] = np.arange(len(frequent))
     rare = hot[terms] < 0
     order = np.lexsort((terms, rows))
@@ -86,10 +86,11 @@ def arranged(terms: np.ndarray, rows: np.ndarray, values: np.ndarray, kinds: int
 
 def frequent_lists(lists: Lists) -> np.ndarray:
     """The frequent lists as a matrix, examples x columns; made where it is used."""
-    rows = np.repeat(np.arange(len(lists.ends)), np.diff(lists.ends, prepend=0))
-    columns = lists.hot[lists.terms]
     matrix = np.zeros((len(lists.ends), int(lists.hot.max(initial=-1)) + 1), np.float32)
-    matrix[rows[columns >= 0], columns[columns >= 0]] = lists.values[columns >= 0]
+    begins = lists.ends - np.diff(lists.ends, prepend=0)
+    for row, begin, end in zip(matrix, begins, lists.ends, strict=True):
+        columns = lists.hot[lists.terms[begin:end]]
+        row[columns[columns >= 0]] = lists.values[begin:end][columns >= 0]
     return matrix
 
 
@@ -246,7 +247,7 @@ def nearest(
     """
     n, rest = len(lists.ends), lists.rest
     starts = np.arange(0, n, BLOCK)
-    begins = np.append(0, lists.ends[:-1])
+    begins = lists.ends - np.diff(lists.ends, prepend=0)
     weight_of = np.zeros(len(lists.hot))
     for at in range(0, len(asked), QUERIES):
         some = asked[at : at + QUERIES]
@@ -315,8 +316,7 @@ class WordTerms(dict):
         """The terms of each text, in order, and their TF-IDF weights, with length 1."""
         if len(self) > WORDS_HELD:
             self.reset()
-        split = [plain_words(t) for t in texts]
-        words = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in split]
+        words = [np.fromiter(map(self.__getitem__, plain_words(t)), np.int32) for t in texts]
         sizes, flat = np.array(self.sizes, np.int64), np.array(self.terms, np.int64)
         starts = np.cumsum(sizes) - sizes
         out = []
@@ -331,11 +331,11 @@ class WordTerms(dict):
 
 def _scorer(index: Index, k: int, threshold: float):
     def make():
-        names = [w.decode(errors="replace") for w in index.terms]
+        names = list(index.terms)
         words, matrix = WordTerms(index.terms), frequent_lists(index.lists)
         return lambda texts: score(texts, names, words, matrix)
 
-    def score(texts: list[bytes], names: list[str], words: WordTerms, matrix: np.ndarray):
+    def score(texts: list[bytes], names: list[bytes], words: WordTerms, matrix: np.ndarray):
         # equal texts of a piece are answered once
         place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
         asked = words.vectors(place, index.idf)
@@ -348,7 +348,7 @@ def _scorer(index: Index, k: int, threshold: float):
         scores = [s for s, _, _ in chosen]
         return scores, [int(s >= threshold) for s in scores], [why for _, why, _ in chosen], [ids for _, _, ids in chosen]
 
-    def vote(names: list[str], query: tuple[np.ndarray, np.ndarray], found: np.ndarray, cosines: np.ndarray) -> tuple:
+    def vote(names: list[bytes], query: tuple[np.ndarray, np.ndarray], found: np.ndarray, cosines: np.ndarray) -> tuple:
         if not len(found):
             return index.default, [], []
         terms, weights = query
@@ -356,7 +356,7 @@ def _scorer(index: Index, k: int, threshold: float):
         # the votes of one more neighbour of weight 0.25 that stands for documents without evidence
         s = (near @ index.labels[found] + 0.25 * index.default) / (near.sum() + 0.25)
         top = np.argsort(-weights, kind="stable")[:5]
-        return float(min(1.0, max(0.0, s))), [names[t] for t in terms[top]], index.ids[found].tolist()
+        return float(min(1.0, max(0.0, s))), [names[t].decode(errors="replace") for t in terms[top]], index.ids[found].tolist()
 
     return make
 
