@@ -38,7 +38,7 @@ from letterloom.operators.voice import (
     sign_off,
 )
 from letterloom.schemas import GENERATION_OUTPUT
-from letterloom.session import shared_folder
+from letterloom.session import materialise, shared_folder
 
 SENTENCE_SUMS = ("n", "words", "squares", "short", "long", "semicolons")
 
@@ -142,6 +142,18 @@ def ingest(postings: DataFrame) -> DataFrame:
     )
 
 
+def ingest_distinct(postings: DataFrame) -> DataFrame:
+    """As `ingest`, with each different text read once however many rows hold it.
+
+    Texts are told apart by their SHA-256; the records are written and meet the rows by it.
+    """
+    key = free_name(postings, "text_hash")
+    hashed = postings.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
+    records = materialise(ingest(hashed.select(key, "text").dropDuplicates([key])), "records")
+    columns = [c for c in postings.columns if c != "text"]
+    return hashed.drop("text").join(records, key).select(*columns, "job_context", "job_slug")
+
+
 def ingest_pages(fetched: DataFrame) -> DataFrame:
     """The records of crawled postings, taken from the lines and lists of their pages."""
     return ingest(postings_from_pages(fetched, page_lines))

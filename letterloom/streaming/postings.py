@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from letterloom.functions.text import strip
 from letterloom.operators.intake import posting_identity, url_key
 from letterloom.operators.matching import default_style
-from letterloom.plans.phases import ingest
+from letterloom.plans.phases import ingest_distinct
 from letterloom.session import materialise
 from letterloom.sources.store import touched_rows, update_store
 
@@ -50,7 +50,7 @@ def incremental_postings(
         if known is not None:
             earlier = known.filter(F.col("batch_id") != batch_id).select(*keys)
             rows = materialise(rows.join(earlier, keys, "left_anti"), "batch")
-        taken_in = ingest(rows)
+        taken_in = ingest_distinct(rows)
         (enrich(taken_in) if enrich else taken_in).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if not rows.isEmpty():
             update_store(rows.select(*keys, F.lit(batch_id).alias("batch_id")), store, keys)
