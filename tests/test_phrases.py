@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from letterloom.operators import checks, voice
+from letterloom.operators import checks, phrases as listed_phrases, voice
 from letterloom.operators.phrases import each_with_all, phrase_hits
 
 
@@ -90,3 +90,28 @@ def test_authors_without_words(spark):
     hints = spark.createDataFrame([("x", "la"), ("x", "le"), ("other", "le")], "word string, hint string")
     absent = {tuple(r) for r in voice.absent_words(df, lexicon, hints).collect()}
     assert absent == {("b", "le"), ("c", "le"), ("a", "x"), ("c", "x"), ("a", "y z"), ("b", "y z"), ("c", "y z")}
+
+
+def test_runs_of_no_phrase_stay_in_the_scan(spark):
+    """Of 200,000 runs that no phrase has, few reach the join, and a full filter only lets more through."""
+    phrases = spark.range(500).select(F.concat(F.lit("next word"), F.col("id")).alias("phrase"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("w"), i * 100 + F.col("id")))
+    texts = spark.range(100).select("id", F.concat_ws(" ", words, F.lit("next word7 Next WORD7")).alias("text"))
+    table = listed_phrases.phrase_table(phrases)
+    hashed = listed_phrases._hashed(texts, ["id"], "text")
+    kept = listed_phrases._runs(hashed, ["id"], [2], listed_phrases.phrase_filter(table)).cache()
+    assert kept.count() < 20_000
+    assert [tuple(r) for r in kept.join(table, ["n_words", "h1", "h2"]).select("phrase", "n").distinct().collect()] == [
+        ("next word7", 2)
+    ]
+    kept.unpersist()
+    full = bytes([255]) * 4096
+    assert listed_phrases._runs(hashed, ["id"], [2], full).count() > 200_000
+
+
+def test_texts_of_many_pieces(spark, monkeypatch):
+    """Texts that end inside, at and beyond what is worked on at a time; keys of any type, null among them."""
+    monkeypatch.setattr(listed_phrases, "WORDS_AT_ONCE", 5)
+    texts = [("x", "a b a b a b c"), (None, "a b"), ("y", None), ("z", "b a"), ("x", "c a b"), ("w", "a")]
+    got = phrase_hits(spark.createDataFrame(texts, "k string, text string"), table(spark, ["a b", "b a", "a b c", "A"]), ["k"])
+    assert {(r.k, r.phrase): r.n for r in got.collect()} == brute(texts, ["a b", "b a", "a b c", "A"])
