@@ -6,6 +6,7 @@ from pyspark.sql.utils import AnalysisException
 
 from letterloom.operators.matching import default_style
 from letterloom.schemas import AUTHOR_STYLE
+from letterloom.session import tune
 from letterloom.sources import files, sinks
 
 
@@ -108,3 +109,25 @@ def test_pretty_json_is_json_without_null_fields(spark):
     text = sinks.to_pretty_json(df.select(F.struct("*").alias("r")), "r").first()["json"]
     assert json.loads(text) == {"a": 1, "c": ["x"]}
     assert "\n" in text
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """A folder a row, read back whole, without a listing task for each of them."""
+    default = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    tune(spark)
+    assert int(spark.conf.get(default)) <= max(32, 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.range(100).select("id", F.concat(F.lit("a\n\né "), F.col("id").cast("string")).alias("text"))
+    rows.write.partitionBy("id").text(str(tmp_path / "texts"))
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        read = files.read_texts(spark, str(tmp_path / "texts")).select("id", "text")
+        widths = [
+            stages.getStageInfo(s).numTasks
+            for j in stages.getJobIdsForGroup("listing")
+            for s in stages.getJobInfo(j).stageIds
+        ]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert widths and max(widths) <= max(32, 4 * spark.sparkContext.defaultParallelism)
+    assert sorted(map(tuple, read.collect())) == [(i, f"a\n\né {i}\n") for i in range(100)]
