@@ -158,3 +158,13 @@ def test_broken_cardinalities(spark):
     )
     rules = {r["rule"] for r in matching.cardinality_check(df).collect()}
     assert rules == {"2-4 bullets per role", "2-3 hooks"}
+
+
+def test_skills_held_are_not_shuffled_beside_a_small_relation(spark):
+    gap = spark.createDataFrame([(1, 7, "b"), (2, 7, "b")], "applicant_id int, job_id int, skill string")
+    held = spark.range(1000).select(F.col("id").cast("int").alias("applicant_id"), F.lit("a").alias("skill"))
+    covers = spark.createDataFrame([("a", "b"), ("b", "b")], "skill string, covers string")
+    found = matching.transferable_by_cover(gap, held, covers)
+    assert {tuple(r)[:4] for r in found.collect()} == {(1, 7, "b", 1), (2, 7, "b", 1)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert any("Join" in line and "Broadcast" in line and "salt" in line for line in plan.splitlines())
