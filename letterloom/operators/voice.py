@@ -4,10 +4,14 @@
 text is worked out in the scan; only small numbers and short word lists are shuffled.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from letterloom.constants import (
     DEFAULT_SECTIONS,
@@ -21,7 +25,6 @@ from letterloom.functions.text import (
     BULLET_LINE,
     let,
     literal_texts,
-    ngrams,
     normalised,
     paragraphs,
     sentence_bodies,
@@ -33,6 +36,10 @@ from letterloom.operators.phrases import each_with_all, phrase_hits, phrase_rows
 from letterloom.session import materialise
 
 SHORT_WORDS, LONG_WORDS = 8, 20
+#: What is between the words of a text.
+NO_TOKEN = r"[^\p{L}\p{N}]++"
+#: Bytes of texts whose phrases are put together at a time, beside one text.
+BYTES_AT_ONCE = 1 << 22
 FIRST_TWO = r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++[^\p{L}\p{N}]++[\p{L}\p{N}]++)"
 
 
@@ -179,19 +186,66 @@ def usual_sign_off(samples: DataFrame) -> DataFrame:
     return most_common(last, ["author_id"], "sign_off")
 
 
+def _phrases_by_document(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from (author_id, words) to (author_id, phrase, n_docs), for some rows at a time.
+
+    `words` are the words of a document with single spaces between.
+    """
+    at_once = BYTES_AT_ONCE
+
+    def counted(authors: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        lists = pc.split_pattern(texts, " ")
+        ends = np.asarray(lists.offsets)
+        words, sizes = lists.values.slice(ends[0], ends[-1] - ends[0]), np.diff(ends)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        left = np.repeat(ends[1:] - ends[0], sizes) - np.arange(len(words))
+        at = np.flatnonzero(left >= n)
+        phrases = pc.binary_join_element_wise(*[words.take(pa.array(at + k)) for k in range(n)], " ").dictionary_encode()
+        n_phrases = max(1, len(phrases.dictionary))
+        # each phrase once a document, and then the documents of an author
+        once = np.unique(row[at] * n_phrases + np.asarray(phrases.indices))
+        author = authors.dictionary_encode(null_encoding="encode")
+        both = np.asarray(author.indices).astype(np.int64)[once // n_phrases] * n_phrases + once % n_phrases
+        found, n_docs = np.unique(both, return_counts=True)
+        columns = [
+            author.dictionary.take(pa.array(found // n_phrases)),
+            phrases.dictionary.take(pa.array(found % n_phrases)),
+            pa.array(n_docs.astype(np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["author_id", "phrase", "n_docs"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.fill_null(pc.binary_length(batch.column(1)), 0), 0))
+            ends = np.cumsum(np.asarray(pc.binary_length(batch.column(1))).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, before + at_once, side="right")))
+                part = batch.slice(at, end - at)
+                yield counted(part.column(0), part.column(1))
+                at = end
+
+    return run
+
+
 def recurring_patterns(
     samples: DataFrame, n: int = 3, min_docs: int = RELIABLE_DOCS, keep_weak: bool = False
 ) -> DataFrame:
     """Phrases of `n` words and in how many documents of the author they are.
 
-    A phrase is made distinct inside its document, so that counting rows counts documents and the
-    counts are combined before the shuffle. Phrases of a single document are weak signals; they are
-    given only on request.
+    A phrase counts once a document. Phrases are put together from the words in arrays and counted
+    for some documents at a time in the scan, so that the counts are combined before the shuffle
+    and no task holds a table of all its phrases there. Phrases of a single document are weak
+    signals; they are given only on request.
     """
-    phrases = samples.select(
-        "author_id", F.explode(F.array_distinct(ngrams(tokens(F.col("text")), n))).alias("phrase")
-    )
-    counted = phrases.groupBy("author_id", "phrase").agg(F.count(F.lit(1)).alias("n_docs"))
+    author = samples.schema["author_id"]
+    schema = T.StructType([author, T.StructField("phrase", T.StringType()), T.StructField("n_docs", T.LongType())])
+    spaced = F.trim(F.regexp_replace(F.lower("text"), NO_TOKEN, " "))
+    words = samples.select("author_id", spaced.alias("words"))
+    phrases = words.mapInArrow(_phrases_by_document(n), schema)
+    gathered = phrases.repartition("author_id", "phrase")
+    counted = gathered.groupBy("author_id", "phrase").agg(F.sum("n_docs").alias("n_docs"))
     signal = F.when(F.col("n_docs") >= min_docs, "reliable").otherwise("weak")
     marked = counted.withColumn("signal", signal)
     return marked if keep_weak else marked.filter(F.col("n_docs") >= min_docs)
