@@ -94,3 +94,19 @@ def test_only_bullets_of_usable_terms_meet_postings(spark):
     hooks = matching.hook_pairs(spark.createDataFrame([(1, 7)], "applicant_id int, job_id int"), asked, links, roles)
     assert [r["posting_detail"] for r in hooks.orderBy("hook_rank").collect()] == ["t0", "t1", "t2"]
     assert "array_intersect" in plan_of(hooks)
+
+
+def test_shared_tables_of_strategies_are_written_once(spark, monkeypatch):
+    (applications, asked, links, roles), *_ = world(spark)
+    written, write = [], matching.materialise
+    monkeypatch.setattr(matching, "materialise", lambda df, purpose: (written.append(purpose), write(df, purpose))[1])
+    skills = links.join(roles, "role_id").select("applicant_id", "skill").distinct()
+    matching.strategise(
+        applications,
+        asked.withColumn("level", F.lit("required")),
+        skills,
+        skills.select("skill", F.col("skill").alias("topic")).distinct(),
+        roles.select("*", F.lit("t").alias("title"), F.lit("c").alias("company")),
+        links.select("role_id", "bullet_no", "text"),
+    )
+    assert sorted(written) == ["applications", "details", "links", "requirements", "skills", "terms"]
