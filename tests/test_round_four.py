@@ -6,8 +6,9 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from letterloom.operators import matching
+from letterloom.operators.profile import merge_bullets
 from letterloom.session import materialise
-from test_round_three_matching import world
+from test_round_three_matching import plan_of, world
 
 
 def block_files(spark):
@@ -39,3 +40,13 @@ def test_parts_of_strategies_are_written(spark):
     )
     read = {Path(f).parent.name.rsplit("-", 1)[0] for f in made.inputFiles()}
     assert read == {"applications", "chosen", "matched", "gaps", "hooks"}
+
+
+def test_beginnings_of_bullets_cross_as_two_numbers(spark):
+    rows = [("a", "1", "cut costs"), ("a", "1", "cut costs now"), ("a", "2", "cut costs"), (None, "1", "cut"), (None, "1", "cut it"), ("b", None, "x"), ("b", None, "x y")]
+    bullets = spark.createDataFrame(rows, "p string, r string, text string")
+    merged = merge_bullets(bullets, ["p", "r"])
+    want = {("a", "1", "cut costs now"), *rows[2:]}
+    assert {(x.p, x.r, x.text) for x in merged.collect()} == want
+    (anti,) = [line for line in plan_of(merged).splitlines() if "LeftAnti" in line]
+    assert "h1#" in anti and "h2#" in anti and "p#" not in anti and "r#" not in anti
