@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from letterloom.operators import matching
+from letterloom.operators.phrases import phrase_hits
 from letterloom.operators.profile import merge_bullets
 from letterloom.session import materialise
 from test_round_three_matching import plan_of, world
@@ -50,3 +51,18 @@ def test_beginnings_of_bullets_cross_as_two_numbers(spark):
     assert {(x.p, x.r, x.text) for x in merged.collect()} == want
     (anti,) = [line for line in plan_of(merged).splitlines() if "LeftAnti" in line]
     assert "h1#" in anti and "h2#" in anti and "p#" not in anti and "r#" not in anti
+
+
+def test_hits_of_long_lists_are_shuffled_once(spark):
+    texts = spark.createDataFrame([(1, "a b a b"), (1, "A, b"), (2, "b a"), (None, "a b")], "id int, text string")
+    phrases = spark.createDataFrame([("a b",), ("A b",), ("b",), ("c",)], "phrase string")
+    want = [(None, "A b", 1), (None, "a b", 1), (None, "b", 1), (1, "A b", 3), (1, "a b", 3), (1, "b", 3), (2, "b", 1)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size, exchanges in (("-1", 2), (limit, 2)):  # both sides of the join, or the broadcast and the counts
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            hits = phrase_hits(texts, phrases, ["id"])
+            assert plan_of(hits).count("Exchange") == exchanges
+            assert sorted(map(tuple, hits.collect()), key=lambda r: (r[0] or 0, r[1])) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
