@@ -142,16 +142,21 @@ def ingest(postings: DataFrame) -> DataFrame:
     )
 
 
-def ingest_distinct(postings: DataFrame) -> DataFrame:
+def ingest_distinct(postings: DataFrame, beside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """As `ingest`, with each different text read once however many rows hold it.
 
-    Texts are told apart by their SHA-256; the records are written and meet the rows by it.
+    Texts are told apart by their SHA-256; the records are written and meet the rows by it. Their files
+    are far smaller than they are (postings share their words), so Spark is kept from broadcasting them.
+    `beside` adds columns to the rows while they have neither text nor record.
     """
     key = free_name(postings, "text_hash")
     hashed = postings.withColumn(key, F.coalesce(F.sha2("text", 256), F.lit("")))
     records = materialise(ingest(hashed.select(key, "text").dropDuplicates([key])), "records")
     columns = [c for c in postings.columns if c != "text"]
-    return hashed.drop("text").join(records, key).select(*columns, "job_context", "job_slug")
+    rows = hashed.drop("text")
+    rows = beside(rows) if beside else rows
+    added = [c for c in rows.columns if c not in (*columns, key)]
+    return rows.join(records.hint("merge"), key).select(*columns, "job_context", "job_slug", *added)
 
 
 def ingest_pages(fetched: DataFrame) -> DataFrame:

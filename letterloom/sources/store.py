@@ -101,7 +101,8 @@ def update_store(df: DataFrame, path: str, keys: Sequence[str], buckets: int = B
         same = [F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
         # the bucket is an equal key on both sides, so rows are spread even where keys are NULL
         same.append(F.col("old.bucket") == F.col("new.bucket"))
-        replaced = new.select(*keys, "bucket").distinct()
+        # keys that are alike make small files, by which Spark would broadcast very many of them
+        replaced = new.select(*keys, "bucket").distinct().hint("merge")
         table = new.unionByName(old.alias("old").join(replaced.alias("new"), same, "left_anti"))
     # a bucket with very many rows of one key is split; what a lost try of this version left is overwritten
     table.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={number}")

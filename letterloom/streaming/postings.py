@@ -38,7 +38,8 @@ def incremental_postings(
     however many postings have ever come, and a late copy is found as well as an early one. Each
     batch has a folder of its own, and the store knows which batch brought an identity: a batch that
     is run again after a failure writes the same rows over what it left. `seen`, `out` and
-    `checkpoint` belong together. `enrich` adds saved records to the rows of a batch.
+    `checkpoint` belong together. `enrich` adds saved records to the rows of a batch; one that is marked
+    `by_key` gets them before the records of their texts, which are wide, are joined.
     """
     store = seen or f"{out.rstrip('/')}-seen"
     keys = list(identity)
@@ -49,9 +50,10 @@ def incremental_postings(
         known = touched_rows(spark, store, rows, keys)
         if known is not None:
             earlier = known.filter(F.col("batch_id") != batch_id).select(*keys)
-            rows = materialise(rows.join(earlier, keys, "left_anti"), "batch")
-        taken_in = ingest_distinct(rows)
-        (enrich(taken_in) if enrich else taken_in).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            rows = materialise(rows.join(earlier.hint("merge"), keys, "left_anti"), "batch")
+        early = getattr(enrich, "by_key", False)
+        taken_in = ingest_distinct(rows, enrich if early else None)
+        (enrich(taken_in) if enrich and not early else taken_in).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if not rows.isEmpty():
             update_store(rows.select(*keys, F.lit(batch_id).alias("batch_id")), store, keys)
 
@@ -68,7 +70,8 @@ def with_saved_records(profiles: str, styles: str, key: str = "applicant_id") ->
 
     `profiles` and `styles` are keyed stores (key, profile) and (key, style), of which only the buckets
     of the batch's people are read, as they are at that time. Without a saved style the default
-    one is used and flagged; a person without a profile has NULL there.
+    one is used and flagged; a person without a profile has NULL there. Records that are alike make
+    small files, however many there are, so Spark is kept from broadcasting them by the size of these.
     """
 
     def enrich(batch: DataFrame) -> DataFrame:
@@ -79,9 +82,10 @@ def with_saved_records(profiles: str, styles: str, key: str = "applicant_id") ->
             saved = touched_rows(spark, path, people, [key])
             if saved is None:
                 raise ValueError(f"there is no store in {path}")
-            joined = joined.join(saved, key, "left")
+            joined = joined.join(saved.hint("merge"), key, "left")
         return joined.withColumns(
             {"is_default": F.col("style").isNull(), "style": F.coalesce("style", default_style())}
         )
 
+    enrich.by_key = True
     return enrich

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from letterloom.operators import matching
 from letterloom.operators.phrases import phrase_hits
 from letterloom.operators.profile import merge_bullets
+from letterloom.plans.phases import ingest, ingest_distinct
 from letterloom.session import materialise
+from letterloom.sources.store import update_store
+from letterloom.streaming.postings import with_saved_records
 from test_round_three_matching import plan_of, world
 
 
@@ -66,3 +69,19 @@ def test_hits_of_long_lists_are_shuffled_once(spark):
             assert sorted(map(tuple, hits.collect()), key=lambda r: (r[0] or 0, r[1])) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_records_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    text = "Title: Planner\nCompany: Acme\nRequired:\n- x"
+    people, styles = (str(tmp_path / n) for n in ("people", "styles"))
+    ids = spark.range(4).select(F.col("id").alias("applicant_id"))
+    update_store(ids.select("applicant_id", F.struct(F.lit("n").alias("name")).alias("profile")), people, ["applicant_id"])
+    update_store(ids.filter("applicant_id > 0").select("applicant_id", matching.default_style().alias("style")), styles, ["applicant_id"])
+    asked = spark.createDataFrame([(i, j, text) for i in (0, 1, 9) for j in (1, 2)] + [(1, 3, None)], "applicant_id long, job_id long, text string")
+    prepared = ingest_distinct(asked, with_saved_records(people, styles))
+    assert prepared.columns == ["applicant_id", "job_id", "job_context", "job_slug", "profile", "style", "is_default"]
+    assert "Broadcast" not in plan_of(prepared)
+    got = {(r.applicant_id, r.job_id, r.job_slug, r.profile and r.profile.name, r.is_default) for r in prepared.collect()}
+    slug, none = "acme_planner", ingest(asked.filter("job_id = 3")).first().job_slug
+    want = {(i, j, slug, n, d) for i, n, d in ((0, "n", True), (1, "n", False), (9, None, True)) for j in (1, 2)}
+    assert got == want | {(1, 3, none, "n", False)}
