@@ -136,7 +136,7 @@ def index_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
             yield _forward(number, ids, found)
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(run, FORWARD), "shards")
+    return materialise(rows.mapInArrow(run, FORWARD), "shards", wide=True)
 
 
 def _forward(number: int, ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
@@ -332,7 +332,7 @@ def blocked_index(shards: DataFrame, queries: Queries, stats: Statistics) -> Dat
                 if made:
                     yield _lists(BLOCKED, [made])
 
-    return materialise(shards.mapInArrow(run, BLOCKED), "blocks")
+    return materialise(shards.mapInArrow(run, BLOCKED), "blocks", wide=True)
 
 
 class Shard:
