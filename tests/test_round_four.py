@@ -10,6 +10,7 @@ from letterloom.operators.phrases import phrase_hits
 from letterloom.operators.profile import merge_bullets
 from letterloom.plans.phases import ingest, ingest_distinct
 from letterloom.session import materialise
+from letterloom.sources import files, sinks
 from letterloom.sources.store import update_store
 from letterloom.streaming.postings import with_saved_records
 from test_round_three_matching import plan_of, world
@@ -85,3 +86,15 @@ def test_records_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
     slug, none = "acme_planner", ingest(asked.filter("job_id = 3")).first().job_slug
     want = {(i, j, slug, n, d) for i, n, d in ((0, "n", True), (1, "n", False), (9, None, True)) for j in (1, 2)}
     assert got == want | {(1, 3, none, "n", False)}
+
+
+def test_texts_are_written_by_the_tasks(spark, tmp_path):
+    rows = [(1, "a\nb"), (-2, ""), (3, None), (None, "ü"), (1, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for name, base in (("plain", str(tmp_path)), ("url", f"file://{tmp_path}"), ("one slash", f"file:{tmp_path}")):
+        sinks.write_texts(df, f"{base}/{name}", "doc_id")
+        sinks.write_texts(df, f"{base}/{name}", "doc_id")  # as a task that runs again
+        read = files.read_samples(spark, f"{base}/{name}", "letter")
+        got = {(r[0], r.text) for r in read.select(sinks.key_of_text(read, "doc_id"), "text").collect()}
+        assert got == {(1, "a\nb\nc\n"), (-2, "\n"), (3, "\n"), (None, "ü\n")}
+        assert not list(tmp_path.glob(f"{name}/**/*.crc"))
