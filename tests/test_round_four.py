@@ -98,3 +98,19 @@ def test_texts_are_written_by_the_tasks(spark, tmp_path):
         got = {(r[0], r.text) for r in read.select(sinks.key_of_text(read, "doc_id"), "text").collect()}
         assert got == {(1, "a\nb\nc\n"), (-2, "\n"), (3, "\n"), (None, "ü\n")}
         assert not list(tmp_path.glob(f"{name}/**/*.crc"))
+
+
+def test_cardinality_is_checked_on_written_parts(spark, tmp_path):
+    (applications, asked, links, roles), *_ = world(spark)
+    skills = links.join(roles, "role_id").select("applicant_id", "skill").distinct()
+    made = matching.strategise(
+        applications,
+        asked.withColumn("level", F.lit("required")),
+        skills,
+        skills.select("skill", F.col("skill").alias("topic")).distinct(),
+        roles.select("*", F.lit("t").alias("title"), F.lit("c").alias("company")),
+        links.select("role_id", "bullet_no", "text"),
+    )
+    checked = matching.cardinality_check(made)
+    # one join, of the applications with the grouped parts
+    assert sum("Join " in line for line in plan_of(checked).splitlines()) == 1
